@@ -12,50 +12,46 @@ from tidemark.model import Entity
 from tidemark.operators.dedup import apply_changes, latest_by_key, not_blank
 from tidemark.operators.upsert import MergeSpec, merge_upsert
 
-TICK_COLUMNS = (
-    "tick_id",
-    "ticker",
-    "bid",
-    "ask",
-    "last_price",
-    "volume",
-    "instrument_id",
-    "tick_timestamp",
-    "spread",
-    "mid_price",
-    "tick_hour",
-)
-
-
 def typed_ticks(raw: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """Typed ticks with derived columns, tombstones dropped, duplicates still in. Narrow."""
-    bid, ask = F.col("bid").try_cast("double"), F.col("ask").try_cast("double")
-    when = parse_timestamp("timestamp")
+    """Ticks with typed base columns, tombstones dropped, duplicates still in. Narrow."""
     return raw.where(not_blank("ticker")).select(
         "tick_id",
         "ticker",
-        bid.alias("bid"),
-        ask.alias("ask"),
+        F.col("bid").try_cast("double").alias("bid"),
+        F.col("ask").try_cast("double").alias("ask"),
         F.col("last_price").try_cast("double").alias("last_price"),
         to_whole("volume").alias("volume"),
         "instrument_id",
-        when.alias("tick_timestamp"),
-        spread(bid, ask).alias("spread"),
-        mid_price(bid, ask).alias("mid_price"),
-        F.date_trunc("hour", when).alias("tick_hour"),
+        parse_timestamp("timestamp").alias("tick_timestamp"),
         *keep,
     )
 
 
+def derive_tick_columns(ticks: DataFrame) -> DataFrame:
+    return ticks.select(
+        "tick_id",
+        "ticker",
+        "bid",
+        "ask",
+        "last_price",
+        "volume",
+        "instrument_id",
+        "tick_timestamp",
+        spread(F.col("bid"), F.col("ask")).alias("spread"),
+        mid_price(F.col("bid"), F.col("ask")).alias("mid_price"),
+        F.date_trunc("hour", "tick_timestamp").alias("tick_hour"),
+    )
+
+
 def curate_market_ticks(raw: DataFrame, tie_breakers: Sequence[str] = ()) -> DataFrame:
     """One typed row per tick id, the newest. `tie_breakers` are raw columns such as an offset.
 
     The newest row is chosen by the typed time, not its text: texts of different offset or precision
-    do not sort by time. Derived columns are computed after the shuffle, which carries only
-    the raw ones.
+    do not sort by time. Rows are typed before the shuffle, which makes them smaller, and the
+    derived columns are computed after it.
     """
-    live = raw.where(not_blank("ticker")).withColumn("__at", parse_timestamp("timestamp"))
-    return typed_ticks(latest_by_key(live, ["tick_id"], ["__at"], tie_breakers))
+    newest = latest_by_key(typed_ticks(raw, tie_breakers), ["tick_id"], ["tick_timestamp"], tie_breakers)
+    return derive_tick_columns(newest)
 
 
 def curate_order_events(raw: DataFrame, tie_breakers: Sequence[str] = ()) -> DataFrame:
