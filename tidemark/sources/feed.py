@@ -7,22 +7,36 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import parse_timestamp, quote_midpoint, quote_volume
 
-FEED_EVENT = (
-    "array<struct<T: string, S: string, t: string, bp: decimal(18,6), ap: decimal(18,6), "
-    "bs: bigint, `as`: bigint, p: decimal(18,6), s: decimal(18,4), i: bigint>>"
-)
+# Fields of a feed event: text name -> (column, type). Names differ only in case ("T" kind, "t" time),
+# so events are read as maps, whose keys are case sensitive.
+FEED_FIELDS = {
+    "T": ("kind", "string"),
+    "S": ("symbol", "string"),
+    "t": ("time", "string"),
+    "bp": ("bid", "decimal(18,6)"),
+    "ap": ("ask", "decimal(18,6)"),
+    "bs": ("bid_size", "bigint"),
+    "as": ("ask_size", "bigint"),
+    "p": ("price", "decimal(18,6)"),
+    "s": ("size", "decimal(18,4)"),
+    "i": ("trade_id", "bigint"),
+}
 
 
 def feed_events(df: DataFrame, value_col: str = "value") -> DataFrame:
     """One row per event. A message holding a single object counts as an array of one."""
-    events = df.select(F.explode(F.from_json(value_col, FEED_EVENT)).alias("e"))
-    return events.select("e.*")
+    text = F.trim(F.col(value_col))
+    listed = F.when(text.startswith("{"), F.concat(F.lit("["), text, F.lit("]"))).otherwise(text)
+    events = df.select(F.explode(F.from_json(listed, "array<map<string,string>>")).alias("e"))
+    return events.select(
+        *[F.col("e")[name].try_cast(kind).alias(column) for name, (column, kind) in FEED_FIELDS.items()]
+    )
 
 
 def _known_symbols(events: DataFrame, instruments: DataFrame) -> DataFrame:
     """Events of unknown symbols drop out. Spark broadcasts the instruments while they are small."""
-    symbols = instruments.select(F.col("ticker").alias("S"), "instrument_id")
-    return events.join(symbols, "S", "inner")
+    symbols = instruments.select(F.col("ticker").alias("symbol"), "instrument_id")
+    return events.join(symbols, "symbol", "inner")
 
 
 def _natural_id(*columns: str) -> F.Column:
@@ -32,16 +46,16 @@ def _natural_id(*columns: str) -> F.Column:
 
 def quotes_to_ticks(df: DataFrame, instruments: DataFrame, value_col: str = "value") -> DataFrame:
     """Quote events as market ticks; the last price is the mid of bid and ask."""
-    quotes = _known_symbols(feed_events(df, value_col).where(F.col("T") == "q"), instruments)
+    quotes = _known_symbols(feed_events(df, value_col).where(F.col("kind") == "q"), instruments)
     return quotes.select(
-        _natural_id("S", "t", "bp", "ap", "bs", "as").alias("tick_id"),
+        _natural_id("symbol", "time", "bid", "ask", "bid_size", "ask_size").alias("tick_id"),
         "instrument_id",
-        F.col("S").alias("ticker"),
-        F.col("bp").alias("bid"),
-        F.col("ap").alias("ask"),
-        quote_midpoint(F.col("bp"), F.col("ap")).alias("last_price"),
-        quote_volume(F.col("bs"), F.col("as")).alias("volume"),
-        parse_timestamp("t").alias("timestamp"),
+        F.col("symbol").alias("ticker"),
+        "bid",
+        "ask",
+        quote_midpoint(F.col("bid"), F.col("ask")).alias("last_price"),
+        quote_volume(F.col("bid_size"), F.col("ask_size")).alias("volume"),
+        parse_timestamp("time").alias("timestamp"),
     )
 
 
@@ -50,17 +64,17 @@ def trades_to_orders(df: DataFrame, instruments: DataFrame, account_id: int, val
 
     The side is taken from the id's hash, so it is evenly split and the same on every replay.
     """
-    trades = _known_symbols(feed_events(df, value_col).where(F.col("T") == "t"), instruments)
-    identified = trades.withColumn("event_id", _natural_id("S", "t", "i", "p", "s"))
+    trades = _known_symbols(feed_events(df, value_col).where(F.col("kind") == "t"), instruments)
+    identified = trades.withColumn("event_id", _natural_id("symbol", "time", "trade_id", "price", "size"))
     return identified.select(
         "event_id",
         F.lit("ORDER_CREATED").alias("event_type"),
-        F.pmod(F.coalesce("i", F.lit(0)), F.lit(1_000_000)).alias("order_id"),
+        F.pmod(F.coalesce("trade_id", F.lit(0)), F.lit(1_000_000)).alias("order_id"),
         F.lit(account_id).cast("bigint").alias("account_id"),
         "instrument_id",
-        F.col("S").alias("ticker"),
+        F.col("symbol").alias("ticker"),
         F.when(F.substring("event_id", 1, 1) < "8", "BUY").otherwise("SELL").alias("side"),
-        F.col("s").alias("quantity"),
-        F.col("p").alias("limit_price"),
-        parse_timestamp("t").alias("timestamp"),
+        F.col("size").alias("quantity"),
+        F.col("price").alias("limit_price"),
+        parse_timestamp("time").alias("timestamp"),
     )

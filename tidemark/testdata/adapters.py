@@ -248,33 +248,36 @@ def instrument_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _json_object(fields: dict[str, Column]) -> Column:
+    """A JSON object as text, without NULL fields. Names that differ only in case rule out a struct."""
+    parts = [F.concat(F.lit(f'"{name}":'), value.cast("string")) for name, value in fields.items()]
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+
+
 def feed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feed messages: a quote and a trade per array, every fourth a single quote object."""
     events = table(spark, sf_dir, "events")
     number = F.col("event_id")
     price = F.col("value").cast("decimal(18,2)")
     size = F.get_json_object("props", "$.k").cast("bigint")
-    symbol = F.concat(F.lit("T"), F.col("user_id"))
-    time = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-    quote = F.struct(
-        F.lit("q").alias("T"),
-        symbol.alias("S"),
-        price.alias("bp"),
-        (price + F.lit("0.05").cast("decimal(18,2)")).alias("ap"),
-        size.alias("bs"),
-        F.when(number % 3 != 0, size + 1).alias("as"),
-        time.alias("t"),
+    symbol = F.concat(F.lit('"T'), F.col("user_id"), F.lit('"'))
+    time = F.date_format("ts", "'\"'yyyy-MM-dd'T'HH:mm:ss.SSS'Z\"'")
+    quote = _json_object(
+        {
+            "T": F.lit('"q"'),
+            "S": symbol,
+            "bp": price,
+            "ap": price + F.lit("0.05").cast("decimal(18,2)"),
+            "bs": size,
+            "as": F.when(number % 3 != 0, size + 1),
+            "t": time,
+        }
     )
-    trade = F.struct(
-        F.lit("t").alias("T"),
-        symbol.alias("S"),
-        price.alias("p"),
-        size.alias("s"),
-        (number * 977 + 999_000).alias("i"),
-        time.alias("t"),
+    trade = _json_object(
+        {"T": F.lit('"t"'), "S": symbol, "p": price, "s": size, "i": number * 977 + 999_000, "t": time}
     )
-    both = F.concat(F.lit("["), F.to_json(quote), F.lit(","), F.to_json(trade), F.lit("]"))
-    return events.select(F.when(number % 4 == 0, F.to_json(quote)).otherwise(both).alias("value"))
+    both = F.concat(F.lit("["), quote, F.lit(","), trade, F.lit("]"))
+    return events.select(F.when(number % 4 == 0, quote).otherwise(both).alias("value"))
 
 
 def feed_instruments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -173,7 +173,7 @@ def order_rollup_daily(spark, sf_dir):
 def _current_orders(spark: SparkSession, sf_dir: str, deletes: str) -> DataFrame:
     rows = _flat_orders(spark, sf_dir)
     state = apply_changes(rows, ["order_id"], ["_cdc.ts"], ["_cdc.offset"], op="_cdc.op", deletes=deletes)
-    return state.select("order_id", "status", "side", F.col("_cdc.op").alias("last_op"), F.col("_cdc.ts").alias("at"))
+    return state.select("order_id", "status", "side", F.col("_cdc.op").alias("last_op"), F.col("_cdc.ts").alias("changed_at"))
 
 
 @query
@@ -550,7 +550,7 @@ def cdc_unwrap_drop(spark, sf_dir):
 
 @query
 def message_quarantine(spark, sf_dir):
-    return _parsed_orders(spark, sf_dir).quarantine.select("_topic", F.length("value").alias("size"), "reason")
+    return _parsed_orders(spark, sf_dir).quarantine.select("_topic", F.col("offset").alias("log_offset"), "reason")
 
 
 # -------------------------------------------------------------------------------------------- feed
