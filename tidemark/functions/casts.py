@@ -41,9 +41,6 @@ def epoch_ms_to_date(value: Column | str) -> Column:
 def to_typed(value: Column | str, data_type: str) -> Column:
     """Tolerant cast by type name, choosing the parser the type needs."""
     kind = data_type.lower()
-    if kind in ("bigint", "int"):
-        whole = to_whole(value)
-        return whole if kind == "bigint" else whole.try_cast("int")
     if kind == "timestamp":
         return parse_timestamp(value)
     if kind == "date":

@@ -13,20 +13,20 @@ from tidemark.model import Contract, FieldRule
 VIOLATIONS = "violations"
 
 
-def _rule_codes(rule: FieldRule, value: Column, readable: Column) -> list[Column]:
-    codes = []
+def _rule_codes(rule: FieldRule, present: Column, readable: Column, value: Column | None) -> list[Column]:
+    codes = [F.when(present & ~readable, F.lit(f"{rule.name}: not a {rule.kind}"))]
     if rule.required:
-        codes.append(F.when(value.isNull(), F.lit(f"{rule.name}: missing")))
-    codes.append(F.when(value.isNotNull() & ~readable, F.lit(f"{rule.name}: not a {rule.kind}")))
+        codes.insert(0, F.when(~present, F.lit(f"{rule.name}: missing")))
     if rule.allowed:
-        codes.append(
-            F.when(value.isNotNull() & readable & ~value.isin(*rule.allowed), F.lit(f"{rule.name}: not allowed"))
-        )
+        codes.append(F.when(present & readable & ~value.isin(*rule.allowed), F.lit(f"{rule.name}: not allowed")))
     return codes
 
 
 def _with_violations(df: DataFrame, codes: list[Column]) -> DataFrame:
-    return df.withColumn(VIOLATIONS, F.filter(F.array(*codes), lambda code: code.isNotNull()))
+    # Taking away the NULLs as a set stays in generated code; a lambda over the array would not, and
+    # would pull every rule into interpreted evaluation. Codes are distinct, so nothing else is lost.
+    no_code = F.array(F.lit(None).cast("string"))
+    return df.withColumn(VIOLATIONS, F.array_except(F.array(*codes), no_code))
 
 
 def tag_violations(df: DataFrame, contract: Contract) -> DataFrame:
@@ -35,7 +35,7 @@ def tag_violations(df: DataFrame, contract: Contract) -> DataFrame:
     for rule in contract.fields:
         value = F.col(rule.name) if rule.name in df.columns else F.lit(None).cast("string")
         readable = F.lit(True) if rule.kind == "string" else to_typed(value, rule.kind).isNotNull()
-        codes += _rule_codes(rule, value, readable)
+        codes += _rule_codes(rule, value.isNotNull(), readable, value)
     return _with_violations(df, codes)
 
 
@@ -51,18 +51,31 @@ def tag_message_violations(df: DataFrame, contract: Contract, value_col: str = "
     """Check JSON records against a message contract, with JSON types taken strictly:
     the text "100" is not a number. Fields the contract does not name are ignored.
     """
-    record = F.col("__record")
-    parsed = df.withColumn("__record", F.try_parse_json(value_col))
-    is_object = F.coalesce(F.schema_of_variant(record).startswith("OBJECT"), F.lit(False))
-    codes = [F.when(~is_object, F.lit("record: malformed"))]
+    bad = "__unparsed"
+    fields = ", ".join(f"`{rule.name}` variant" for rule in contract.fields)
+    parse = F.from_json(value_col, f"{fields}, {bad} string", {"columnNameOfCorruptRecord": bad})
+    # Each step is used several times by the next, so Spark keeps them apart: parse, look up, judge.
+    parsed = df.withColumn("__record", parse)
+    is_object = F.trim(F.col(value_col)).startswith("{") & F.col(f"__record.{bad}").isNull()
+    looked_up = parsed.select(
+        *df.columns,
+        F.coalesce(is_object, F.lit(False)).alias("__object"),
+        *[F.schema_of_variant(f"__record.{rule.name}").alias(f"__kind_{rule.name}") for rule in contract.fields],
+        *[
+            F.try_variant_get(F.col(f"__record.{rule.name}"), "$", "string").alias(f"__value_{rule.name}")
+            for rule in contract.fields
+            if rule.allowed
+        ],
+    )
+    codes = [F.when(~F.col("__object"), F.lit("record: malformed"))]
     for rule in contract.fields:
-        path = f"$.{rule.name}"
-        kind = F.schema_of_variant(F.variant_get(record, path, "variant"))
+        kind = F.col(f"__kind_{rule.name}")
         # A JSON null reads as a variant of type VOID.
-        value = F.when(kind != "VOID", F.try_variant_get(record, path, "string"))
+        present = F.coalesce(kind != "VOID", F.lit(False))
         readable = F.coalesce(kind.rlike(_JSON_TYPES[rule.kind]), F.lit(False))
-        codes += [F.when(is_object, code) for code in _rule_codes(rule, value, readable)]
-    return _with_violations(parsed, codes).drop("__record")
+        value = F.col(f"__value_{rule.name}") if rule.allowed else None
+        codes += [F.when(F.col("__object"), code) for code in _rule_codes(rule, present, readable, value)]
+    return _with_violations(looked_up, codes).select(*df.columns, VIOLATIONS)
 
 
 def split_valid(tagged: DataFrame) -> tuple[DataFrame, DataFrame]:

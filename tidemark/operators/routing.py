@@ -27,30 +27,29 @@ def check_zones(routes: Iterable[Route]) -> None:
             raise ZoneConflictError(f"{route.table} is routed to both {zones[route.table]} and {route.zone}")
 
 
-def matching_routes(topic: Column, routes: Iterable[Route]) -> Column:
-    """Array of the (table, zone) pairs whose pattern matches the whole topic name.
+def _matches(topic: Column, routes: Iterable[Route]) -> list[Column]:
+    """Per route the (table, zone) pair when its pattern matches the whole topic name, else NULL.
 
-    The rules are a short configuration list, so they become one expression instead of a join.
+    The rules are a short configuration list, so they become expressions instead of a join.
     """
     routes = tuple(routes)
     check_zones(routes)
-    candidates = [
+    return [
         F.when(
             topic.rlike(f"^(?:{r.pattern})$"),
             F.struct(F.lit(r.table).alias("table"), F.lit(r.zone).alias("zone")),
         )
         for r in routes
     ]
-    return F.filter(F.array(*candidates), lambda match: match.isNotNull())
 
 
 def route(df: DataFrame, routes: Iterable[Route] = TOPIC_ROUTES, topic_col: str = "_topic") -> DataFrame:
     """Add `table` and `zone`. A row goes to every table that matches; unmatched rows drop out."""
-    matches = matching_routes(F.col(topic_col), routes)
-    return df.withColumn("__route", F.explode(matches)).select(*df.columns, "__route.table", "__route.zone")
+    candidates = F.array(*_matches(F.col(topic_col), routes))
+    exploded = df.withColumn("__route", F.explode(candidates)).where(F.col("__route").isNotNull())
+    return exploded.select(*df.columns, "__route.table", "__route.zone")
 
 
 def unrouted(df: DataFrame, routes: Iterable[Route] = TOPIC_ROUTES, topic_col: str = "_topic") -> DataFrame:
     """Rows no rule matches, for monitoring."""
-    hit = F.coalesce(F.size(matching_routes(F.col(topic_col), routes)) > 0, F.lit(False))
-    return df.where(~hit)
+    return df.where(F.coalesce(*_matches(F.col(topic_col), routes)).isNull())

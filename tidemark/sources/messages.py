@@ -34,13 +34,18 @@ def parse_messages(df: DataFrame, schema: T.StructType, value_col: str = "value"
     )
     others = [c for c in df.columns if c != value_col]
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD}
-    parsed = df.where(F.col(value_col).isNotNull()).withColumn(_PARSED, F.from_json(value_col, wrapper, options))
+    # Parsing inside a generator keeps it a step of its own. As a plain column the filters below would
+    # be pushed under it with a copy of the parse, and every message would be parsed twice.
+    once = F.explode(F.array(F.from_json(value_col, wrapper, options)))
+    parsed = df.where(F.col(value_col).isNotNull()).select(*df.columns, once.alias(_PARSED))
     wrapped = F.col(f"{_PARSED}.payload").isNotNull()
     fields = [
         F.when(wrapped, F.col(f"{_PARSED}.payload.{name}")).otherwise(F.col(f"{_PARSED}.{name}")).alias(name)
         for name in schema.names
     ]
-    anything = F.coalesce(*[F.col(f"{_PARSED}.{n}").cast("string") for n in [*schema.names, "payload"]]).isNotNull()
+    anything = F.lit(False)
+    for name in [*schema.names, "payload"]:
+        anything = anything | F.col(f"{_PARSED}.{name}").isNotNull()
     malformed = F.col(_PARSED).isNull() | F.col(f"{_PARSED}.{_BAD}").isNotNull()
     reason = F.when(malformed, F.lit("malformed")).when(~anything, F.lit("no known field"))
     valid = parsed.where(reason.isNull()).select(*others, *fields)

@@ -61,53 +61,50 @@ def raw_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _events_of(rows: DataFrame, *events: Column) -> DataFrame:
     """One row per change event of each input row: one scan instead of a union of scans."""
-    kept = F.filter(F.array(*events), lambda e: e.isNotNull())
-    return rows.select(F.explode(kept).alias("event"), *rows.columns)
+    return rows.select(F.explode(F.array(*events)).alias("event"), *rows.columns).where(F.col("event").isNotNull())
 
 
 def order_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Creates, updates and deletes of orders, with the old and the new row image as text."""
-    orders = table(spark, sf_dir, "orders")
+    """Creates, updates and deletes of orders, with the old or the new row image as text."""
     number = F.col("o_orderkey")
-    created = F.timestamp_add("HOUR", (number % 24).cast("int"), F.col("o_orderdate"))
-    rows = orders.withColumn("created", created)
+    limited = number % 3 == 0
+    price = _text(F.col("o_totalprice") / 100, "decimal(18,4)")
+    moved = F.when(F.col("o_orderstatus") == "F", "FILLED").when(F.col("o_orderstatus") == "P", "PARTIAL")
 
     def event(op: str, seq: int, hours: int, condition: Column) -> Column:
-        at = F.timestamp_add("HOUR", F.lit(hours), F.col("created"))
+        created = F.timestamp_add("HOUR", (number % 24).cast("int"), F.col("o_orderdate"))
+        at = F.timestamp_add("HOUR", F.lit(hours), created)
+        image = F.struct(
+            _text(number, "string").alias("order_id"),
+            _text(F.col("o_custkey"), "string").alias("account_id"),
+            _text(number % 50, "string").alias("instrument_id"),
+            F.when(number % 2 == 0, "BUY").otherwise("SELL").alias("side"),
+            _text(F.col("o_totalprice"), "decimal(18,4)").alias("quantity"),
+            F.when(limited, "LIMIT").otherwise("MARKET").alias("order_type"),
+            F.when(limited, price).alias("limit_price"),
+            (F.lit("PENDING") if seq == 1 else F.coalesce(moved, F.lit("PENDING"))).alias("status"),
+            F.when(number % 4 == 0, "DISCLOSED").otherwise("MNPI").alias("disclosure_status"),
+            _iso(created).alias("created_at"),
+            _iso(at).alias("updated_at"),
+        )
         return F.when(
-            condition, F.struct(F.lit(op).alias("op"), F.lit(seq).alias("seq"), at.alias("at"))
+            condition,
+            F.struct(F.lit(op).alias("op"), F.lit(seq).alias("seq"), at.alias("at"), image.alias("image")),
         )
 
     log = _events_of(
-        rows,
+        table(spark, sf_dir, "orders"),
         event("c", 1, 0, F.lit(True)),
         event("u", 2, 1, F.col("o_orderstatus").isin("F", "P")),
         event("d", 3, 2, number % 97 == 0),
     )
-    moved = F.when(F.col("o_orderstatus") == "F", "FILLED").when(F.col("o_orderstatus") == "P", "PARTIAL")
-    status = F.when(F.col("event.seq") == 1, "PENDING").otherwise(F.coalesce(moved, F.lit("PENDING")))
-    limited = number % 3 == 0
-    price = _text(F.col("o_totalprice") / 100, "decimal(18,4)")
-    image = F.struct(
-        _text(number, "string").alias("order_id"),
-        _text(F.col("o_custkey"), "string").alias("account_id"),
-        _text(number % 50, "string").alias("instrument_id"),
-        F.when(number % 2 == 0, "BUY").otherwise("SELL").alias("side"),
-        _text(F.col("o_totalprice"), "decimal(18,4)").alias("quantity"),
-        F.when(limited, "LIMIT").otherwise("MARKET").alias("order_type"),
-        F.when(limited, price).alias("limit_price"),
-        status.alias("status"),
-        F.when(number % 4 == 0, "DISCLOSED").otherwise("MNPI").alias("disclosure_status"),
-        _iso(F.col("created")).alias("created_at"),
-        _iso(F.col("event.at")).alias("updated_at"),
-    )
     deleted = F.col("event.op") == "d"
     return log.select(
         F.lit("cdc.trading.orders").alias("_topic"),
         (number * 4 + F.col("event.seq")).alias("offset"),
         F.col("event.op").alias("op"),
-        F.when(deleted, image).alias("before"),
-        F.when(~deleted, image).alias("after"),
+        F.when(deleted, F.col("event.image")).alias("before"),
+        F.when(~deleted, F.col("event.image")).alias("after"),
         _ms(F.col("event.at")).alias("source_timestamp"),
         F.col("event.seq").cast("bigint").alias("batch"),
         F.col("event.at").cast("timestamp").alias("arrived_at"),
