@@ -12,6 +12,7 @@ from tidemark.functions.trading import (
     implied_price,
     is_buy,
     mid_price,
+    place_in_hour,
     quote_midpoint,
     quote_volume,
     settlement_date,
@@ -27,6 +28,7 @@ __all__ = [
     "mid_price",
     "parse_date",
     "parse_timestamp",
+    "place_in_hour",
     "quote_midpoint",
     "quote_volume",
     "safe_ratio",

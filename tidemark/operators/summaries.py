@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions import safe_ratio, stable_round
+from tidemark.functions import place_in_hour, safe_ratio, stable_round
 
 
 def _count_rows() -> Column:
@@ -76,13 +76,12 @@ def order_summary(
 # ------------------------------------------------------------------------------------ market
 
 
-def market_measures(
-    df: DataFrame, grain: Sequence[str], *, ohlc: bool = True, tie_breaker: str = "tick_id"
-) -> DataFrame:
-    """Additive market measures per grain.
+def market_measures(df: DataFrame, grain: Sequence[str], *, tie_breaker: str = "tick_id") -> DataFrame:
+    """Additive market measures per grain; with `tick_hour` in the grain also open and close.
 
-    Opening and closing price come out of the same aggregate as everything else: no ranking windows
-    and no self join. A NULL price at the first or last tick stays NULL.
+    Opening and closing price come out of the same hash aggregate as everything else: no ranking
+    windows, no self join, no sort. A NULL price at the first or last tick stays NULL. Ticks without a
+    readable time belong to no hour and are left out where hours matter.
     """
     measures = [
         _count_rows().alias("tick_count"),
@@ -97,12 +96,10 @@ def market_measures(
         F.min("tick_timestamp").alias("first_tick_at"),
         F.max("tick_timestamp").alias("last_tick_at"),
     ]
-    if ohlc:
-        position = F.struct("tick_timestamp", tie_breaker)
-        measures += [
-            F.min_by("last_price", position).alias("open"),
-            F.max_by("last_price", position).alias("close"),
-        ]
+    if "tick_hour" in grain:
+        place = place_in_hour(F.col("tick_timestamp"), F.col("tick_hour"), F.col(tie_breaker))
+        measures += [F.min_by("last_price", place).alias("open"), F.max_by("last_price", place).alias("close")]
+        df = df.where(F.col("tick_hour").isNotNull())
     return df.groupBy(*grain).agg(*measures)
 
 
@@ -154,5 +151,12 @@ def market_summary(
     ohlc: bool = True,
     tie_breaker: str = "tick_id",
 ) -> DataFrame:
-    """Tick count, volume, price range, averages, spread in percent of mid, and OHLC prices."""
-    return finish_market(market_measures(df, grain, ohlc=ohlc, tie_breaker=tie_breaker), grain)
+    """Tick count, volume, price range, averages, spread in percent of mid, and OHLC prices.
+
+    At a grain without the hour, open and close are found per hour first and then rolled up.
+    """
+    if ohlc and "tick_hour" not in grain:
+        hourly = market_measures(df, [*grain, "tick_hour"], tie_breaker=tie_breaker)
+        return finish_market(roll_up_market(hourly, grain), grain)
+    measures = market_measures(df, grain, tie_breaker=tie_breaker)
+    return finish_market(measures if ohlc else measures.drop("open", "close"), grain)

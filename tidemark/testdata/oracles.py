@@ -46,8 +46,8 @@ MARKET = f"""
     {rounded("avg(spread) / nullif(avg(mid_price), 0) * 100", 4)} AS spread_pct,
     min(tick_timestamp) AS first_tick_at, max(tick_timestamp) AS last_tick_at"""
 OPEN_CLOSE = f"""
-    {rounded("arg_min(last_price, (tick_timestamp, tick_id))", 2)} AS open_price,
-    {rounded("arg_max(last_price, (tick_timestamp, tick_id))", 2)} AS close_price"""
+    {rounded("arg_min(last_price, tick_timestamp)", 2)} AS open_price,
+    {rounded("arg_max(last_price, tick_timestamp)", 2)} AS close_price"""
 
 ORDER_LOG = """
 base AS (SELECT *, o_orderdate + to_hours(cast(o_orderkey % 24 AS integer)) AS created FROM orders),
@@ -500,8 +500,8 @@ FROM judged GROUP BY principal, resource, action, 4, permission""",
 SELECT tbl AS table_name, event_id, _topic FROM routed WHERE tbl IS NOT NULL""",
     "stream_ohlc": f"""WITH {RAW_TICKS}
 SELECT ticker, date_trunc('hour', ts) AS bar_start, count(*) AS tick_count, cast(sum(volume) AS bigint) AS total_volume,
-  {rounded("arg_min(price, (ts, tick_id))", 2)} AS open_price, {rounded("max(price)", 2)} AS high_price,
-  {rounded("min(price)", 2)} AS low_price, {rounded("arg_max(price, (ts, tick_id))", 2)} AS close_price
+  {rounded("arg_min(price, ts)", 2)} AS open_price, {rounded("max(price)", 2)} AS high_price,
+  {rounded("min(price)", 2)} AS low_price, {rounded("arg_max(price, ts)", 2)} AS close_price
 FROM raw_ticks WHERE ticker <> '' GROUP BY 1, 2""",
     "stream_dedup": "SELECT event_id, ts, event_type, value FROM events",
     "medallion_run": f"""WITH {TICKS}, {ORDER_EVENTS}
