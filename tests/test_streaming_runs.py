@@ -9,7 +9,7 @@ from tidemark.operators.summaries import market_summary
 from tidemark.plans.curated import curate_market_ticks, typed_ticks
 from tidemark.plans.medallion import MedallionTables, run_medallion
 from tidemark.sources.versioned import VersionedTable
-from tidemark.streaming.curate import curate_stream, dedup_stream, latest_bars, ohlc_stream
+from tidemark.streaming.curate import BAR_KEYS, curate_stream, dedup_stream, latest_bars, ohlc_stream
 from tidemark.streaming.ingest import ingest_stream
 
 RAW = (
@@ -62,7 +62,7 @@ def test_ohlc_stream_over_batches_equals_batch_result(spark, path):
         [tick(5, 65, "8.00")],
     ]
     files(spark, path, *batches)
-    bars = VersionedTable(spark, f"{path}/bars")
+    bars = VersionedTable(spark, f"{path}/bars", bucket_keys=BAR_KEYS, buckets=4)
     ohlc_stream(
         typed_ticks(stream(spark, path)), bars, f"{path}/checkpoint", delay="2 hours", available_now=True
     ).awaitTermination()

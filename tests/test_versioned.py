@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.history import compare_counts, row_changes
 from tidemark.operators.quality import QualityError, no_nulls, quality_gate
+from tidemark.operators.upsert import MergeSpec
 from tidemark.plans.incremental import Full, Range, Skip, plan_run, run_incremental
 from tidemark.sources import catalog
 from tidemark.sources.versioned import ConcurrentWriteError, VersionedTable
@@ -193,3 +194,27 @@ def test_load_history(spark, path):
     assert table.read_between(1, 2).count() == 5
     with pytest.raises(ValueError):
         table.load_history(data, "b")
+
+
+def test_entity_runs_merge_by_column_rules(spark, path):
+    from tidemark.model import ORDERS
+    from tidemark.plans.incremental import run_entity
+
+    source = VersionedTable(spark, f"{path}/s")
+    target = VersionedTable(spark, f"{path}/t", bucket_keys=["order_id"], buckets=4)
+    fields = ", ".join(f"{n}: string" for n in ORDERS.columns)
+    blank = dict.fromkeys(ORDERS.columns)
+
+    def batch(*events):
+        rows_ = [(op, {**blank, "order_id": key, "status": status}, ms) for op, key, status, ms in events]
+        return spark.createDataFrame(rows_, f"op string, after struct<{fields}>, source_timestamp bigint")
+
+    source.append(batch(("c", "1", "PENDING", 1000), ("c", "2", "PENDING", 1000)))
+    assert run_entity(ORDERS, source, target).mode == "full"
+    source.append(batch(("u", "1", "FILLED", 5000), ("c", "3", "PENDING", 6000), ("d", "2", None, 7000)))
+    assert run_entity(ORDERS, source, target).mode == "incremental"
+    found = target.read().select("order_id", "status", F.second("created_at"), F.second("updated_at"))
+    assert rows(found) == [(1, "FILLED", 1, 5), (2, "PENDING", 1, 1), (3, "PENDING", 6, 6)]
+    assert run_entity(ORDERS, source, target).mode == "skip"
+    with pytest.raises(ValueError):
+        target.merge(target.read(), MergeSpec(("status",)))

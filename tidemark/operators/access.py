@@ -50,12 +50,13 @@ def satisfied_grants(resources: DataFrame, grants: Iterable[Grant] = GRANTS) ->
     """(resource, principal, permission) for every grant all of whose tag keys match.
 
     Relational division: match single tags by equality, then keep the (resource, grant) pairs that
-    matched as many keys as the grant names. The partial count runs before the shuffle.
+    matched as many keys as the grant names. A resource has one value per key, so a plain count does,
+    and it is partly done before the shuffle.
     """
     tags = resources.select("resource", F.explode("tags").alias("tag_key", "tag_value"))
     matched = tags.join(_grant_rows(resources.sparkSession, grants), ["tag_key", "tag_value"])
     pairs = matched.groupBy("resource", "grant_id", "principal", "permission", "key_count").agg(
-        F.count_distinct("tag_key").alias("matched_keys")
+        F.count(F.lit(1)).alias("matched_keys")
     )
     return pairs.where(F.col("matched_keys") == F.col("key_count")).select("resource", "principal", "permission")
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.operators.dedup import latest_by_key
 
@@ -26,6 +27,24 @@ class MergeSpec:
     insert: Mapping[str, str] = field(default_factory=dict)
 
 
+def _merged_columns(target: T.StructType, spec: MergeSpec) -> list[Column]:
+    """Target columns out of the stored row image `t` and the incoming one `s`; either may be NULL."""
+    has_target, has_source = F.col("t").isNotNull(), F.col("s").isNotNull()
+
+    def pick(field: T.StructField) -> Column:
+        name = field.name
+        old = F.col(f"t.{name}")
+        inserted = F.col(f"s.{spec.insert[name]}") if name in spec.insert else F.lit(None)
+        updated = F.col(f"s.{spec.update[name]}") if name in spec.update else old
+        return (
+            F.when(has_target & has_source, updated.cast(field.dataType))
+            .when(has_source, inserted.cast(field.dataType))
+            .otherwise(old)
+        ).alias(name)
+
+    return [pick(field) for field in target.fields]
+
+
 def merge_upsert(target: DataFrame, source: DataFrame, spec: MergeSpec) -> DataFrame:
     """MERGE ... WHEN MATCHED UPDATE ... WHEN NOT MATCHED INSERT for tables without MERGE support.
 
@@ -35,19 +54,21 @@ def merge_upsert(target: DataFrame, source: DataFrame, spec: MergeSpec) -> DataF
     stored = target.select(F.struct(*target.columns).alias("t"), *[F.col(k).alias(f"tk_{k}") for k in spec.keys])
     incoming = source.select(F.struct(*source.columns).alias("s"), *[F.col(k).alias(f"sk_{k}") for k in spec.keys])
     on = [F.col(f"tk_{k}") == F.col(f"sk_{k}") for k in spec.keys]
-    joined = stored.join(incoming, on, "full_outer")
-    has_target, has_source = F.col("t").isNotNull(), F.col("s").isNotNull()
+    return stored.join(incoming, on, "full_outer").select(*_merged_columns(target.schema, spec))
 
-    def pick(name: str) -> Column:
-        old = F.col(f"t.{name}")
-        inserted = F.col(f"s.{spec.insert[name]}") if name in spec.insert else F.lit(None)
-        updated = F.col(f"s.{spec.update[name]}") if name in spec.update else old
-        kind = target.schema[name].dataType
-        return (
-            F.when(has_target & has_source, updated.cast(kind)).when(has_source, inserted.cast(kind)).otherwise(old)
-        ).alias(name)
 
-    return joined.select(*[pick(name) for name in target.columns])
+def merge_union(both: DataFrame, target: T.StructType, spec: MergeSpec, within: Sequence[str] = ()) -> DataFrame:
+    """The same merge over `union_rows`, for rows already clustered by the `within` columns.
+
+    Grouping by those columns and the key needs no further shuffle.
+    """
+    names = [c for c in both.columns if c != _FRESH and c not in within]
+    image = F.struct(*names)
+    pairs = both.groupBy(*within, *spec.keys).agg(
+        F.first(F.when(F.col(_FRESH) == 0, image), ignorenulls=True).alias("t"),
+        F.first(F.when(F.col(_FRESH) == 1, image), ignorenulls=True).alias("s"),
+    )
+    return pairs.select(*within, *_merged_columns(target, spec))
 
 
 def union_rows(target: DataFrame, increment: DataFrame) -> DataFrame:

@@ -7,7 +7,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 
-from tidemark.operators.quality import quality_gate
+from tidemark.model import Entity
+from tidemark.operators.quality import no_nulls, quality_gate
+from tidemark.plans.curated import curate_entity, merge_spec
 from tidemark.sources.versioned import VersionedTable
 
 
@@ -62,22 +64,16 @@ def plan_run(
     return Range(done, end)
 
 
-def run_incremental(
+def _run(
     name: str,
     source: VersionedTable,
     target: VersionedTable,
     transform: Callable[[DataFrame], DataFrame],
-    order_by: Sequence[str],
+    write_increment: Callable[..., int | None],
     checks: Mapping[str, Column],
-    *,
-    tie_breakers: Sequence[str] = (),
-    full_refresh: bool = False,
-    max_snapshots: int | None = None,
+    full_refresh: bool,
+    max_snapshots: int | None,
 ) -> RunResult:
-    """One run: plan, read, transform, gate, write, move the watermark.
-
-    Data and watermark become visible together, so a run that fails anywhere is simply repeated.
-    """
     plan = plan_run(source, target, full_refresh, max_snapshots)
     if isinstance(plan, Skip):
         return RunResult(name, "skip", target.current(), target.watermark(), 0)
@@ -92,6 +88,51 @@ def run_incremental(
         mode = "full"
     else:
         rows = transform(source.read_between(plan.start, plan.end))
-        snapshot = target.upsert(rows, order_by, tie_breakers, watermark=plan.end, gate=gate)
+        snapshot = write_increment(rows, watermark=plan.end, gate=gate)
         mode = "incremental"
     return RunResult(name, mode, snapshot, plan.end, counted["row_count"])
+
+
+def run_incremental(
+    name: str,
+    source: VersionedTable,
+    target: VersionedTable,
+    transform: Callable[[DataFrame], DataFrame],
+    order_by: Sequence[str],
+    checks: Mapping[str, Column],
+    *,
+    tie_breakers: Sequence[str] = (),
+    full_refresh: bool = False,
+    max_snapshots: int | None = None,
+) -> RunResult:
+    """One run: plan, read, transform, gate, write, move the watermark. The newest row per key wins.
+
+    Data and watermark become visible together, so a run that fails anywhere is simply repeated.
+    """
+
+    def write_increment(rows: DataFrame, **options) -> int | None:
+        return target.upsert(rows, order_by, tie_breakers, **options)
+
+    return _run(name, source, target, transform, write_increment, checks, full_refresh, max_snapshots)
+
+
+def run_entity(
+    entity: Entity,
+    source: VersionedTable,
+    target: VersionedTable,
+    tie_breakers: Sequence[str] = (),
+    *,
+    full_refresh: bool = False,
+    max_snapshots: int | None = None,
+) -> RunResult:
+    """One run of a source table's current state, with the entity's MERGE column rules."""
+    return _run(
+        entity.name,
+        source,
+        target,
+        lambda raw: curate_entity(raw, entity, tie_breakers),
+        lambda rows, **options: target.merge(rows, merge_spec(entity), **options),
+        no_nulls(entity.key),
+        full_refresh,
+        max_snapshots,
+    )

@@ -33,6 +33,13 @@ def build_session(app_name: str = "tidemark", master: str | None = None, conf: d
     return builder.getOrCreate()
 
 
+def tune(spark: SparkSession) -> None:
+    """Apply to a running session what changes results or speed and may be set at run time."""
+    for key, value in RECOMMENDED_CONF.items():
+        if spark.conf.isModifiable(key):
+            spark.conf.set(key, value)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors can reach, used for checkpoints and staged tables.
 

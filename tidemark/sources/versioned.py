@@ -1,4 +1,4 @@
-"""Versioned Parquet datasets: append, replace, bucket upsert, time travel and watermarks.
+"""Versioned Parquet datasets: append, replace, bucket-wise upsert and merge, time travel, watermarks.
 
 Layout, all written by ordinary Spark jobs:
 
@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators.upsert import newest_of_union, union_rows
-from tidemark.session import shared_folder
+from tidemark.operators.upsert import MergeSpec, merge_union, newest_of_union, union_rows
+from tidemark.session import work_dir
 
 SNAPSHOT = "snapshot_id"
 BUCKET = "bucket"
@@ -263,6 +263,29 @@ class VersionedTable:
         increment: DataFrame,
         order_by: Sequence[str],
         tie_breakers: Sequence[str] = (),
+        **options,
+    ) -> int | None:
+        """Fold an increment in, newest row per key, rewriting only the buckets it touches.
+
+        The increment must be unique by key. Options are those of `merge`.
+        """
+        keys = [BUCKET, *self.bucket_keys]
+        return self._rewrite(increment, lambda both, _: newest_of_union(both, keys, order_by, tie_breakers), **options)
+
+    def merge(self, increment: DataFrame, spec: MergeSpec, **options) -> int | None:
+        """MERGE an increment by the column rules of `spec`, rewriting only the buckets it touches.
+
+        The increment must be unique by key, and the spec's keys must be the bucket keys.
+        Options: `watermark`, `gate`, `writer` and `batch_id`, `committed_at`.
+        """
+        if tuple(spec.keys) != self.bucket_keys:
+            raise ValueError(f"the merge key {spec.keys} is not the bucket key {self.bucket_keys}")
+        return self._rewrite(increment, lambda both, schema: merge_union(both, schema, spec, [BUCKET]), **options)
+
+    def _rewrite(
+        self,
+        increment: DataFrame,
+        combine: Callable[[DataFrame, T.StructType], DataFrame],
         *,
         watermark: int | None = None,
         gate: Gate | None = None,
@@ -270,44 +293,46 @@ class VersionedTable:
         batch_id: int | None = None,
         committed_at: datetime | None = None,
     ) -> int | None:
-        """Merge an increment, newest row per key, rewriting only the buckets it touches.
+        """Combine the stored rows of the touched buckets with the increment into new bucket folders.
 
-        The increment must be unique by key, and is computed once: it is checkpointed, checked by
-        `gate`, then joined with the stored buckets. Without rows nothing is written, but the
-        watermark still moves.
+        The increment is computed once: it is staged in the shared folder and checked by `gate` there.
+        Without rows nothing is written, but the watermark still moves.
         """
         if not self.bucket_keys:
-            raise ValueError("upsert needs a table with bucket_keys")
+            raise ValueError("this needs a table with bucket_keys")
         commits = self.commits()
         if writer is not None and _batch_done(commits, writer, batch_id):
             return None
-        shared_folder(self.spark)
-        staged = self._with_bucket(increment).checkpoint()
-        if gate is not None:
-            gate(staged.drop(BUCKET))
-        incoming = {r[BUCKET]: r["n"] for r in staged.groupBy(BUCKET).agg(F.count(F.lit(1)).alias("n")).collect()}
-        if not incoming:
-            self._commit_mark(commits, watermark, writer, batch_id, committed_at)
-            return None
-        snapshot = _next_snapshot(commits)
-        target = f"{self.path}/data/{_folder(snapshot)}"
-        touched = sorted(incoming)
-        live = _live_folders([c for c in commits if c.operation in DATA_OPERATIONS])
-        stored_paths = [p for p in live if int(p.rsplit("=", 1)[1]) in incoming]
-        merged_schema = _merge_schemas(self._schema(commits), increment.schema)
-        stored = self._parquet(stored_paths, _plus_bucket(merged_schema)) if stored_paths else None
-        if stored is None:
-            merged = staged.repartition(len(touched), BUCKET)
-        else:
-            both = union_rows(stored, staged).repartition(len(touched), BUCKET)
+        staging = work_dir(self.spark, "staged")
+        try:
+            self._with_bucket(increment).write.parquet(staging)
+            staged = self.spark.read.schema(_plus_bucket(increment.schema)).parquet(staging)
+            if gate is not None:
+                gate(staged.drop(BUCKET))
+            incoming = {r[BUCKET]: r["n"] for r in staged.groupBy(BUCKET).agg(F.count(F.lit(1)).alias("n")).collect()}
+            if not incoming:
+                self._commit_mark(commits, watermark, writer, batch_id, committed_at)
+                return None
+            snapshot = _next_snapshot(commits)
+            target = f"{self.path}/data/{_folder(snapshot)}"
+            touched = sorted(incoming)
+            live = _live_folders([c for c in commits if c.operation in DATA_OPERATIONS])
+            stored_folders = [f for f in live if int(f.rsplit("=", 1)[1]) in incoming]
+            merged_schema = _merge_schemas(self._schema(commits), increment.schema)
+            if stored_folders:
+                stored = self._parquet(stored_folders, _plus_bucket(merged_schema))
+            else:
+                stored = self.spark.createDataFrame([], _plus_bucket(merged_schema))
             # Keys never leave their bucket, so this one shuffle serves the merge and the file layout.
-            merged = newest_of_union(both, [BUCKET, *self.bucket_keys], order_by, tie_breakers)
-        merged.write.mode("overwrite").partitionBy(BUCKET).parquet(target)
-        before = stored.count() if stored is not None else 0
-        after = self.spark.read.schema(_plus_bucket(merged_schema)).parquet(target).count()
-        summary = _summary(sum(incoming.values()), _total(commits) - before + after, writer, batch_id)
-        self._commit(commits, snapshot, "upsert", touched, watermark, summary, merged_schema, committed_at)
-        return snapshot
+            both = union_rows(stored, staged).repartition(len(touched), BUCKET)
+            combine(both, merged_schema).write.mode("overwrite").partitionBy(BUCKET).parquet(target)
+            before = stored.count()
+            after = self.spark.read.schema(_plus_bucket(merged_schema)).parquet(target).count()
+            summary = _summary(sum(incoming.values()), _total(commits) - before + after, writer, batch_id)
+            self._commit(commits, snapshot, "upsert", touched, watermark, summary, merged_schema, committed_at)
+            return snapshot
+        finally:
+            self._delete(staging)
 
     def mark(self, watermark: int) -> None:
         """Move the watermark without writing data."""
@@ -315,9 +340,18 @@ class VersionedTable:
 
     # ---------------------------------------------------------------- internal
 
+    def _hadoop(self, path: str):
+        """(file system, path) of the cluster's storage."""
+        location = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return location.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), location
+
     def _ledger_present(self) -> bool:
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/ledger")
-        return hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+        storage, location = self._hadoop(f"{self.path}/ledger")
+        return storage.exists(location)
+
+    def _delete(self, path: str) -> None:
+        storage, location = self._hadoop(path)
+        storage.delete(location, True)
 
     def _data_commits(self) -> list[Commit]:
         return [c for c in self.commits() if c.operation in DATA_OPERATIONS]

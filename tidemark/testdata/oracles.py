@@ -513,3 +513,4 @@ UNION ALL SELECT 'analytics_mnpi.order_summary', 'full', 1,
 UNION ALL SELECT 'analytics_nonmnpi.market_summary', 'full', 1,
   count(*) FROM (SELECT DISTINCT ticker, tick_hour FROM ticks)""",
 }
+ORACLES["incremental_entity_merge"] = ORACLES["merge_orders"]

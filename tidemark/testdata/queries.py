@@ -32,13 +32,13 @@ from tidemark.plans.curated import (
     merge_entity,
     typed_ticks,
 )
-from tidemark.plans.incremental import run_incremental
+from tidemark.plans.incremental import run_entity, run_incremental
 from tidemark.plans.medallion import MedallionTables, run_medallion
-from tidemark.session import RECOMMENDED_CONF, work_dir
+from tidemark.session import tune, work_dir
 from tidemark.sources import feed
 from tidemark.sources.messages import parse_messages
 from tidemark.sources.versioned import VersionedTable
-from tidemark.streaming.curate import curate_stream, dedup_stream, latest_bars, ohlc_stream
+from tidemark.streaming.curate import BAR_KEYS, curate_stream, dedup_stream, latest_bars, ohlc_stream
 from tidemark.streaming.ingest import ingest_stream
 from tidemark.testdata import adapters
 
@@ -69,7 +69,7 @@ def plain(df: DataFrame) -> DataFrame:
 def query(fn: Query) -> Query:
     @wraps(fn)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        tune(spark)
         return plain(fn(spark, sf_dir))
 
     QUERIES[fn.__name__] = run
@@ -376,6 +376,17 @@ def incremental_equals_full(spark, sf_dir):
     return target.read()
 
 
+@query
+def incremental_entity_merge(spark, sf_dir):
+    """Orders merged batch by batch into a stored table, rewriting touched buckets only."""
+    raw = VersionedTable(spark, work_dir(spark, "raw-orders"))
+    raw.load_history(adapters.order_changes(spark, sf_dir), "batch", committed_at="arrived_at")
+    target = VersionedTable(spark, work_dir(spark, "orders"), bucket_keys=["order_id"], buckets=16)
+    target.replace(curate_entity(raw.read_as_of(1), ORDERS, ("offset",)), watermark=1)
+    run_entity(ORDERS, raw, target, ("offset",))
+    return target.read()
+
+
 @query
 def schema_evolution_append(spark, sf_dir):
     """A later append brings a new column; older rows read as NULL."""
@@ -586,11 +597,6 @@ def audit_access_report(spark, sf_dir):
 # --------------------------------------------------------------------------------------- streaming
 
 
-def _stream_settings(spark: SparkSession) -> None:
-    name = "spark.sql.streaming.stateStore.providerClass"
-    spark.conf.set(name, RECOMMENDED_CONF[name])
-
-
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a file stream; the pattern matches a file as well as a folder of files."""
     schema = adapters.table(spark, sf_dir, "events").schema
@@ -604,7 +610,6 @@ def _finish(stream) -> None:
 @query
 def stream_ingest_routed(spark, sf_dir):
     """Events as messages of five topics, appended to the raw tables they route to."""
-    _stream_settings(spark)
     root = work_dir(spark, "ingest")
     names = ("raw_nonmnpi.accounts", "raw_mnpi.orders", "raw_mnpi.trades", "raw_nonmnpi.market_data")
     tables = {name: VersionedTable(spark, f"{root}/{name}") for name in names}
@@ -621,7 +626,6 @@ def stream_ingest_routed(spark, sf_dir):
 @query
 def stream_curated_ticks(spark, sf_dir):
     """The curated ticks, folded batch by batch from a stream."""
-    _stream_settings(spark)
     root = work_dir(spark, "curate")
     target = VersionedTable(spark, f"{root}/ticks", bucket_keys=["tick_id"], buckets=16)
     raw = adapters.ticks_from_events(_event_stream(spark, sf_dir))
@@ -640,9 +644,8 @@ def stream_curated_ticks(spark, sf_dir):
 
 @query
 def stream_ohlc(spark, sf_dir):
-    _stream_settings(spark)
     root = work_dir(spark, "ohlc")
-    bars = VersionedTable(spark, f"{root}/bars")
+    bars = VersionedTable(spark, f"{root}/bars", bucket_keys=BAR_KEYS, buckets=16)
     raw = adapters.ticks_from_events(_event_stream(spark, sf_dir))
     _finish(ohlc_stream(typed_ticks(raw), bars, f"{root}/checkpoint", available_now=True))
     return latest_bars(bars)
@@ -651,7 +654,6 @@ def stream_ohlc(spark, sf_dir):
 @query
 def stream_dedup(spark, sf_dir):
     """Every event delivered twice, stored once."""
-    _stream_settings(spark)
     root = work_dir(spark, "dedup")
     table = VersionedTable(spark, f"{root}/events")
     twice = _event_stream(spark, sf_dir).unionByName(_event_stream(spark, sf_dir))
