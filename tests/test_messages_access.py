@@ -8,6 +8,7 @@ from tidemark.model import GRANTS, MESSAGE_CONTRACTS, ORDERS, TABLE_CONTRACTS, T
 from tidemark.operators import access, contracts, routing
 from tidemark.operators.cdc import unwrap_cdc
 from tidemark.operators.quality import QualityError, freshness, no_nulls, not_empty, quality_gate, row_counts
+from tidemark.sources.audit import parse_audit, read_audit_log
 from tidemark.sources.feed import quotes_to_ticks, trades_to_orders
 from tidemark.sources.messages import parse_messages
 
@@ -175,6 +176,12 @@ def test_message_contracts(spark, contract, record, expected):
     assert tagged.first()["violations"] == expected
 
 
+def test_records_are_parsed_once_even_when_split(spark):
+    tagged = contracts.tag_message_violations(texts(spark, "{}"), MESSAGE_CONTRACTS["market-data"])
+    for part in contracts.split_valid(tagged):
+        assert part._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+
+
 def test_broken_and_missing_records(spark):
     tagged = contracts.tag_message_violations(texts(spark, "{oops", None), MESSAGE_CONTRACTS["market-data"])
     assert rows(tagged, "violations") == [(["record: malformed"],), (["record: malformed"],)]
@@ -247,6 +254,24 @@ def test_new_tables_inherit_tags(spark):
     ]
 
 
+def test_audit_log_from_files_and_text(spark, tmp_path):
+    record = {
+        "useridentity": {"type": "user", "username": "data-analyst"},
+        "eventtime": "2026-03-02T10:15:00Z",
+        "eventname": "GetObject",
+        "resources": [{"arn": "curated_mnpi"}, {"arn": "curated_nonmnpi"}],
+        "requestid": "ignored",
+    }
+    (tmp_path / "log.json").write_text(json.dumps(record) + "\n" + json.dumps(record) + "\n")
+    matrix = access.access_matrix(access.standard_databases(spark))
+    for records in (read_audit_log(spark, str(tmp_path)), parse_audit(texts(spark, *[json.dumps(record)] * 2))):
+        report = access.audit_report(records, matrix)
+        assert rows(report, "resource", "accesses", "permission", "outside_policy") == [
+            ("curated_mnpi", 2, "DENIED", True),
+            ("curated_nonmnpi", 2, "SELECT", False),
+        ]
+
+
 def test_denied_read_is_an_error_not_an_empty_result(spark):
     spark.sql("CREATE DATABASE IF NOT EXISTS curated_mnpi")
     spark.range(2).write.mode("overwrite").saveAsTable("curated_mnpi.orders")

@@ -187,6 +187,15 @@ def test_catalog_watermark(spark):
     spark.sql("DROP TABLE marked")
 
 
+def test_create_table_as(spark, path):
+    catalog.create_table_as(spark.range(3), "reported", f"{path}/reported")
+    assert spark.table("reported").count() == 3
+    assert spark.read.parquet(f"{path}/reported").count() == 3
+    with pytest.raises(Exception, match="reported"):
+        catalog.create_table_as(spark.range(3), "reported", f"{path}/reported")
+    spark.sql("DROP TABLE reported")
+
+
 def test_load_history(spark, path):
     table = VersionedTable(spark, path)
     data = spark.range(10).select("id", (F.col("id") % 2 + 1).alias("b"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import to_typed
+from tidemark.functions.once import evaluate_once
 from tidemark.model import Contract, FieldRule
 
 VIOLATIONS = "violations"
@@ -54,8 +55,7 @@ def tag_message_violations(df: DataFrame, contract: Contract, value_col: str = "
     bad = "__unparsed"
     fields = ", ".join(f"`{rule.name}` variant" for rule in contract.fields)
     parse = F.from_json(value_col, f"{fields}, {bad} string", {"columnNameOfCorruptRecord": bad})
-    # Each step is used several times by the next, so Spark keeps them apart: parse, look up, judge.
-    parsed = df.withColumn("__record", parse)
+    parsed = df.select(*df.columns, evaluate_once(parse).alias("__record"))
     is_object = F.trim(F.col(value_col)).startswith("{") & F.col(f"__record.{bad}").isNull()
     looked_up = parsed.select(
         *df.columns,

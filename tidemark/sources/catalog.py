@@ -1,8 +1,8 @@
-"""Catalog tables: existence probe and the watermark kept as a table property."""
+"""Catalog tables: existence probe, create-as-select, and the watermark kept as a table property."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 WATERMARK_PROPERTY = "last_processed_snapshot_id"
 
@@ -20,3 +20,8 @@ def get_watermark(spark: SparkSession, table: str) -> int | None:
 
 def set_watermark(spark: SparkSession, table: str, snapshot_id: int) -> None:
     spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ('{WATERMARK_PROPERTY}' = '{int(snapshot_id)}')")
+
+
+def create_table_as(df: DataFrame, table: str, location: str) -> None:
+    """Write a result as Parquet files at `location` and register it; an existing table is an error."""
+    df.write.format("parquet").option("path", location).saveAsTable(table)

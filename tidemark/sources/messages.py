@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.once import evaluate_once
+
 _BAD = "__unparsed"
 _PARSED = "__parsed"
 
@@ -34,9 +36,7 @@ def parse_messages(df: DataFrame, schema: T.StructType, value_col: str = "value"
     )
     others = [c for c in df.columns if c != value_col]
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD}
-    # Parsing inside a generator keeps it a step of its own. As a plain column the filters below would
-    # be pushed under it with a copy of the parse, and every message would be parsed twice.
-    once = F.explode(F.array(F.from_json(value_col, wrapper, options)))
+    once = evaluate_once(F.from_json(value_col, wrapper, options))
     parsed = df.where(F.col(value_col).isNotNull()).select(*df.columns, once.alias(_PARSED))
     wrapped = F.col(f"{_PARSED}.payload").isNotNull()
     fields = [

@@ -145,7 +145,8 @@ positions AS (
   SELECT o.account_id, t.instrument_id, cast(t.executed_at AS date) AS position_date,
     sum(CASE WHEN o.side = 'BUY' THEN t.quantity ELSE -t.quantity END) AS quantity,
     arg_max(t.price, (t.executed_at, t.trade_id)) AS last_price,
-    count(*) AS execution_count, max(t.executed_at) AS updated_at
+    count(*) AS execution_count, max(t.executed_at) AS updated_at,
+    arg_max(t.trade_id, (t.executed_at, t.trade_id)) AS last_trade_id
   FROM trades t JOIN current_orders o USING (order_id)
   GROUP BY ALL),
 valued AS (SELECT *, round(quantity * last_price, 2) AS market_value FROM positions)"""
@@ -364,11 +365,12 @@ SELECT cast(cast(executed_at AS date) AS varchar) AS trade_date, ticker, name AS
 FROM trades JOIN instruments USING (instrument_id) GROUP BY 1, 2, 3, 4""",
     "executions_enriched": f"""WITH {CURRENT_ORDERS}, {TRADES}
 SELECT trade_id, order_id, account_id, side, cast(t.quantity AS double) AS quantity, cast(price AS double) AS price,
-  cast(settlement_date AS varchar) AS settlement_date
+  cast(settlement_date AS varchar) AS settlement_date,
+  cast(cast(executed_at AS date) + 2 AS varchar) AS settlement_due
 FROM trades t JOIN current_orders USING (order_id)""",
     "position_build": f"""WITH {POSITIONS}
 SELECT account_id, instrument_id, cast(position_date AS varchar) AS position_date, cast(quantity AS double) AS quantity,
-  cast(last_price AS double) AS last_price, cast(market_value AS double) AS market_value, execution_count, updated_at
+  cast(last_price AS double) AS last_price, cast(market_value AS double) AS market_value, execution_count, updated_at, last_trade_id
 FROM valued""",
     "position_report": f"""WITH {POSITIONS}, {ACCOUNTS}, {INSTRUMENTS}
 SELECT account_name, account_type, ticker, name AS instrument_name, cast(quantity AS double) AS quantity,
@@ -514,3 +516,4 @@ UNION ALL SELECT 'analytics_nonmnpi.market_summary', 'full', 1,
   count(*) FROM (SELECT DISTINCT ticker, tick_hour FROM ticks)""",
 }
 ORACLES["incremental_entity_merge"] = ORACLES["merge_orders"]
+ORACLES["position_fold"] = ORACLES["position_build"]

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions import settlement_date
 from tidemark.model import (
     ACCOUNTS,
-    AUDIT_RECORD,
     INSTRUMENTS,
     MESSAGE_CONTRACTS,
     ORDERS,
@@ -36,6 +36,7 @@ from tidemark.plans.incremental import run_entity, run_incremental
 from tidemark.plans.medallion import MedallionTables, run_medallion
 from tidemark.session import tune, work_dir
 from tidemark.sources import feed
+from tidemark.sources.audit import parse_audit
 from tidemark.sources.messages import parse_messages
 from tidemark.sources.versioned import VersionedTable
 from tidemark.streaming.curate import BAR_KEYS, curate_stream, dedup_stream, latest_bars, ohlc_stream
@@ -268,7 +269,8 @@ def trade_summary_daily(spark, sf_dir):
 @query
 def executions_enriched(spark, sf_dir):
     rows = trading.enrich_executions(_trades(spark, sf_dir), _orders(spark, sf_dir))
-    return rows.select("trade_id", "order_id", "account_id", "side", "quantity", "price", "settlement_date")
+    due = settlement_date(F.to_date("executed_at")).alias("settlement_due")
+    return rows.select("trade_id", "order_id", "account_id", "side", "quantity", "price", "settlement_date", due)
 
 
 def _positions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -280,6 +282,15 @@ def position_build(spark, sf_dir):
     return _positions(spark, sf_dir)
 
 
+@query
+def position_fold(spark, sf_dir):
+    """Positions of the earlier executions, then the later ones added; the oracle builds them at once."""
+    trades, orders = _trades(spark, sf_dir), _orders(spark, sf_dir)
+    late = F.hour("executed_at") > 3
+    stored = trading.build_positions(trades.where(~late), orders)
+    return trading.fold_positions(stored, trading.build_positions(trades.where(late), orders))
+
+
 @query
 def position_report(spark, sf_dir):
     report = trading.position_report(
@@ -589,8 +600,7 @@ def access_matrix(spark, sf_dir):
 
 @query
 def audit_access_report(spark, sf_dir):
-    text = adapters.audit_records(spark, sf_dir)
-    records = text.select(F.from_json("value", AUDIT_RECORD).alias("r")).select("r.*")
+    records = parse_audit(adapters.audit_records(spark, sf_dir))
     return access.audit_report(records, access.access_matrix(access.standard_databases(spark)))
 
 
