@@ -393,8 +393,11 @@ class VersionedTable:
         self._write_ledger([(len(commits), snapshot, at, "watermark", None, watermark, summary, None)])
 
     def _write_ledger(self, rows: list[tuple]) -> None:
-        entries = self.spark.createDataFrame(rows, LEDGER_SCHEMA).coalesce(1)
-        entries.write.mode("append").option("timestampFormat", LEDGER_TIME).json(f"{self.path}/ledger")
+        """Append ledger lines as one small file, whose appearance is the commit."""
+        names = T.StructType.fromDDL(LEDGER_SCHEMA).names
+        lines = [json.dumps(dict(zip(names, row)), default=_utc_text) for row in rows]
+        entries = self.spark.range(1, numPartitions=1).select(F.lit("\n".join(lines)).alias("value"))
+        entries.write.mode("append").text(f"{self.path}/ledger")
 
 
 def _folder(snapshot: int) -> str:
@@ -451,6 +454,10 @@ def _merge_schemas(known: T.StructType | None, new: T.StructType) -> T.StructTyp
     return T.StructType([*known.fields, *(f for f in new.fields if f.name not in types)])
 
 
+def _utc_text(when: datetime) -> str:
+    return when.astimezone(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.%fZ")
+
+
 def _naive_local(when: datetime) -> datetime:
     """Spark hands out timestamps as naive local datetimes; bring `when` to the same form."""
     return when.astimezone().replace(tzinfo=None) if when.tzinfo else when
