@@ -127,8 +127,10 @@ def test_medallion_run_then_skip_then_increment(spark, path):
     assert [(r.mode, r.row_count) for r in first] == [("full", 2), ("full", 2), ("full", 1), ("full", 2)]
     tables.raw_ticks.append(spark.createDataFrame([tick(3, 140)], RAW))
     second = run_medallion(tables)
-    assert [(r.mode, r.row_count) for r in second] == [("skip", 0), ("incremental", 1), ("full", 1), ("full", 3)]
+    assert [(r.mode, r.row_count) for r in second] == [("skip", 0), ("incremental", 1), ("skip", 0), ("full", 3)]
     assert tables.market_summary.read().count() == 3
+    third = run_medallion(tables, full_refresh=True)
+    assert [(r.mode, r.row_count) for r in third] == [("full", 2), ("full", 3), ("full", 1), ("full", 3)]
 
 
 def test_summaries_do_not_start_when_a_curated_job_fails(spark, path):

@@ -99,6 +99,16 @@ def test_upsert_rewrites_only_touched_buckets(spark, path):
     assert rows(table.read_as_of(1).where("k = 'k7'"), "v") == [("old",)]
 
 
+def test_bucket_files_are_sorted(spark, path):
+    table = VersionedTable(spark, path, bucket_keys=["k"], buckets=2, sort_by=["t"])
+    table.replace(df(spark, *[(f"k{i}", (i * 37) % 100, "x") for i in range(100)]))
+    table.upsert(df(spark, *[(f"n{i}", (i * 37) % 100, "x") for i in range(100)]), ["t"])
+    assert table.read().count() == 200
+    for file in table.read().inputFiles():
+        stored = [r.t for r in spark.read.parquet(file).collect()]
+        assert stored == sorted(stored)
+
+
 def test_empty_increment_moves_only_the_watermark(spark, path):
     table = VersionedTable(spark, path, bucket_keys=["k"], buckets=4)
     table.replace(df(spark, ("a", 1, "x")), watermark=1)

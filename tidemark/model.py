@@ -324,6 +324,7 @@ GRANTS = (
     ),
 )
 
+# Format of the audit log.
 AUDIT_RECORD = """
     eventversion string,
     useridentity struct<

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -29,24 +30,42 @@ class MedallionTables:
             raw_orders=VersionedTable(spark, f"{root}/raw_mnpi/orders"),
             raw_ticks=VersionedTable(spark, f"{root}/raw_nonmnpi/market_data"),
             order_events=VersionedTable(
-                spark, f"{root}/curated_mnpi/order_events", bucket_keys=["order_id"], buckets=buckets
+                spark,
+                f"{root}/curated_mnpi/order_events",
+                bucket_keys=["order_id"],
+                buckets=buckets,
+                sort_by=["created_at"],
             ),
             market_ticks=VersionedTable(
-                spark, f"{root}/curated_nonmnpi/market_ticks", bucket_keys=["tick_id"], buckets=buckets
+                spark,
+                f"{root}/curated_nonmnpi/market_ticks",
+                bucket_keys=["tick_id"],
+                buckets=buckets,
+                sort_by=["tick_timestamp"],
             ),
             order_summary=VersionedTable(spark, f"{root}/analytics_mnpi/order_summary"),
             market_summary=VersionedTable(spark, f"{root}/analytics_nonmnpi/market_summary"),
         )
 
 
-def _analytics(name: str, target: VersionedTable, source: VersionedTable, rows: DataFrame) -> RunResult:
+def _analytics(
+    name: str,
+    target: VersionedTable,
+    source: VersionedTable,
+    summarise: Callable[[DataFrame], DataFrame],
+    full_refresh: bool,
+) -> RunResult:
+    """Recompute a summary, unless its curated table is still the one it was computed from."""
+    version = source.current()
+    if not full_refresh and target.watermark() == version:
+        return RunResult(name, "skip", target.current(), version, 0)
     counted: dict = {}
 
     def gate(written: DataFrame) -> None:
         counted.update(quality_gate(written, name, not_empty()))
 
-    snapshot = target.replace(rows, watermark=source.current(), gate=gate)
-    return RunResult(name, "full", snapshot, source.current(), counted["row_count"])
+    snapshot = target.replace(summarise(source.read_as_of(version)), watermark=version, gate=gate)
+    return RunResult(name, "full", snapshot, version, counted["row_count"])
 
 
 def run_medallion(
@@ -91,14 +110,16 @@ def run_medallion(
                 "analytics_mnpi.order_summary",
                 t.order_summary,
                 t.order_events,
-                order_summary(t.order_events.read()),
+                order_summary,
+                full_refresh,
             ),
             pool.submit(
                 _analytics,
                 "analytics_nonmnpi.market_summary",
                 t.market_summary,
                 t.market_ticks,
-                market_summary(t.market_ticks.read()),
+                market_summary,
+                full_refresh,
             ),
         ]
         return results + [job.result() for job in summaries]
