@@ -140,6 +140,13 @@ def test_row_changes(spark):
     assert rows(row_changes(before, after, ["k"])) == [("b", "changed"), ("c", "removed"), ("d", "added")]
 
 
+def test_row_changes_sees_a_value_move_to_the_next_column(spark):
+    columns = "k int, a string, b string"
+    before = spark.createDataFrame([(1, None, "x")], columns)
+    after = spark.createDataFrame([(1, "x", None)], columns)
+    assert rows(row_changes(before, after, ["k"])) == [(1, "changed")]
+
+
 def test_plan_run(spark, path):
     source = VersionedTable(spark, f"{path}/s")
     target = VersionedTable(spark, f"{path}/t", bucket_keys=["k"], buckets=2)

@@ -35,7 +35,9 @@ def row_changes(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> Dat
     values = [c for c in names if c not in keys]
 
     def digest(df: DataFrame, alias: str) -> DataFrame:
-        return df.select(*keys, F.xxhash64(*[F.col(v) for v in values]).alias(alias))
+        # The hash passes over NULLs, so a value moving to the neighbouring column needs the flags.
+        parts = [part for v in values for part in (F.col(v), F.col(v).isNull())]
+        return df.select(*keys, F.xxhash64(*parts).alias(alias))
 
     joined = digest(before, "old").join(digest(after, "new"), list(keys), "full_outer")
     kind = (

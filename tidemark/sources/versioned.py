@@ -193,7 +193,8 @@ class VersionedTable:
         batch_id: int | None = None,
         committed_at: datetime | None = None,
     ) -> int | None:
-        """Append one snapshot. A streaming batch the writer already committed is skipped.
+        """Append one snapshot. A streaming batch the writer already committed is skipped; a stream that
+        starts over with a new checkpoint numbers its batches anew and needs a new writer name.
 
         New columns are added to the table's schema; rows without them read as NULL.
         """
