@@ -245,6 +245,19 @@ def test_access_matrix(spark):
     assert all(access.permission(p, tags[db], GRANTS) == right for (db, p), right in matrix.items())
 
 
+def test_matrix_needs_no_shuffle_and_agrees_with_the_grants(spark):
+    databases = access.standard_databases(spark)
+    matrix = access.access_matrix(databases)
+    assert "Exchange" not in matrix._jdf.queryExecution().executedPlan().toString()
+    allowed = matrix.where("permission != 'DENIED'")
+    assert rows(access.satisfied_grants(databases)) == rows(allowed)
+
+
+def test_resource_without_a_tag_is_denied(spark):
+    bare = spark.sql("SELECT 'r' AS resource, map('sensitivity', 'mnpi') AS tags")
+    assert rows(access.access_matrix(bare), "permission") == [("DENIED",)] * 3
+
+
 def test_new_tables_inherit_tags(spark):
     tables = spark.createDataFrame([("curated_mnpi.new", "curated_mnpi")], "table string, database string")
     inherited = access.inherit_tags(tables, access.standard_databases(spark))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import parse_timestamp
@@ -18,13 +18,21 @@ class AccessDenied(PermissionError):
 
 
 def standard_databases(spark: SparkSession) -> DataFrame:
-    """The six layer-by-zone databases with their tags: `resource`, `tags` map."""
+    """The six layer-by-zone databases with their tags: `resource`, `tags` map.
+
+    Built from literals, so that Spark knows how small it is and broadcasts it where it is joined.
+    """
     rows = [
-        (database_name(layer, zone), {"sensitivity": ZONE_SENSITIVITY[zone], "layer": layer})
+        F.struct(
+            F.lit(database_name(layer, zone)).alias("resource"),
+            F.create_map(
+                F.lit("sensitivity"), F.lit(ZONE_SENSITIVITY[zone]), F.lit("layer"), F.lit(layer)
+            ).alias("tags"),
+        )
         for layer in LAYERS
         for zone in ZONES
     ]
-    return spark.createDataFrame(rows, "resource string, tags map<string,string>")
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def inherit_tags(tables: DataFrame, databases: DataFrame) -> DataFrame:
@@ -33,47 +41,40 @@ def inherit_tags(tables: DataFrame, databases: DataFrame) -> DataFrame:
     return tables.join(tags, "database").select(F.col("table").alias("resource"), "tags")
 
 
-def _grant_rows(spark: SparkSession, grants: Iterable[Grant]) -> DataFrame:
-    rows = [
-        (number, g.principal, g.permission, len(g.expressions), key, value)
-        for number, g in enumerate(grants)
-        for key, values in g.expressions.items()
-        for value in values
-    ]
-    return spark.createDataFrame(
-        rows,
-        "grant_id int, principal string, permission string, key_count int, tag_key string, tag_value string",
-    )
+def _satisfied(grant: Grant) -> Column:
+    """Every tag key of the grant holds one of its allowed values; a missing tag fails."""
+    matches = F.lit(True)
+    for key, values in grant.expressions.items():
+        matches = matches & F.coalesce(F.col("tags")[key].isin(*values), F.lit(False))
+    return matches
 
 
 def satisfied_grants(resources: DataFrame, grants: Iterable[Grant] = GRANTS) -> DataFrame:
     """(resource, principal, permission) for every grant all of whose tag keys match.
 
-    Relational division: match single tags by equality, then keep the (resource, grant) pairs that
-    matched as many keys as the grant names. A resource has one value per key, so a plain count does,
-    and it is partly done before the shuffle.
+    Grants are configuration, so each becomes a condition on the tag map: no join, and no shuffle on
+    the few tag values, which would each hold a large share of all resources.
     """
-    tags = resources.select("resource", F.explode("tags").alias("tag_key", "tag_value"))
-    matched = tags.join(_grant_rows(resources.sparkSession, grants), ["tag_key", "tag_value"])
-    pairs = matched.groupBy("resource", "grant_id", "principal", "permission", "key_count").agg(
-        F.count(F.lit(1)).alias("matched_keys")
-    )
-    return pairs.where(F.col("matched_keys") == F.col("key_count")).select("resource", "principal", "permission")
+    held = [
+        F.when(_satisfied(g), F.struct(F.lit(g.principal).alias("principal"), F.lit(g.permission).alias("permission")))
+        for g in grants
+    ]
+    exploded = resources.select("resource", F.explode(F.array(*held)).alias("grant")).where(F.col("grant").isNotNull())
+    return exploded.select("resource", "grant.principal", "grant.permission").distinct()
 
 
 def access_matrix(resources: DataFrame, grants: Iterable[Grant] = GRANTS) -> DataFrame:
-    """One row per resource and principal: ALL, SELECT or DENIED."""
+    """One row per resource and principal: ALL, SELECT or DENIED. Narrow: resources never shuffle."""
     grants = tuple(grants)
-    principals = sorted({g.principal for g in grants})
-    cells = resources.select("resource", F.explode(F.array(*map(F.lit, principals))).alias("principal"))
-    best = (
-        satisfied_grants(resources, grants)
-        .groupBy("resource", "principal")
-        .agg(F.when(F.max(F.col("permission") == "ALL"), F.lit("ALL")).otherwise(F.lit("SELECT")).alias("permission"))
-    )
-    return cells.join(best, ["resource", "principal"], "left").select(
-        "resource", "principal", F.coalesce("permission", F.lit(DENIED)).alias("permission")
-    )
+    cells = []
+    for principal in sorted({g.principal for g in grants}):
+        own = [g for g in grants if g.principal == principal]
+        right = F.lit(DENIED)
+        for level in ("SELECT", "ALL"):
+            for grant in (g for g in own if g.permission == level):
+                right = F.when(_satisfied(grant), F.lit(level)).otherwise(right)
+        cells.append(F.struct(F.lit(principal).alias("principal"), right.alias("permission")))
+    return resources.select("resource", F.inline(F.array(*cells)))
 
 
 def permission(principal: str, tags: Mapping[str, str], grants: Iterable[Grant] = GRANTS) -> str:
