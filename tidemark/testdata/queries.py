@@ -306,9 +306,7 @@ def net_position_top(spark, sf_dir):
 
 @query
 def daily_notional_top(spark, sf_dir):
-    executed = trading.enrich_executions(_trades(spark, sf_dir), _orders(spark, sf_dir))
-    states = _orders(spark, sf_dir).select("order_id", "status")
-    rows = executed.join(states, "order_id")
+    rows = trading.enrich_executions(_trades(spark, sf_dir), _orders(spark, sf_dir), ["status"])
     return trading.daily_notional(rows, ["FILLED", "PARTIAL"], 200, event_time="executed_at")
 
 
