@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,7 +63,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
     """(batch slice, its texts with null as ""), each of at most `limit` bytes unless one text is longer."""
     for batch in batches:
         at = batch.schema.get_field_index(column)
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(at)), 0))
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(at)), 0))
         bounds = np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // limit, prepend=0))
         for start, end in zip([0, *bounds], [*bounds, batch.num_rows], strict=True):
             if end > start:

@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm import quality, toxicity
+from tidemark.llm.common import folds, table
 from tidemark.llm.exact_dedup import exact_dedup
+from tidemark.llm.nearest import search
 from tidemark.llm.packing import pack
 from tidemark.llm.sentencepiece_codec import encode_decode
+from tidemark.llm.simhash_dedup import simhash_classes
+from tidemark.llm.token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,3 +53,35 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), digest=True)
+
+
+@_query
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@_query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lexicon = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold_out=(3, 1))
+    scored = toxicity.score(docs, lexicon).withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+    return scored.select("doc_id", folds("doc_id", 3, 1).alias("held_out"), "score", "predicted")
+
+
+@_query
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_classes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@_query
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), fold_out=(5, 0))
+    scored = quality.score(docs, model).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+    return scored.select("doc_id", folds("doc_id", 5, 0).alias("held_out"), "score", "predicted")
+
+
+@_query
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
