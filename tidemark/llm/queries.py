@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import license_scan, quality, toxicity
 from tidemark.llm.common import folds, table
 from tidemark.llm.exact_dedup import exact_dedup
+from tidemark.llm.lm_score import lm_score
 from tidemark.llm.nearest import search
 from tidemark.llm.packing import pack
 from tidemark.llm.sentencepiece_codec import encode_decode
@@ -93,3 +94,8 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op4_license_scan"] = license_scan.oracle_sql()
+
+
+@_query
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score(table(spark, sf_dir, "documents"), folds("doc_id", 7, 2))
