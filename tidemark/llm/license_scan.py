@@ -9,7 +9,7 @@ by counting the shared shingles.
 What could not be verified is left out before hashing. k shingles of a template cover k + 4 of its words, so a window that
 holds a share c of its shingles holds all of these words but the repeated ones; a window that shares fewer words with every
 template of its size is dropped. Before a text is split into words it has to contain a cover word: these are
-chosen so that each shingle of every template holds one.
+chosen so that no template can lose all shingles with one of them and still match.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.once import evaluate_once
+
 SHINGLE = 5
 #: Notices and characteristic sentences of public licenses.
 TEMPLATES = {
@@ -43,7 +45,6 @@ TEMPLATES = {
     "granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
-_COMMON = {"the", "and", "you", "for", "are", "any", "with", "this", "that", "may", "not", "under", "work", "use", "all"}
 
 
 def words(text: Column) -> Column:
@@ -76,15 +77,27 @@ def _runs(text: str) -> list[tuple[str, ...]]:
     return [tuple(found[i : i + SHINGLE]) for i in range(len(found) - SHINGLE + 1)]
 
 
-def cover_words(templates: dict[str, str]) -> list[str]:
-    """Words of which each shingle of every template holds one: greedily, uncommon words first."""
-    open_runs = {run for text in templates.values() for run in _runs(text)}
-    chosen = []
-    while open_runs:
-        counts = Counter(w for run in open_runs for w in set(run))
-        best = max(counts, key=lambda w: (w not in _COMMON and len(w) > 3, counts[w], len(w), w))
-        chosen.append(best)
-        open_runs = {run for run in open_runs if best not in run}
+def least_shared(n: int, containment: float) -> int:
+    """Shingles that a match shares at least with a template of n."""
+    return math.ceil(containment * n - 1e-9)
+
+
+def cover_words(templates: dict[str, str], containment: float) -> list[str]:
+    """Words of which every match of a template holds one.
+
+    A match misses n - least_shared(n) shingles of a template at most, so the words chosen for it have to stand in more
+    shingles than that. Long words come first: they are rare.
+    """
+    chosen: set[str] = set()
+    for text in templates.values():
+        runs = set(_runs(text))
+        spare = len(runs) - least_shared(len(runs), containment)
+        runs = {run for run in runs if chosen.isdisjoint(run)}
+        while len(runs) > 0 and len(set(_runs(text))) - len(runs) <= spare:
+            counts = Counter(w for run in runs for w in set(run))
+            best = max(counts, key=lambda w: (len(w) >= 7, counts[w], len(w), w))
+            chosen.add(best)
+            runs = {run for run in runs if best not in run}
     return sorted(chosen)
 
 
@@ -93,7 +106,7 @@ def may_match(some_words: Column, templates: dict[str, str], containment: float)
     tests = []
     for text in templates.values():
         found, n = template_words(text), len(set(_runs(text)))
-        least = math.ceil(containment * n - 1e-9) + SHINGLE - 1 - (len(found) - len(set(found)))
+        least = least_shared(n, containment) + SHINGLE - 1 - (len(found) - len(set(found)))
         shared = F.size(F.array_intersect(some_words, F.array(*map(F.lit, sorted(set(found))))))
         tests.append(shared >= max(1, least))
     return reduce(or_, tests)
@@ -139,11 +152,12 @@ def license_scan(
     together, so repeated rows change nothing. Other columns are not read. An empty table gives no rows.
     """
     templates = TEMPLATES if templates is None else templates
-    cover = cover_words(templates)
+    cover = cover_words(templates, containment)
     lowered = F.lower(F.col(text_column))
     rows = docs.filter(reduce(or_, (F.contains(lowered, F.lit(w)) for w in cover)))
-    rows = rows.select(F.col(id_column).alias("doc_id"), words(F.col(text_column)).alias("words"))
-    rows = rows.filter(may_match(F.col("words"), templates, containment)).withColumn("hashes", shingles(F.col("words")))
+    rows = rows.select(F.col(id_column).alias("doc_id"), evaluate_once(words(F.col(text_column))).alias("words"))
+    rows = rows.filter(may_match(F.col("words"), templates, containment))
+    rows = rows.select("doc_id", "words", evaluate_once(shingles(F.col("words"))).alias("hashes"))
     rows = rows.filter(F.size("hashes") > 0)
     grids = [_grid(templates, n, containment) for n in template_sizes(templates)]
     windows = rows.select("doc_id", F.explode(F.concat(*grids)).alias("w")).select("doc_id", "w.n", "w.start", "w.window")
