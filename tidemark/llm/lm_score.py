@@ -30,7 +30,9 @@ from tidemark.llm.elias_fano import Trie
 
 #: The token that ends a text; no word can be a line break.
 END = b"\n"
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 8_000_000
+#: Shards are worked on one at a time, so that more of them per partition bound the memory of a task.
+SHARDS_PER_PARTITION = 4
 
 
 def pack(array: np.ndarray) -> bytes:
@@ -139,18 +141,24 @@ def _split_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"shard": shard, "n": unpack(values), "words": unpack(sizes)})
 
 
+def _pack_bases(rows: pd.DataFrame) -> pd.DataFrame:
+    """The first number of each count in one vocabulary shard."""
+    rows = rows.sort_values("n")
+    packed = [pack(rows[c].to_numpy()) for c in ("n", "base")]
+    return pd.DataFrame({"shard": [int(rows["shard"].iloc[0])], "ns": packed[:1], "bases": packed[1:]})
+
+
 def _number(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Global word numbers + 1 of a block's words in one vocabulary shard; 0 for words without training counts."""
     for frame in frames:
         out = []
-        for counts, places, bases in zip(frame["counts"], frame["places"], frame["bases"], strict=True):
-            table = np.array([(b["n"], b["base"]) for b in bases], np.int64).reshape(-1, 2)
-            table = table[table[:, 0].argsort()]
+        for counts, places, values, bases in zip(*(frame[c] for c in ("counts", "places", "ns", "bases")), strict=True):
             n = unpack(counts)
             known = n > 0
-            base = table[np.searchsorted(table[:, 0], n[known]), 1]
             numbers = np.zeros(len(n), np.int64)
-            numbers[known] = base + unpack(places)[known] + 1
+            if known.any():
+                base = unpack(bases)[np.searchsorted(unpack(values), n[known])]
+                numbers[known] = base + unpack(places)[known] + 1
             out.append(pack(numbers))
         yield pd.DataFrame({"block": frame["block"], "shard": frame["shard"], "numbers": out})
 
@@ -299,7 +307,7 @@ def lm_score(docs: DataFrame, held_out: Column, id_column: str = "doc_id", text_
     documents every word is unknown. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    shards = partitions(spark)
+    shards = SHARDS_PER_PARTITION * partitions(spark)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     blocks = written(_blocks(rows.select("doc_id", "text", held_out.alias("held")), shards), "lm-blocks")
     shard = blocks.select("block", F.explode("vocabulary").alias("v")).select("block", "v.shard", "v.words", "v.counts")
@@ -314,9 +322,9 @@ def lm_score(docs: DataFrame, held_out: Column, id_column: str = "doc_id", text_
     )
     before = F.sum("words").over(Window.partitionBy("n").orderBy("shard")) - F.col("words")
     bases = by_count.withColumn("before", before).join(firsts, "n")
-    bases = bases.groupBy("shard").agg(F.collect_list(F.struct("n", (F.col("first") + F.col("before")).alias("base"))).alias("bases"))
+    bases = bases.select("shard", "n", (F.col("first") + F.col("before")).alias("base"))
+    bases = bases.groupBy("shard").applyInPandas(_pack_bases, "shard int, ns binary, bases binary")
     numbered = counted.filter("block is not null").join(bases, "shard", "left")
-    numbered = numbered.withColumn("bases", F.coalesce("bases", F.array().cast("array<struct<n:bigint,base:bigint>>")))
     numbered = numbered.mapInPandas(_number, "block long, shard int, numbers binary")
     plain = blocks.select("block", "held", "sizes", "tokens")
     dealt = plain.groupBy("block").cogroup(numbered.groupBy("block")).applyInPandas(_deal(steps), "shard int, block long, payload binary")
