@@ -9,7 +9,7 @@ from tidemark.operators.summaries import market_summary
 from tidemark.plans.curated import curate_market_ticks, typed_ticks
 from tidemark.plans.medallion import MedallionTables, run_medallion
 from tidemark.sources.versioned import VersionedTable
-from tidemark.streaming.curate import BAR_KEYS, curate_stream, dedup_stream, latest_bars, ohlc_stream
+from tidemark.streaming.curate import BAR_KEYS, curate_stream, dedup_stream, ohlc_stream
 from tidemark.streaming.ingest import ingest_stream
 
 RAW = (
@@ -62,11 +62,15 @@ def test_ohlc_stream_over_batches_equals_batch_result(spark, path):
         [tick(5, 65, "8.00")],
     ]
     files(spark, path, *batches)
+    store = VersionedTable(spark, f"{path}/ticks")
     bars = VersionedTable(spark, f"{path}/bars", bucket_keys=BAR_KEYS, buckets=4)
-    ohlc_stream(
-        typed_ticks(stream(spark, path)), bars, f"{path}/checkpoint", delay="2 hours", available_now=True
-    ).awaitTermination()
-    found = latest_bars(bars)
+
+    def run(writer, checkpoint):
+        ticks = typed_ticks(stream(spark, path))
+        ohlc_stream(ticks, store, bars, f"{path}/{checkpoint}", writer=writer, available_now=True).awaitTermination()
+
+    run("first", "checkpoint")
+    found = bars.read()
     assert rows(found, "bar_start", "open_price", "high_price", "low_price", "close_price", "tick_count") == [
         (START, 4.0, 7.0, 4.0, 7.0, 3),
         (START + timedelta(hours=1), 8.0, 8.0, 3.0, 3.0, 2),
@@ -74,20 +78,26 @@ def test_ohlc_stream_over_batches_equals_batch_result(spark, path):
     whole = spark.createDataFrame([t for b in batches for t in b], RAW)
     batch = market_summary(curate_market_ticks(whole))
     assert rows(batch, "open_price", "close_price") == rows(found, "open_price", "close_price")
+    before = rows(found)
+    run("second", "other-checkpoint")  # all files again under another name: nothing is counted twice
+    assert rows(bars.read()) == before
+    files(spark, f"{path}/late", [tick(6, 1, "2.00")])  # hours behind what has been seen
+    late = typed_ticks(stream(spark, f"{path}/late"))
+    ohlc_stream(late, store, bars, f"{path}/late-checkpoint", writer="third", available_now=True).awaitTermination()
+    assert rows(bars.read(), "bar_start", "open_price", "tick_count")[0] == (START, 2.0, 4)
 
 
 def test_dedup_stream_across_batches(spark, path):
     schema = "id bigint, ts timestamp"
     files(spark, path, [(1, START), (1, START)], [(1, START), (2, START)], schema=schema)
     table = VersionedTable(spark, f"{path}/out")
-    once = dedup_stream(stream(spark, path, schema), ["id"], "ts", "1 hour")
-
-    def write(batch, batch_id):
-        table.append(batch, writer="w", batch_id=batch_id)
-
-    writer = once.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint")
-    writer.trigger(availableNow=True).start().awaitTermination()
+    dedup_stream(stream(spark, path, schema), table, ["id"], f"{path}/checkpoint", available_now=True).awaitTermination()
     assert rows(table.read(), "id") == [(1,), (2,)]
+    ancient = START - timedelta(days=400)
+    files(spark, f"{path}/late", [(3, ancient), (1, START)], [(3, ancient), (None, START), (None, START)], schema=schema)
+    late = stream(spark, f"{path}/late", schema)
+    dedup_stream(late, table, ["id"], f"{path}/late-checkpoint", writer="late", available_now=True).awaitTermination()
+    assert rows(table.read(), "id") == [(1,), (2,), (3,), (None,)]
 
 
 def test_ingest_routes_and_decodes(spark, path):

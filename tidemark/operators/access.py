@@ -99,12 +99,12 @@ def read_as(spark: SparkSession, principal: str, layer: str, zone: str, table: s
 
 
 def audited_accesses(records: DataFrame) -> DataFrame:
-    """Audit records (see `AUDIT_RECORD`) to one row per touched resource."""
+    """Audit records (see `AUDIT_RECORD`) to one row per touched resource; without resources one row of resource NULL."""
     return records.select(
         F.col("useridentity.username").alias("principal"),
         F.col("eventname").alias("action"),
         parse_timestamp("eventtime").alias("accessed_at"),
-        F.explode("resources").alias("r"),
+        F.explode_outer("resources").alias("r"),
     ).select("principal", "action", "accessed_at", F.col("r.arn").alias("resource"))
 
 

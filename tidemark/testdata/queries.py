@@ -39,7 +39,7 @@ from tidemark.sources import feed
 from tidemark.sources.audit import parse_audit
 from tidemark.sources.messages import parse_messages
 from tidemark.sources.versioned import VersionedTable
-from tidemark.streaming.curate import BAR_KEYS, curate_stream, dedup_stream, latest_bars, ohlc_stream
+from tidemark.streaming.curate import BAR_KEYS, curate_stream, dedup_stream, ohlc_stream
 from tidemark.streaming.ingest import ingest_stream
 from tidemark.testdata import adapters
 
@@ -606,9 +606,10 @@ def audit_access_report(spark, sf_dir):
 
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as a file stream; the pattern matches a file as well as a folder of files."""
-    schema = adapters.table(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/[e]vents.parquet")
+    """Events as a stream of four shuffled files, one per micro-batch, so that each batch has late rows."""
+    events, folder = adapters.table(spark, sf_dir, "events"), work_dir(spark, "event-stream")
+    events.repartition(4, F.xxhash64("event_id")).write.parquet(folder)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
 def _finish(stream) -> None:
@@ -653,26 +654,21 @@ def stream_curated_ticks(spark, sf_dir):
 @query
 def stream_ohlc(spark, sf_dir):
     root = work_dir(spark, "ohlc")
+    store = VersionedTable(spark, f"{root}/ticks")
     bars = VersionedTable(spark, f"{root}/bars", bucket_keys=BAR_KEYS, buckets=16)
     raw = adapters.ticks_from_events(_event_stream(spark, sf_dir))
-    _finish(ohlc_stream(typed_ticks(raw), bars, f"{root}/checkpoint", available_now=True))
-    return latest_bars(bars)
+    _finish(ohlc_stream(typed_ticks(raw), store, bars, f"{root}/checkpoint", available_now=True))
+    return bars.read()
 
 
 @query
 def stream_dedup(spark, sf_dir):
     """Every event delivered twice, stored once."""
     root = work_dir(spark, "dedup")
-    table = VersionedTable(spark, f"{root}/events")
+    target = VersionedTable(spark, f"{root}/events")
     twice = _event_stream(spark, sf_dir).unionByName(_event_stream(spark, sf_dir))
-    once = dedup_stream(twice, ["event_id"], "ts", "1 day")
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        table.append(batch, writer="dedup", batch_id=batch_id)
-
-    stream = once.writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/checkpoint")
-    _finish(stream.trigger(availableNow=True).start())
-    return table.read().select("event_id", "ts", "event_type", "value")
+    _finish(dedup_stream(twice, target, ["event_id"], f"{root}/checkpoint", available_now=True))
+    return target.read().select("event_id", "ts", "event_type", "value")
 
 
 # --------------------------------------------------------------------------------------- whole run
