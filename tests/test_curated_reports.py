@@ -198,6 +198,13 @@ def test_positions_and_report(book):
     assert rows(report, "account_name", "ticker", "implied_price") == [("Alpha", "AAPL", D("191.00")), ("Beta", "SPY", D("525.30"))]
 
 
+def test_positions_need_no_sort(book):
+    orders, trades, _, _ = book
+    positions = trading.build_positions(trades, orders)
+    for df in (positions, trading.fold_positions(positions, positions)):
+        assert "SortAggregate" not in df._jdf.queryExecution().toString()
+
+
 def test_position_report_with_zero_quantity(spark, book):
     _, _, accounts, instruments = book
     flat = spark.sql("SELECT 1L account_id, 1L instrument_id, 0.0 quantity, 10.0 market_value, date'2026-03-02' position_date")

@@ -119,6 +119,19 @@ def test_ingest_routes_and_decodes(spark, path):
     assert len(tables["raw_mnpi.orders"].commits()) == 2
 
 
+def test_ingest_keeps_unrouted_messages_and_refuses_missing_tables(spark, path):
+    schema = "_topic string, value string"
+    files(spark, path, [("cdc.trading.orders", "1"), ("heartbeat", "3"), (None, "4")], schema=schema)
+    tables = {"raw_mnpi.orders": VersionedTable(spark, f"{path}/orders")}
+    kept = VersionedTable(spark, f"{path}/kept")
+    messages = stream(spark, path, schema)
+    ingest_stream(messages, tables, f"{path}/c1", available_now=True, dead_letters=kept).awaitTermination()
+    assert rows(kept.read().select("value")) == [("3",), ("4",)]
+    assert rows(tables["raw_mnpi.orders"].read().select("value")) == [("1",)]
+    with pytest.raises(Exception, match="raw_mnpi.orders"):
+        ingest_stream(messages, {}, f"{path}/c2", available_now=True).awaitTermination()
+
+
 ORDER = (
     "order_id string, account_id string, instrument_id string, side string, quantity string, order_type string, "
     "limit_price string, status string, disclosure_status string, created_at string, updated_at string"
@@ -143,6 +156,19 @@ def test_medallion_run_then_skip_then_increment(spark, path):
     assert [(r.mode, r.row_count) for r in third] == [("full", 2), ("full", 3), ("full", 1), ("full", 3)]
 
 
+def test_equal_times_give_the_same_rows_in_increments_and_in_full(spark, path):
+    tables = MedallionTables.under(spark, path, buckets=4)
+    tables.raw_orders.append(spark.createDataFrame([order("1")], ORDER))
+    for price in ("9.0", "3.0", "5.0"):
+        row = spark.createDataFrame([tick(1, 0)], RAW).withColumn("last_price", F.lit(price))
+        tables.raw_ticks.append(row)
+        run_medallion(tables)
+    folded = rows(tables.market_ticks.read())
+    run_medallion(tables, full_refresh=True)
+    assert rows(tables.market_ticks.read()) == folded
+    assert [r.last_price for r in tables.market_ticks.read().collect()] == [5.0]
+
+
 def test_summaries_do_not_start_when_a_curated_job_fails(spark, path):
     tables = MedallionTables.under(spark, path, buckets=4)
     tables.raw_orders.append(spark.createDataFrame([order("1")], ORDER))

@@ -244,3 +244,39 @@ def test_entity_runs_merge_by_column_rules(spark, path):
     assert run_entity(ORDERS, source, target).mode == "skip"
     with pytest.raises(ValueError):
         target.merge(target.read(), MergeSpec(("status",)))
+
+
+def test_late_events_do_not_overwrite_newer_rows(spark, path):
+    from itertools import permutations
+
+    from tidemark.model import ACCOUNTS
+    from tidemark.plans.incremental import run_entity
+
+    fields = ", ".join(f"{n}: string" for n in ACCOUNTS.columns)
+    blank = dict.fromkeys(ACCOUNTS.columns)
+    # (status, event time, offset): the third is as old as the second, but of a higher offset
+    events = [("ACTIVE", 1000, 1), ("SUSPENDED", 5000, 2), ("CLOSED", 5000, 3)]
+    for turn, order in enumerate(permutations(events)):
+        source = VersionedTable(spark, f"{path}/s{turn}")
+        target = VersionedTable(spark, f"{path}/t{turn}", bucket_keys=["account_id"], buckets=2)
+        for status, at, offset in order:
+            row = ("u", {**blank, "account_id": "7", "status": status}, at, offset)
+            source.append(
+                spark.createDataFrame([row], f"op string, after struct<{fields}>, source_timestamp bigint, offset bigint")
+            )
+            run_entity(ACCOUNTS, source, target, ("offset",))
+        assert rows(target.read().select("account_id", "status")) == [(7, "CLOSED")]
+
+
+def test_another_bucket_count_is_refused(spark, path):
+    first = VersionedTable(spark, path, bucket_keys=["k"], buckets=4)
+    data = spark.range(20).select(F.col("id").alias("k"), F.lit(1).alias("t"))
+    first.upsert(data, ["t"])
+    other = VersionedTable(spark, path, bucket_keys=["k"], buckets=8)
+    with pytest.raises(ValueError, match="4 buckets"):
+        other.upsert(data, ["t"])
+    other.replace(first.read())
+    other.upsert(data, ["t"])
+    assert other.read().count() == 20
+    with pytest.raises(ValueError, match="8 buckets"):
+        first.upsert(data, ["t"])

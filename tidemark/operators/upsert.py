@@ -19,17 +19,22 @@ class MergeSpec:
     """Column rules of a merge: target column -> source column.
 
     `update` lists what a match refreshes (everything else keeps the stored value), `insert` what a
-    new key gets (everything else is NULL).
+    new key gets (everything else is NULL). With `order`, columns that both sides carry, a match
+    changes nothing when the incoming row is older than the stored one; NULLs count as oldest.
     """
 
     keys: tuple[str, ...]
     update: Mapping[str, str] = field(default_factory=dict)
     insert: Mapping[str, str] = field(default_factory=dict)
+    order: tuple[str, ...] = ()
 
 
 def _merged_columns(target: T.StructType, spec: MergeSpec) -> list[Column]:
     """Target columns out of the stored row image `t` and the incoming one `s`; either may be NULL."""
-    has_target, has_source = F.col("t").isNotNull(), F.col("s").isNotNull()
+    has_target, updating = F.col("t").isNotNull(), F.col("s").isNotNull()
+    if spec.order:
+        incoming, stored = (F.struct(*[F.col(f"{side}.{c}") for c in spec.order]) for side in ("s", "t"))
+        updating = updating & (incoming >= stored)
 
     def pick(field: T.StructField) -> Column:
         name = field.name
@@ -37,9 +42,9 @@ def _merged_columns(target: T.StructType, spec: MergeSpec) -> list[Column]:
         inserted = F.col(f"s.{spec.insert[name]}") if name in spec.insert else F.lit(None)
         updated = F.col(f"s.{spec.update[name]}") if name in spec.update else old
         return (
-            F.when(has_target & has_source, updated.cast(field.dataType))
-            .when(has_source, inserted.cast(field.dataType))
-            .otherwise(old)
+            F.when(has_target & updating, updated.cast(field.dataType))
+            .when(has_target, old)
+            .otherwise(inserted.cast(field.dataType))
         ).alias(name)
 
     return [pick(field) for field in target.fields]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import is_buy, mid_price, parse_timestamp, spread, to_typed, to_whole
@@ -12,7 +12,20 @@ from tidemark.model import Entity
 from tidemark.operators.dedup import apply_changes, latest_by_key, not_blank
 from tidemark.operators.upsert import MergeSpec, merge_upsert
 
-def typed_ticks(raw: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+#: Columns that stored rows carry beside their own, so that a later increment can be compared with them: the time of the
+#: event behind an entity row, and the tie breakers in their order.
+EVENT_AT, TIE = "_event_at", "_tie_"
+
+
+def tie_names(tie_breakers: Sequence[str]) -> list[str]:
+    return [f"{TIE}{i}" for i in range(len(tie_breakers))]
+
+
+def _ties(tie_breakers: Sequence[str]) -> list[Column]:
+    return [F.col(t).alias(name) for t, name in zip(tie_breakers, tie_names(tie_breakers), strict=True)]
+
+
+def typed_ticks(raw: DataFrame, keep: Sequence[str | Column] = ()) -> DataFrame:
     """Ticks with typed base columns, tombstones dropped, duplicates still in. Narrow."""
     return raw.where(not_blank("ticker")).select(
         "tick_id",
@@ -27,7 +40,7 @@ def typed_ticks(raw: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def derive_tick_columns(ticks: DataFrame) -> DataFrame:
+def derive_tick_columns(ticks: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return ticks.select(
         "tick_id",
         "ticker",
@@ -40,24 +53,27 @@ def derive_tick_columns(ticks: DataFrame) -> DataFrame:
         spread(F.col("bid"), F.col("ask")).alias("spread"),
         mid_price(F.col("bid"), F.col("ask")).alias("mid_price"),
         F.date_trunc("hour", "tick_timestamp").alias("tick_hour"),
+        *keep,
     )
 
 
-def curate_market_ticks(raw: DataFrame, tie_breakers: Sequence[str] = ()) -> DataFrame:
-    """One typed row per tick id, the newest. `tie_breakers` are raw columns such as an offset.
+def curate_market_ticks(raw: DataFrame, tie_breakers: Sequence[str] = (), *, keep_ties: bool = False) -> DataFrame:
+    """One typed row per tick id, the newest. `tie_breakers` are raw columns such as an offset;
+    `keep_ties` keeps them under `tie_names`, for tables that increments are folded into.
 
     The newest row is chosen by the typed time, not its text: texts of different offset or precision
     do not sort by time. Rows are typed before the shuffle, which makes them smaller, and the
     derived columns are computed after it.
     """
-    newest = latest_by_key(typed_ticks(raw, tie_breakers), ["tick_id"], ["tick_timestamp"], tie_breakers)
-    return derive_tick_columns(newest)
+    ties = tie_names(tie_breakers)
+    newest = latest_by_key(typed_ticks(raw, _ties(tie_breakers)), ["tick_id"], ["tick_timestamp"], ties)
+    return derive_tick_columns(newest, ties if keep_ties else ())
 
 
-def curate_order_events(raw: DataFrame, tie_breakers: Sequence[str] = ()) -> DataFrame:
+def curate_order_events(raw: DataFrame, tie_breakers: Sequence[str] = (), *, keep_ties: bool = False) -> DataFrame:
     """One typed row per order, from the flat change log; deletes are skipped (see `apply_changes`).
 
-    Without a `_cdc` column the input counts as plain rows.
+    Without a `_cdc` column the input counts as plain rows. `keep_ties` is as in `curate_market_ticks`.
     """
     rows = raw.where(F.col("order_id").isNotNull()).withColumn("__at", parse_timestamp("updated_at"))
     if "_cdc" in raw.columns:
@@ -79,6 +95,7 @@ def curate_order_events(raw: DataFrame, tie_breakers: Sequence[str] = ()) -> Dat
         F.col("__at").alias("updated_at"),
         is_buy(F.col("side")).alias("is_buy"),
         F.date_trunc("hour", created).alias("order_hour"),
+        *(_ties(tie_breakers) if keep_ties else ()),
     )
 
 
@@ -100,11 +117,13 @@ def curate_order_stream(raw: DataFrame, tie_breakers: Sequence[str] = ()) -> Dat
     )
 
 
-def curate_entity(raw: DataFrame, entity: Entity, tie_breakers: Sequence[str] = ()) -> DataFrame:
+def curate_entity(
+    raw: DataFrame, entity: Entity, tie_breakers: Sequence[str] = (), *, keep_order: bool = False
+) -> DataFrame:
     """Newest non-deleted row per key of any source table, typed.
 
     Reads both raw shapes: the envelope (`op`, `after`, `source_timestamp`) and the flat row with a
-    `_cdc` struct.
+    `_cdc` struct. `keep_order` adds the columns of `event_order`, for tables that increments are merged into.
     """
     if "after" in raw.columns:
         prefix, op, at = "after.", "op", F.timestamp_millis("source_timestamp")
@@ -114,24 +133,31 @@ def curate_entity(raw: DataFrame, entity: Entity, tie_breakers: Sequence[str] =
     typed = raw.select(
         *[to_typed(F.col(prefix + name), kind).alias(name) for name, kind in entity.columns.items()],
         F.col(op).alias("__op"),
-        at.alias("__at"),
-        *[F.col(t).alias(f"__tie_{i}") for i, t in enumerate(tie_breakers)],
+        at.alias(EVENT_AT),
+        *_ties(tie_breakers),
     ).where(F.col(entity.key).isNotNull())
-    ties = [f"__tie_{i}" for i in range(len(tie_breakers))]
-    newest = apply_changes(typed, [entity.key], ["__at"], ties, op="__op")
+    newest = apply_changes(typed, [entity.key], [EVENT_AT], tie_names(tie_breakers), op="__op")
     return newest.select(
-        *[F.col("__at").alias(name) if name in stamped else F.col(name) for name in entity.output_columns]
+        *[F.col(EVENT_AT).alias(name) if name in stamped else F.col(name) for name in entity.output_columns],
+        *(event_order(tie_breakers) if keep_order else ()),
     )
 
 
-def merge_spec(entity: Entity) -> MergeSpec:
-    """On a match every column but the key and the insert-only ones is refreshed."""
+def event_order(tie_breakers: Sequence[str] = ()) -> tuple[str, ...]:
+    """What decides which of two rows of an entity is newer: the event's time, then the tie breakers."""
+    return (EVENT_AT, *tie_names(tie_breakers))
+
+
+def merge_spec(entity: Entity, order: Sequence[str] = ()) -> MergeSpec:
+    """On a match every column but the key and the insert-only ones is refreshed; with `order`, only by rows that
+    are not older."""
     frozen = {entity.key, *entity.event_time_on_insert}
-    names = list(entity.output_columns)
+    names = [*entity.output_columns, *order]
     return MergeSpec(
         keys=(entity.key,),
         update={n: n for n in names if n not in frozen},
         insert={n: n for n in names},
+        order=tuple(order),
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 
 from tidemark.model import Entity
 from tidemark.operators.quality import no_nulls, quality_gate
-from tidemark.plans.curated import curate_entity, merge_spec
+from tidemark.plans.curated import curate_entity, event_order, merge_spec
 from tidemark.sources.versioned import VersionedTable
 
 
@@ -73,6 +73,7 @@ def _run(
     checks: Mapping[str, Column],
     full_refresh: bool,
     max_snapshots: int | None,
+    with_snapshot: bool = False,
 ) -> RunResult:
     plan = plan_run(source, target, full_refresh, max_snapshots)
     if isinstance(plan, Skip):
@@ -83,11 +84,11 @@ def _run(
         counted.update(quality_gate(rows, name, checks))
 
     if isinstance(plan, Full):
-        rows = transform(source.read_as_of(plan.end))
+        rows = transform(source.read_as_of(plan.end, with_snapshot=with_snapshot))
         snapshot = target.replace(rows, watermark=plan.end, gate=gate)
         mode = "full"
     else:
-        rows = transform(source.read_between(plan.start, plan.end))
+        rows = transform(source.read_between(plan.start, plan.end, with_snapshot=with_snapshot))
         snapshot = write_increment(rows, watermark=plan.end, gate=gate)
         mode = "incremental"
     return RunResult(name, mode, snapshot, plan.end, counted["row_count"])
@@ -104,16 +105,19 @@ def run_incremental(
     tie_breakers: Sequence[str] = (),
     full_refresh: bool = False,
     max_snapshots: int | None = None,
+    with_snapshot: bool = False,
 ) -> RunResult:
     """One run: plan, read, transform, gate, write, move the watermark. The newest row per key wins.
 
-    Data and watermark become visible together, so a run that fails anywhere is simply repeated.
+    Data and watermark become visible together, so a run that fails anywhere is simply repeated. Runs give what
+    one full refresh gives if `order_by` and `tie_breakers`, columns of the transformed rows, order the rows of a key
+    totally; `with_snapshot` offers the raw snapshot's id to `transform` for that.
     """
 
     def write_increment(rows: DataFrame, **options) -> int | None:
         return target.upsert(rows, order_by, tie_breakers, **options)
 
-    return _run(name, source, target, transform, write_increment, checks, full_refresh, max_snapshots)
+    return _run(name, source, target, transform, write_increment, checks, full_refresh, max_snapshots, with_snapshot)
 
 
 def run_entity(
@@ -125,13 +129,18 @@ def run_entity(
     full_refresh: bool = False,
     max_snapshots: int | None = None,
 ) -> RunResult:
-    """One run of a source table's current state, with the entity's MERGE column rules."""
+    """One run of a source table's current state, with the entity's MERGE column rules.
+
+    Every stored row carries the columns of `event_order`: an older event that arrives late changes nothing, and batches
+    in any order give the same rows, but for columns that take the event time of the first merge.
+    """
+    order = event_order(tie_breakers)
     return _run(
         entity.name,
         source,
         target,
-        lambda raw: curate_entity(raw, entity, tie_breakers),
-        lambda rows, **options: target.merge(rows, merge_spec(entity), **options),
+        lambda raw: curate_entity(raw, entity, tie_breakers, keep_order=True),
+        lambda rows, **options: target.merge(rows, merge_spec(entity, order), **options),
         no_nulls(entity.key),
         full_refresh,
         max_snapshots,

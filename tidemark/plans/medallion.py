@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.operators.quality import no_nulls, not_empty, quality_gate
 from tidemark.operators.summaries import market_summary, order_summary
-from tidemark.plans.curated import curate_market_ticks, curate_order_events
+from tidemark.plans.curated import curate_market_ticks, curate_order_events, tie_names
 from tidemark.plans.incremental import RunResult, run_incremental
-from tidemark.sources.versioned import VersionedTable
+from tidemark.sources.versioned import SNAPSHOT, VersionedTable
 
 
 @dataclass(frozen=True)
@@ -77,9 +77,11 @@ def run_medallion(
 ) -> list[RunResult]:
     """Both curated jobs side by side, then both summaries, but only if both curated jobs succeeded.
 
-    A failing job raises; the summaries are then not started.
+    A failing job raises; the summaries are then not started. Of rows of equal time and tie breakers the one of the later
+    raw snapshot wins. Curated rows keep what decided, so that increments and a full refresh agree.
     """
     t = tables
+    order_ties, tick_ties = (*order_tie_breakers, SNAPSHOT), (*tick_tie_breakers, SNAPSHOT)
     with ThreadPoolExecutor(max_workers=2) as pool:
         curated = [
             pool.submit(
@@ -87,9 +89,11 @@ def run_medallion(
                 "curated_mnpi.order_events",
                 t.raw_orders,
                 t.order_events,
-                lambda raw: curate_order_events(raw, order_tie_breakers),
+                lambda raw: curate_order_events(raw, order_ties, keep_ties=True),
                 ["updated_at"],
                 no_nulls("order_id"),
+                tie_breakers=tie_names(order_ties),
+                with_snapshot=True,
                 full_refresh=full_refresh,
             ),
             pool.submit(
@@ -97,9 +101,11 @@ def run_medallion(
                 "curated_nonmnpi.market_ticks",
                 t.raw_ticks,
                 t.market_ticks,
-                lambda raw: curate_market_ticks(raw, tick_tie_breakers),
+                lambda raw: curate_market_ticks(raw, tick_ties, keep_ties=True),
                 ["tick_timestamp"],
                 no_nulls("ticker"),
+                tie_breakers=tie_names(tick_ties),
+                with_snapshot=True,
                 full_refresh=full_refresh,
             ),
         ]

@@ -56,7 +56,8 @@ class Commit:
 class VersionedTable:
     """One dataset. With `bucket_keys`, rows are spread over `buckets` folders by key hash, and an
     upsert rewrites only the folders its keys fall into. Choose `buckets` so that one bucket is a
-    few hundred MB: it is the unit one task rewrites. Files are sorted by `sort_by`, so that a filter on
+    few hundred MB: it is the unit one task rewrites. The ledger keeps the number; an upsert with another one
+    is refused, and `replace` changes it. Files are sorted by `sort_by`, so that a filter on
     those columns, such as a time range, skips most row groups of every bucket.
     """
 
@@ -265,7 +266,7 @@ class VersionedTable:
             added, buckets = staged.count(), None
         if gate is not None:
             gate(staged.drop(BUCKET) if self.bucket_keys else staged)
-        summary = _summary(added, added)
+        summary = _summary(added, added) | self._bucket_note()
         self._commit(commits, snapshot, "replace", buckets, watermark, summary, df.schema, committed_at)
         return snapshot
 
@@ -312,6 +313,7 @@ class VersionedTable:
         if not self.bucket_keys:
             raise ValueError("this needs a table with bucket_keys")
         commits = self.commits()
+        self._check_buckets(commits)
         if writer is not None and _batch_done(commits, writer, batch_id):
             return None
         staging = work_dir(self.spark, "staged")
@@ -340,6 +342,7 @@ class VersionedTable:
             before = stored.count()
             after = self.spark.read.schema(_plus_bucket(merged_schema)).parquet(target).count()
             summary = _summary(sum(incoming.values()), _total(commits) - before + after, writer, batch_id)
+            summary |= self._bucket_note()
             self._commit(commits, snapshot, "upsert", touched, watermark, summary, merged_schema, committed_at)
             return snapshot
         finally:
@@ -374,6 +377,15 @@ class VersionedTable:
     def _with_bucket(self, df: DataFrame) -> DataFrame:
         return df.withColumn(BUCKET, F.pmod(F.xxhash64(*self.bucket_keys), F.lit(self.buckets)).cast("int"))
 
+    def _bucket_note(self) -> dict[str, str]:
+        return {"bucket-count": str(self.buckets)} if self.bucket_keys else {}
+
+    def _check_buckets(self, commits: list[Commit]) -> None:
+        """With another number of buckets, stored rows and the increment's would not meet."""
+        noted = [int(c.summary["bucket-count"]) for c in commits if "bucket-count" in c.summary]
+        if noted and noted[-1] != self.buckets:
+            raise ValueError(f"{self.path} has {noted[-1]} buckets, not {self.buckets}; use replace to change that")
+
     def _write_buckets(self, rows: DataFrame, target: str) -> None:
         """The writer needs rows in bucket order anyway; the other sort columns ride along."""
         ordered = rows.sortWithinPartitions(BUCKET, *self.sort_by)

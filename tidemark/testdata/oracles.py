@@ -517,3 +517,13 @@ UNION ALL SELECT 'analytics_nonmnpi.market_summary', 'full', 1,
 }
 ORACLES["incremental_entity_merge"] = ORACLES["merge_orders"]
 ORACLES["position_fold"] = ORACLES["position_build"]
+for _name, _hidden in {
+    "orders": "created_at",
+    "trades": "",
+    "positions": "",
+    "accounts": "created_at",
+    "instruments": "created_at",
+}.items():
+    _columns = f"* EXCLUDE ({_hidden})" if _hidden else "*"
+    ORACLES[f"late_{_name}"] = f"SELECT {_columns} FROM ({ORACLES[f'merge_{_name}']})"
+ORACLES["ingest_unrouted"] = f"WITH {TOPICS} SELECT event_id, _topic FROM routed WHERE tbl IS NULL"

@@ -17,6 +17,7 @@ from tidemark.model import (
     ORDERS,
     POSITIONS,
     TABLE_CONTRACTS,
+    TOPIC_ROUTES,
     TRADES,
     Entity,
 )
@@ -30,6 +31,7 @@ from tidemark.plans.curated import (
     curate_order_events,
     curate_order_stream,
     merge_entity,
+    tie_names,
     typed_ticks,
 )
 from tidemark.plans.incremental import run_entity, run_incremental
@@ -374,15 +376,17 @@ def incremental_equals_full(spark, sf_dir):
     raw = _tick_table(spark, sf_dir)
     target = VersionedTable(spark, work_dir(spark, "ticks"), bucket_keys=["tick_id"], buckets=16)
 
+    ties = tie_names(TIES)
+
     def transform(rows: DataFrame) -> DataFrame:
-        return curate_market_ticks(rows, TIES)
+        return curate_market_ticks(rows, TIES, keep_ties=True)
 
     target.replace(transform(raw.read_as_of(1)), watermark=1)
     for _ in range(3):
         run_incremental(
-            "ticks", raw, target, transform, ["tick_timestamp"], quality.no_nulls("ticker"), max_snapshots=1
+            "ticks", raw, target, transform, ["tick_timestamp"], quality.no_nulls("ticker"), tie_breakers=ties, max_snapshots=1
         )
-    return target.read()
+    return target.read().drop(*ties)
 
 
 @query
@@ -391,9 +395,45 @@ def incremental_entity_merge(spark, sf_dir):
     raw = VersionedTable(spark, work_dir(spark, "raw-orders"))
     raw.load_history(adapters.order_changes(spark, sf_dir), "batch", committed_at="arrived_at")
     target = VersionedTable(spark, work_dir(spark, "orders"), bucket_keys=["order_id"], buckets=16)
-    target.replace(curate_entity(raw.read_as_of(1), ORDERS, ("offset",)), watermark=1)
+    target.replace(curate_entity(raw.read_as_of(1), ORDERS, ("offset",), keep_order=True), watermark=1)
     run_entity(ORDERS, raw, target, ("offset",))
-    return target.read()
+    return target.read().select(*ORDERS.output_columns)
+
+
+def _late(spark: SparkSession, changes: DataFrame, entity: Entity, ties: tuple[str, ...]) -> DataFrame:
+    """The stored entity after its batches have arrived in reverse, one run each, without insert-only times."""
+    raw = VersionedTable(spark, work_dir(spark, f"late-{entity.name}"))
+    arrived = raw.load_history(changes.withColumn("batch", 4 - F.col("batch")), "batch")
+    target = VersionedTable(spark, work_dir(spark, f"late-{entity.name}-state"), bucket_keys=[entity.key], buckets=16)
+    target.replace(curate_entity(raw.read_as_of(arrived[0]), entity, ties, keep_order=True), watermark=arrived[0])
+    for _ in arrived[1:]:
+        run_entity(entity, raw, target, ties, max_snapshots=1)
+    return target.read().select(*[c for c in entity.output_columns if c not in entity.event_time_on_insert])
+
+
+@query
+def late_orders(spark, sf_dir):
+    return _late(spark, adapters.order_changes(spark, sf_dir), ORDERS, ("offset",))
+
+
+@query
+def late_trades(spark, sf_dir):
+    return _late(spark, adapters.trade_changes(spark, sf_dir), TRADES, ("log_position",))
+
+
+@query
+def late_positions(spark, sf_dir):
+    return _late(spark, adapters.position_changes(spark, sf_dir), POSITIONS, ("log_position",))
+
+
+@query
+def late_accounts(spark, sf_dir):
+    return _late(spark, adapters.account_changes(spark, sf_dir), ACCOUNTS, ()).drop("created_at")
+
+
+@query
+def late_instruments(spark, sf_dir):
+    return _late(spark, adapters.instrument_changes(spark, sf_dir), INSTRUMENTS, ()).drop("created_at")
 
 
 @query
@@ -632,6 +672,17 @@ def stream_ingest_routed(spark, sf_dir):
     return stored
 
 
+@query
+def ingest_unrouted(spark, sf_dir):
+    """Messages of topics without a rule, kept in the dead-letter table."""
+    root = work_dir(spark, "dead-letters")
+    tables = {r.table: VersionedTable(spark, f"{root}/{r.table}") for r in TOPIC_ROUTES}
+    kept = VersionedTable(spark, f"{root}/unrouted")
+    messages = _with_topic(_event_stream(spark, sf_dir))
+    _finish(ingest_stream(messages, tables, f"{root}/checkpoint", available_now=True, dead_letters=kept))
+    return kept.read().select("event_id", "_topic")
+
+
 @query
 def stream_curated_ticks(spark, sf_dir):
     """The curated ticks, folded batch by batch from a stream."""
