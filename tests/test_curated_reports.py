@@ -174,10 +174,10 @@ def book(spark):
     orders = spark.createDataFrame([(1, 1, "BUY"), (2, 1, "SELL"), (3, 2, "BUY")], "order_id bigint, account_id bigint, side string")
     trades = spark.createDataFrame(
         [
-            (1, 1, 1, D(1000), D("185.25"), "NASDAQ", day),
+            (1, 1, 1, D(1100), D("92.40"), "ARCA", day),
             (2, 2, 1, D(200), D("190.00"), "NASDAQ", day.replace(hour=11)),
             (3, 2, 1, D(100), D("191.00"), "NASDAQ", day.replace(hour=11)),
-            (4, 3, 7, D(5000), D("525.30"), "NYSE", day),
+            (4, 3, 7, D(4200), D("311.15"), "BATS", day),
         ],
         "trade_id bigint, order_id bigint, instrument_id bigint, quantity decimal(18,4), price decimal(18,4), "
         "execution_venue string, executed_at timestamp",
@@ -191,11 +191,11 @@ def test_positions_and_report(book):
     orders, trades, accounts, instruments = book
     positions = trading.build_positions(trades, orders)
     assert rows(positions, "account_id", "instrument_id", "quantity", "last_price", "market_value") == [
-        (1, 1, D("700.0000"), D("191.0000"), D("133700.00")),
-        (2, 7, D("5000.0000"), D("525.3000"), D("2626500.00")),
+        (1, 1, D("800.0000"), D("191.0000"), D("152800.00")),
+        (2, 7, D("4200.0000"), D("311.1500"), D("1306830.00")),
     ]
     report = trading.position_report(positions, accounts, instruments)
-    assert rows(report, "account_name", "ticker", "implied_price") == [("Alpha", "AAPL", D("191.00")), ("Beta", "SPY", D("525.30"))]
+    assert rows(report, "account_name", "ticker", "implied_price") == [("Alpha", "AAPL", D("191.00")), ("Beta", "SPY", D("311.15"))]
 
 
 def test_positions_need_no_sort(book):
@@ -215,8 +215,8 @@ def test_trade_summary(book):
     _, trades, _, instruments = book
     report = trading.trade_summary_daily(trades, instruments)
     assert rows(report, "trade_date", "ticker", "trade_count", "total_quantity", "total_notional", "avg_price") == [
-        (date(2026, 3, 2), "AAPL", 3, D("1300.0000"), D("242350.00000000"), D("188.7500")),
-        (date(2026, 3, 2), "SPY", 1, D("5000.0000"), D("2626500.00000000"), D("525.3000")),
+        (date(2026, 3, 2), "AAPL", 3, D("1400.0000"), D("158740.00000000"), D("157.8000")),
+        (date(2026, 3, 2), "SPY", 1, D("4200.0000"), D("1306830.00000000"), D("311.1500")),
     ]
 
 

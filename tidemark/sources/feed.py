@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import parse_timestamp, quote_midpoint, quote_volume
+from tidemark.functions.once import evaluate_once
+from tidemark.sources.messages import ParsedMessages
 
 # Fields of a feed event: text name -> (column, type). Names differ only in case ("T" kind, "t" time),
 # so events are read as maps, whose keys are case sensitive.
@@ -21,18 +23,43 @@ FEED_FIELDS = {
     "s": ("size", "decimal(18,4)"),
     "i": ("trade_id", "bigint"),
 }
+# What an event of a kind cannot do without.
+REQUIRED = {"q": ("symbol", "time", "bid", "ask"), "t": ("symbol", "time", "price", "size")}
 
 
-def feed_events(df: DataFrame, value_col: str = "value") -> DataFrame:
-    """One row per event. A message holding a single object counts as an array of one."""
+def parse_feed(df: DataFrame, value_col: str = "value") -> ParsedMessages:
+    """Feed messages as events. A message holding a single object counts as an array of one.
+
+    `valid`: one row per event, of any kind. `quarantine`: the message text and `reason`, one row per event that lacks
+    a required field or holds it unreadable, and one per message that is no array of objects. A NULL message is a
+    tombstone, and an empty array has no events: neither gives a row.
+    """
     text = F.trim(F.col(value_col))
     listed = F.when(text.startswith("{"), F.concat(F.lit("["), text, F.lit("]"))).otherwise(text)
-    events = df.select(F.explode(F.from_json(listed, "array<map<string,string>>")).alias("e"))
-    return events.select(
-        *[F.col("e")[name].try_cast(kind).alias(column) for name, (column, kind) in FEED_FIELDS.items()]
+    once = evaluate_once(F.from_json(listed, "array<map<string,string>>"))
+    parsed = df.where(F.col(value_col).isNotNull()).select(F.col(value_col).alias("value"), once.alias("__list"))
+    filled = F.when(F.col("__list").isNull() | (F.size("__list") > 0), F.coalesce("__list", F.array(F.lit(None))))
+    events = parsed.select("value", F.explode(filled).alias("e")).select(
+        "value",
+        F.col("e").isNull().alias("__broken"),
+        *[F.col("e")[name].try_cast(kind).alias(column) for name, (column, kind) in FEED_FIELDS.items()],
+    )
+    reason = F.when(F.col("__broken"), "malformed").when(F.col("kind").isNull(), "kind is missing")
+    for kind, columns in REQUIRED.items():
+        for column in columns:
+            value = parse_timestamp(column) if column == "time" else F.col(column)
+            reason = reason.when((F.col("kind") == kind) & value.isNull(), f"{column} is missing or unreadable")
+    return ParsedMessages(
+        events.where(reason.isNull()).drop("value", "__broken"),
+        events.where(reason.isNotNull()).select("value", reason.alias("reason")),
     )
 
 
+def feed_events(df: DataFrame, value_col: str = "value") -> DataFrame:
+    """The valid events of `parse_feed`."""
+    return parse_feed(df, value_col).valid
+
+
 def _known_symbols(events: DataFrame, instruments: DataFrame) -> DataFrame:
     """Events of unknown symbols drop out. Spark broadcasts the instruments while they are small."""
     symbols = instruments.select(F.col("ticker").alias("symbol"), "instrument_id")

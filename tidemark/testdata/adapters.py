@@ -274,7 +274,7 @@ def feed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         {"T": F.lit('"t"'), "S": symbol, "p": price, "s": size, "i": number * 977 + 999_000, "t": time}
     )
     both = F.concat(F.lit("["), quote, F.lit(","), trade, F.lit("]"))
-    return events.select(F.when(number % 4 == 0, quote).otherwise(both).alias("value"))
+    return events.select("event_id", F.when(number % 4 == 0, quote).otherwise(both).alias("value"))
 
 
 def feed_instruments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -527,3 +527,7 @@ for _name, _hidden in {
     _columns = f"* EXCLUDE ({_hidden})" if _hidden else "*"
     ORACLES[f"late_{_name}"] = f"SELECT {_columns} FROM ({ORACLES[f'merge_{_name}']})"
 ORACLES["ingest_unrouted"] = f"WITH {TOPICS} SELECT event_id, _topic FROM routed WHERE tbl IS NULL"
+ORACLES["feed_quarantine"] = """SELECT reason, count(*) AS row_count FROM (
+  SELECT CASE WHEN event_id % 5 = 0 THEN 'malformed' WHEN event_id % 5 = 1 THEN 'bid is missing or unreadable'
+              WHEN event_id % 5 = 2 AND event_id % 4 <> 0 THEN 'price is missing or unreadable' END AS reason FROM events)
+WHERE reason IS NOT NULL GROUP BY 1"""

@@ -628,6 +628,20 @@ def feed_trades_to_orders(spark, sf_dir):
     )
 
 
+@query
+def feed_quarantine(spark, sf_dir):
+    """Messages cut short, quotes without a bid and trades with an unreadable price, with the reason."""
+    messages, turn = adapters.feed_messages(spark, sf_dir), F.col("event_id") % 5
+    broken = (
+        F.when(turn == 0, F.expr("left(value, length(value) - 1)"))
+        .when(turn == 1, F.regexp_replace("value", '"bp"', '"xp"'))
+        .when(turn == 2, F.regexp_replace("value", '"p":', '"p":"n/a","pp":'))
+        .otherwise(F.col("value"))
+    )
+    found = feed.parse_feed(messages.select(broken.alias("value"))).quarantine
+    return found.groupBy("reason").agg(F.count(F.lit(1)).alias("row_count"))
+
+
 # ------------------------------------------------------------------------------------------ access
 
 
