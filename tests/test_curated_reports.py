@@ -175,8 +175,8 @@ def book(spark):
     trades = spark.createDataFrame(
         [
             (1, 1, 1, D(1100), D("92.40"), "ARCA", day),
-            (2, 2, 1, D(200), D("190.00"), "NASDAQ", day.replace(hour=11)),
-            (3, 2, 1, D(100), D("191.00"), "NASDAQ", day.replace(hour=11)),
+            (2, 2, 1, D(200), D("190.00"), "ARCA", day.replace(hour=11)),
+            (3, 2, 1, D(100), D("191.00"), "ARCA", day.replace(hour=11)),
             (4, 3, 7, D(4200), D("311.15"), "BATS", day),
         ],
         "trade_id bigint, order_id bigint, instrument_id bigint, quantity decimal(18,4), price decimal(18,4), "
