@@ -271,6 +271,40 @@ def greedy(word, initial, continuing):
     return count
 
 
+def union_find(links):
+    root = {n: n for link in links for n in link}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in links:
+        low, high = sorted((find(a), find(b)))
+        root[high] = low
+    return sorted((n, find(n)) for n in root)
+
+
+def test_components_equal_union_find_on_chains_and_trees(spark):
+    rng = random.Random(1)
+
+    def chain(names):
+        return list(zip(names, names[1:], strict=False))
+
+    def tree(names):
+        return [(names[k], names[rng.randrange(k)]) for k in range(1, len(names))]
+
+    many = []
+    for k in range(300):
+        names = rng.sample(range(100 * k, 100 * k + 100), rng.randint(5, 20))
+        many += (tree if k % 2 else chain)(names)
+    # In the first one node 3 leads to the roots 1 and 2 after one step.
+    graphs = [[(5, 4), (4, 3), (3, 2), (5, 1)], many, *(f(rng.sample(range(100), n)) for n in (6, 8, 10) for f in (chain, tree))]
+    for links in graphs:
+        found = components(spark.createDataFrame(links, "a long, b long").coalesce(1)).collect()
+        assert sorted(map(tuple, found)) == union_find(links), links
+
+
 def test_longest_match_equals_greedy(docs, empty):
     rng = random.Random(1)
     for _ in range(30):

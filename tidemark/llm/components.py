@@ -18,7 +18,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges has two columns of one orderable type. A large-star step links each node's larger neighbours to its smallest
     neighbour, a small-star step its smaller ones; nodes are joined with their minimum, so a node of very many edges
     is one row on one side of a join that adaptive execution splits. Every step starts from a written table. It ends
-    when all edges lead to a root, after a number of steps that grows with the logarithm of the longest path.
+    when every node has one edge, and that leads to a root: a node of two roots still has to join them.
     """
     a, b = edges.columns
     edges = edges.filter(F.col(a) != F.col(b))
@@ -35,10 +35,11 @@ def components(edges: DataFrame) -> DataFrame:
             low.select("u", F.col("m").alias("v"))
         )
         step = written(small.distinct(), "edges")
-        # All edges are stars: no root has an edge of its own.
+        # All edges are stars: no root has an edge of its own, and no node has two roots.
         chained = step.join(step.select(F.col("v").alias("u")).distinct(), "u", "left_semi")
+        forked = step.groupBy("u").agg(F.count(F.lit(1)).alias("roots")).filter("roots > 1")
         edges = step
-        if chained.isEmpty():
+        if chained.isEmpty() and forked.isEmpty():
             break
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
