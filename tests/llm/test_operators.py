@@ -22,7 +22,7 @@ from tidemark.llm.nearest import search
 from tidemark.llm.packing import pack
 from tidemark.llm.sentencepiece_codec import Codec, encode_decode
 from tidemark.llm.simhash_dedup import fingerprint, simhash_classes, spanning, trie_links
-from tidemark.llm.token_counts import LongestMatch, token_counts
+from tidemark.llm.token_counts import LongestMatch, token_counts, vocabulary
 
 SCHEMA = "doc_id long, text string, keep_id string, n long, words int"
 BYTE_BPE, PIECES = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
@@ -317,3 +317,32 @@ def test_longest_match_equals_greedy(docs, empty):
     rows = collected(token_counts(docs, PIECES))
     assert len(rows) == docs.count() and {r["n_tokens"] for r in rows if r["doc_id"] in (0, 1, 30)} == {0}
     assert token_counts(empty, PIECES).count() == 0
+
+
+def greedy_with_bytes(word, pieces):
+    count, at, word = 0, 0, "▁" + word
+    while at < len(word):
+        size = next((n for n in range(len(word) - at, 0, -1) if word[at : at + n] in pieces), 0)
+        count, at = count + (1 if size else len(word[at].encode())), at + max(1, size)
+    return count
+
+
+def test_token_counts_spell_words_without_an_initial_piece(spark):
+    expected = {"1984": 5, "2024,": 6, "日本語": 4, "ñandú": 4, "😀": 2, "１２": 7, "x▁y": 2, "hello": 2}
+    df = spark.createDataFrame([(k, w) for k, w in enumerate(expected)], "doc_id long, text string")
+    rows = sorted(collected(token_counts(df, PIECES)), key=lambda r: r["doc_id"])
+    assert [(r["n_words"], r["n_tokens"], r["n_unknown"]) for r in rows] == [(1, n, 0) for n in expected.values()]
+    library, rng = sentencepiece.SentencePieceProcessor(model_file=PIECES), random.Random(2)
+    pieces = {library.id_to_piece(i) for i in range(library.get_piece_size()) if not (library.is_byte(i) or library.is_control(i))}
+    automaton = LongestMatch(*vocabulary(PIECES))
+    for _ in range(2000):
+        word = "".join(rng.choice("abcehinorst019,é日本🎉１▁-.") for _ in range(rng.randint(1, 15)))
+        assert automaton.count(word) == greedy_with_bytes(word, pieces), word
+    # Beginnings of pieces that are no pieces themselves.
+    for _ in range(30):
+        pool = [{"".join(rng.choice("abé") for _ in range(rng.randint(1, 4))) for _ in range(8)} for _ in range(2)]
+        automaton = LongestMatch(pool[0] | {""}, pool[1], byte_fallback=True)
+        pieces = {"▁" + p for p in pool[0]} | {"▁"} | pool[1]
+        for _ in range(100):
+            word = "".join(rng.choice("abé") for _ in range(rng.randint(1, 12)))
+            assert automaton.count(word) == greedy_with_bytes(word, pieces)
