@@ -346,3 +346,28 @@ def test_token_counts_spell_words_without_an_initial_piece(spark):
         for _ in range(100):
             word = "".join(rng.choice("abé") for _ in range(rng.randint(1, 12)))
             assert automaton.count(word) == greedy_with_bytes(word, pieces)
+
+
+def test_nearest_neighbours_reach_the_recall_on_the_test_table(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    held = {r["vec_id"]: r["embedding"] for r in table.collect()}
+    ids, x = np.array(sorted(held)), np.array([held[i] for i in sorted(held)], float)
+    found = {}
+    for r in search(table, F.col("vec_id") % 4 == 0).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = []
+    for q in sorted(found):
+        order = [i for i in ids[np.lexsort((ids, ((x - x[np.searchsorted(ids, q)]) ** 2).sum(1)))] if i != q][:10]
+        hits.append(len(found[q] & set(order)))
+    assert len(found) == (ids % 4 == 0).sum()
+    assert np.mean(hits) / 10 >= 0.9, np.mean(hits) / 10
+
+
+@pytest.mark.parametrize("number", [11, 15])
+def test_nearest_neighbours_of_few_rows_are_ten(spark, number):
+    rng = np.random.default_rng(number)
+    vectors = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(number, 8)))]
+    repeated = [vectors[0]] * 3
+    for rows in (vectors, vectors + repeated):
+        got = collected(search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.lit(True)))
+        assert [sum(r["query_id"] == q for r in got) for q in range(number)] == [10] * number
