@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import license_scan, quality, toxicity
 from tidemark.llm.common import folds, table
 from tidemark.llm.exact_dedup import exact_dedup
+from tidemark.llm.inner_products import top_inner_products
 from tidemark.llm.lm_score import lm_score
 from tidemark.llm.nearest import search
 from tidemark.llm.packing import pack
@@ -99,3 +100,22 @@ ORACLES["op4_license_scan"] = license_scan.oracle_sql()
 @_query
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score(table(spark, sf_dir, "documents"), folds("doc_id", 7, 2))
+
+
+@_query
+def op13_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_inner_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+ORACLES["op13_top_products"] = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+    FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0
+), r AS (
+    SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
