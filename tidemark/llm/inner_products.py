@@ -129,8 +129,8 @@ class Pruned:
 
 
 def _blocks(value: str, edges: list[float]) -> Column:
-    """The number of edges that are at most the value."""
-    return sum(((F.col(value) >= e).cast("int") for e in edges), F.lit(0))
+    """The number of edges that are at most the value, which is not negative."""
+    return sum(((F.col(value) >= e).cast("int") for e in edges), (F.col(value) < 0).cast("int"))
 
 
 def _edges(rows: DataFrame, column: str, size: int) -> list[float]:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import license_scan, quality, toxicity
+from tidemark.llm import license_scan, periodic_runs, quality, toxicity
 from tidemark.llm.common import folds, table
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.inner_products import top_inner_products
@@ -22,6 +22,20 @@ from tidemark.llm.token_counts import token_counts
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+#: DuckDB has no crc32: a table of one row with each byte's remainder, and the loop over the bytes of an ASCII text `{0}` beside it.
+CRC_TABLE = """
+crc_step(b, c, k) AS (
+    SELECT i, i::UINTEGER, 0 FROM range(256) r(i)
+    UNION ALL
+    SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UINTEGER) ELSE c >> 1 END, k + 1 FROM crc_step WHERE k < 8
+), crc_table AS (SELECT list(c ORDER BY b) AS remainders FROM crc_step WHERE k = 8)
+"""
+CRC32 = """
+xor(4294967295::UINTEGER, list_reduce(
+    list_prepend(4294967295::UINTEGER, list_transform(string_split({0}, ''), lambda x: ascii(x)::UINTEGER)),
+    lambda a, x: xor(a >> 8, remainders[(xor(a, x) & 255) + 1])))::BIGINT
+"""
+
 
 def _query(function):
     QUERIES[function.__name__] = function
@@ -119,3 +133,73 @@ WITH v AS (
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+
+def with_periodic_tail(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) in which a tenth of the documents, by crc32 of doc_id, end in copies of one stretch of their words."""
+    rows = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    words = F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")
+    rows = rows.withColumn("g", F.floor(F.col("h") / 10)).withColumn("words", F.when(F.col("h") % 10 == 0, words))
+    rows = rows.withColumn("n", F.coalesce(F.size("words"), F.lit(0))).withColumn("a", F.when(F.col("n") > 0, (F.col("g") % F.col("n")).cast("int")))
+    rest = F.col("n") - F.col("a")
+    rows = rows.withColumn("p", (F.lit(1) + F.floor(rest / (3 + F.col("g") % 8))).cast("int"))
+    copies = F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.ceil(rest / F.col("p")).cast("int")))
+    tail = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), F.slice(copies, F.lit(1), rest)), " ")
+    return rows.select("doc_id", F.when(F.col("n") > 0, tail).otherwise(F.col("text")).alias("text"))
+
+
+@_query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(with_periodic_tail(table(spark, sf_dir, "documents")))
+    found = found.withColumn("best", periodic_runs.longest())
+    lines = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.*",
+        F.expr("1000 * best.length DIV best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+#: Places that share 16 words, paired within a document, and islands of neighbouring pairs of one distance.
+ORACLES["op11_periodic_runs"] = f"""
+WITH RECURSIVE {CRC_TABLE}, d AS (
+    SELECT row_number() OVER () AS k, doc_id, {CRC32.format("doc_id::VARCHAR")} AS h,
+           regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w
+    FROM documents, crc_table
+), e AS (
+    SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM d
+), f AS (
+    SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM e
+), v AS (
+    SELECT k, doc_id, n, CASE WHEN a IS NULL THEN w
+        ELSE list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END) END AS w
+    FROM f
+), g AS (
+    SELECT k, n, i, array_to_string(list_slice(w, i + 1, i + 16), ' ') AS gram FROM (SELECT k, n, w, unnest(range(n - 15)) AS i FROM v)
+), pairs AS (
+    SELECT x.k, x.i, y.i - x.i AS q FROM g x JOIN g y ON x.k = y.k AND x.gram = y.gram AND y.i > x.i AND 3 * (y.i - x.i) <= x.n
+), islands AS (
+    SELECT k, q, min(i) AS s, max(i) - min(i) + 16 + q AS len
+    FROM (SELECT *, i - row_number() OVER (PARTITION BY k, q ORDER BY i) AS island FROM pairs) GROUP BY k, q, island
+), runs AS (
+    SELECT k, s, len, min(q) AS q FROM islands WHERE len >= 24 AND len >= 3 * q GROUP BY k, s, len
+), dropped AS (
+    SELECT DISTINCT k, unnest(range(s + q, s + len)) AS i FROM runs
+), kept AS (
+    SELECT p.k, string_agg(p.word, ' ' ORDER BY p.i) AS words
+    FROM (SELECT k, unnest(range(n)) AS i, unnest(w) AS word FROM v) p ANTI JOIN dropped USING (k, i) GROUP BY p.k
+), listed AS (
+    SELECT k, count(*) AS n_runs, string_agg(concat(s, ',', len, ',', q, chr(10)), '' ORDER BY s, q) AS lines FROM runs GROUP BY k
+), best AS (
+    SELECT r.* FROM runs r ANTI JOIN (
+        SELECT x.k, x.s, x.len, x.q FROM runs x JOIN runs y ON x.k = y.k
+        WHERE y.len * x.q > x.len * y.q OR (y.len * x.q = x.len * y.q AND (y.s < x.s OR (y.s = x.s AND y.q < x.q)))
+    ) worse USING (k, s, len, q)
+)
+SELECT v.doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, b.len AS length, q AS period, 1000 * b.len // q AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(words, '')) AS collapsed_sha256
+FROM v LEFT JOIN listed USING (k) LEFT JOIN kept USING (k) LEFT JOIN best b USING (k)
+"""
