@@ -89,5 +89,5 @@ def test_bounds_prune_and_rows_far_too_short_end_the_search():
 @pytest.mark.parametrize("width", [1, 3])
 def test_products_of_few_components(width):
     q, x = np.array([[3.0] * width, [-1.0] * width]), np.array([[2.0] * width, [5.0] * width])
-    assert products(q, x).tolist() == [6 * width, -5 * width]
+    assert products(q, x, np.array([0, 1]), np.array([0, 1])).tolist() == [6 * width, -5 * width]
     assert unpack([], width).shape == (0, width)

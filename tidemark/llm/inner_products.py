@@ -26,7 +26,8 @@ from tidemark.llm.common import written
 #: Bounds are computed in floating point; this share of both lengths is added to them.
 SLACK = 1e-9
 BANDS = 32
-CHUNK = 1024
+#: Rows that a search takes at a time, queries whose start is searched at a time, and pairs multiplied at a time.
+CHUNK, ASKED, PAIRS = 1024, 500, 50_000
 LARGEST = 2**63 - 1
 RESULT = "query_id long, rank int, vec_id long, score long"
 
@@ -51,13 +52,17 @@ def unpack(rows: list[bytes], width: int) -> np.ndarray:
     return np.stack([np.frombuffer(r, "<i4" if len(r) == 4 * width else "<f8").astype(float) for r in rows])
 
 
-def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Inner products of rows of q and x, pair by pair, as exact 64-bit integers; beyond their range the nearest of them."""
-    if not q.size:
-        return np.zeros(len(q), np.int64)
+def products(q: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Inner products of q[i] and x[j], pair by pair, as exact 64-bit integers; beyond their range the nearest of them."""
+    if not len(i) or not q.shape[1]:
+        return np.zeros(len(i), np.int64)
     if np.abs(q).max() * np.abs(x).max() * q.shape[1] < 2**53:
-        return np.einsum("ij,ij->i", q, x).astype(np.int64)
-    sums = (sum(int(a) * int(b) for a, b in zip(r, s, strict=True)) for r, s in zip(q.tolist(), x.tolist(), strict=True))
+        if 8 * len(i) > len(q) * len(x):  # most pairs: as one matrix
+            return (q @ x.T)[i, j].astype(np.int64)
+        pieces = [slice(at, at + PAIRS) for at in range(0, len(i), PAIRS)]
+        return np.concatenate([np.einsum("ij,ij->i", q[i[p]], x[j[p]]) for p in pieces]).astype(np.int64)
+    rows, columns = q.tolist(), x.tolist()
+    sums = (sum(int(a) * int(b) for a, b in zip(rows[r], columns[c], strict=True)) for r, c in zip(i.tolist(), j.tolist(), strict=True))
     return np.array([max(-LARGEST, min(LARGEST, s)) for s in sums], np.int64)
 
 
@@ -99,7 +104,7 @@ class Pruned:
             i, j = self._survivors(rows, q_turned, q_rest, q_size, least, turned, rest, x_size[part])
             other = names[i] != ids[part][j]
             i, j = i[other], j[other]
-            score = products(q[i], x[part][j])
+            score = products(q, x[part], i, j)
             reached = score >= least[i]
             i, j, score = i[reached], j[reached], score[reached]
             merged = [np.concatenate(p) for p in zip(best, (i, ids[part][j], score), strict=True)]
@@ -202,7 +207,7 @@ def top_inner_products(
     first_ids, first_x = first["vec_id"].to_numpy(np.int64), unpack(first["vector"].tolist(), width)
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, ASKED) for b in batches for at in range(0, b.num_rows, ASKED)):
             names = np.asarray(batch.column(0))
             q = unpack(batch.column(1).to_pylist(), width)
             i, _, score = pruned.search(names, q, np.full(len(q), -np.inf), first_ids, first_x)

@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import license_scan, periodic_runs, quality, toxicity
-from tidemark.llm.common import folds, table
+from tidemark.llm.common import folds, table, written
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.inner_products import top_inner_products
 from tidemark.llm.lm_score import lm_score
 from tidemark.llm.nearest import search
 from tidemark.llm.packing import pack
+from tidemark.llm.prefix_trie import ids_sha256, members, prefix_trie, turn_paths
 from tidemark.llm.sentencepiece_codec import encode_decode
 from tidemark.llm.simhash_dedup import simhash_classes
 from tidemark.llm.token_counts import token_counts
@@ -203,3 +204,55 @@ SELECT v.doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, b.len AS length, q A
        sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(words, '')) AS collapsed_sha256
 FROM v LEFT JOIN listed USING (k) LEFT JOIN kept USING (k) LEFT JOIN best b USING (k)
 """
+
+
+def with_shared_heads(turns: DataFrame) -> DataFrame:
+    """(conv_id, turns): of conversation c up to three first turns, crc32(c) % 4 of them, are replaced with those of c - c % 20."""
+    heads = turns.filter(F.col("conv_id") % 20 == 0)
+    heads = heads.select(F.col("conv_id").alias("host"), F.slice("turns", F.lit(1), F.lit(3)).alias("head"))
+    rows = turns.withColumn("host", F.col("conv_id") - F.col("conv_id") % 20).join(heads, "host", "left")
+    h = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4).cast("int")
+    head = F.coalesce("head", F.slice("turns", F.lit(1), F.lit(0)))
+    return rows.select("conv_id", F.concat(F.slice(head, F.lit(1), h), F.slice("turns", h + 1, F.size("turns"))).alias("turns"))
+
+
+@_query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = written(turn_paths(table(spark, sf_dir, "conversations")), "turns")
+    turns = written(with_shared_heads(turns), "rebuilt-turns")
+    nodes, nobody = prefix_trie(turns), F.sha2(F.lit("").cast("binary"), 256)
+    ended = nodes.filter("node_key is not null").join(ids_sha256(members(turns)), "node_key").drop("node_key")
+    ended = ended.unionByName(nodes.filter("node_key is null").drop("node_key").withColumn("sha256", nobody))
+    return ended.drop("n_ends").withColumnRenamed("sha256", "ends_sha256")
+
+
+ORACLES["op12_prefix_trie"] = f"""
+WITH RECURSIVE {CRC_TABLE}, own AS (
+    SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS t
+    FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), h AS (
+    SELECT *, {CRC32.format("conv_id::VARCHAR")} % 4 AS h FROM own, crc_table
+), r AS (
+    SELECT c.conv_id, list_concat(coalesce(list_slice(p.t, 1, c.h), []), list_slice(c.t, c.h + 1, len(c.t))) AS t
+    FROM h c LEFT JOIN own p ON p.conv_id = c.conv_id - c.conv_id % 20
+), prefixes AS (
+    SELECT conv_id, d, list_slice(t, 1, d) AS p, d = len(t) AS ends FROM (SELECT *, unnest(range(len(t) + 1)) AS d FROM r)
+), nodes AS (
+    SELECT p, d, min(conv_id) AS conv_id, count(*) AS n,
+           sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+    FROM prefixes GROUP BY p, d
+), kids AS (
+    SELECT list_slice(p, 1, d - 1) AS p, count(*) AS k FROM nodes WHERE d > 0 GROUP BY ALL
+), weighed AS (
+    SELECT p, d, k IS NULL AS leaf,
+           CASE WHEN d > 0 THEN (n - 1) * len(regexp_extract_all(p[d].text, '[^\\x20\\x09-\\x0D]+')) ELSE 0 END AS saved
+    FROM nodes LEFT JOIN kids USING (p)
+), under AS (
+    SELECT list_slice(p, 1, a) AS p, sum(leaf::INT)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens
+    FROM (SELECT *, unnest(range(d + 1)) AS a FROM weighed) GROUP BY list_slice(p, 1, a)
+)
+SELECT x.conv_id, x.d AS depth, up.conv_id AS parent_conv_id, x.n AS n_convs, coalesce(k, 0) AS n_children, n_leaves, saved_tokens,
+       x.ends_sha256
+FROM nodes x JOIN under USING (p) LEFT JOIN kids USING (p)
+LEFT JOIN nodes up ON x.d > 0 AND up.p = list_slice(x.p, 1, x.d - 1)
+"""
