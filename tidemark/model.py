@@ -210,6 +210,7 @@ TABLE_CONTRACTS = {
             FieldRule("updated_at", "timestamp"),
         ),
         unique=(("order_id",),),
+        references=(("account_id", "accounts", "account_id"), ("instrument_id", "instruments", "instrument_id")),
     ),
     "trades": Contract(
         "trades",
@@ -226,7 +227,7 @@ TABLE_CONTRACTS = {
             FieldRule("updated_at", "timestamp"),
         ),
         unique=(("trade_id",),),
-        references=(("order_id", "orders", "order_id"),),
+        references=(("order_id", "orders", "order_id"), ("instrument_id", "instruments", "instrument_id")),
     ),
     "positions": Contract(
         "positions",
@@ -240,6 +241,7 @@ TABLE_CONTRACTS = {
             FieldRule("updated_at", "timestamp"),
         ),
         unique=(("position_id",), ("account_id", "instrument_id", "position_date")),
+        references=(("account_id", "accounts", "account_id"), ("instrument_id", "instruments", "instrument_id")),
     ),
     "accounts": Contract(
         "accounts",

@@ -531,3 +531,41 @@ ORACLES["feed_quarantine"] = """SELECT reason, count(*) AS row_count FROM (
   SELECT CASE WHEN event_id % 5 = 0 THEN 'malformed' WHEN event_id % 5 = 1 THEN 'bid is missing or unreadable'
               WHEN event_id % 5 = 2 AND event_id % 4 <> 0 THEN 'price is missing or unreadable' END AS reason FROM events)
 WHERE reason IS NOT NULL GROUP BY 1"""
+
+POSITION_LOG = """
+position_log AS (
+  SELECT o_custkey * 50 + o_orderkey % 50 AS position_id, o_custkey AS account_id, o_orderkey % 50 AS instrument_id,
+    cast(o_orderdate AS date) AS position_date
+  FROM orders WHERE o_orderkey % 89 <> 0)"""
+ORACLES["contract_unique"] = f"""WITH {TRADE_LOG}, {POSITION_LOG},
+account_log AS (SELECT c_custkey AS id FROM customer UNION ALL SELECT c_custkey FROM customer WHERE c_custkey % 10 = 0),
+instrument_log AS (SELECT p_partkey AS id FROM part UNION ALL SELECT p_partkey FROM part WHERE p_partkey % 20 = 0),
+found AS (
+  SELECT 'trades' AS table_name, trade_id AS row_key,
+    CASE WHEN count(*) OVER (PARTITION BY trade_id) > 1 THEN 'trade_id: not unique' ELSE '' END AS violations FROM trade_log
+  UNION ALL SELECT 'positions', position_id, concat_ws('; ',
+    CASE WHEN count(*) OVER (PARTITION BY position_id) > 1 THEN 'position_id: not unique' END,
+    CASE WHEN count(*) OVER (PARTITION BY account_id, instrument_id, position_date) > 1
+         THEN 'account_id, instrument_id, position_date: not unique' END) FROM position_log
+  UNION ALL SELECT 'accounts', id,
+    CASE WHEN count(*) OVER (PARTITION BY id) > 1 THEN 'account_id: not unique' ELSE '' END FROM account_log
+  UNION ALL SELECT 'instruments', id,
+    CASE WHEN count(*) OVER (PARTITION BY id) > 1 THEN 'instrument_id: not unique; ticker: not unique' ELSE '' END
+  FROM instrument_log)
+SELECT * FROM found WHERE violations <> ''"""
+ORACLES["contract_references"] = f"""WITH {TRADE_LOG}, {POSITION_LOG},
+held AS (SELECT o_orderkey, o_custkey, o_orderkey % 50 AS instrument_id FROM orders WHERE o_orderkey % 97 <> 0),
+found AS (
+  SELECT 'orders' AS table_name, o_orderkey AS row_key, concat_ws('; ',
+    CASE WHEN o_custkey NOT IN (SELECT c_custkey FROM customer) THEN 'account_id: not in accounts' END,
+    CASE WHEN instrument_id NOT IN (SELECT p_partkey FROM part) THEN 'instrument_id: not in instruments' END) AS violations
+  FROM held
+  UNION ALL SELECT 'trades', trade_id, concat_ws('; ',
+    CASE WHEN order_id NOT IN (SELECT o_orderkey FROM held) THEN 'order_id: not in orders' END,
+    CASE WHEN instrument_id NOT IN (SELECT p_partkey FROM part) THEN 'instrument_id: not in instruments' END)
+  FROM trade_log
+  UNION ALL SELECT 'positions', position_id, concat_ws('; ',
+    CASE WHEN account_id NOT IN (SELECT c_custkey FROM customer) THEN 'account_id: not in accounts' END,
+    CASE WHEN instrument_id NOT IN (SELECT p_partkey FROM part) THEN 'instrument_id: not in instruments' END)
+  FROM position_log)
+SELECT * FROM found WHERE violations <> ''"""

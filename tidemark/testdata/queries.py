@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from tidemark.functions import settlement_date
 from tidemark.model import (
     ACCOUNTS,
+    ENTITIES,
     INSTRUMENTS,
     MESSAGE_CONTRACTS,
     ORDERS,
@@ -21,7 +22,7 @@ from tidemark.model import (
     TRADES,
     Entity,
 )
-from tidemark.operators import access, contracts, quality, routing, summaries, trading
+from tidemark.operators import access, constraints, contracts, quality, routing, summaries, trading
 from tidemark.operators.cdc import unwrap_cdc
 from tidemark.operators.dedup import apply_changes
 from tidemark.operators.history import compare_counts, row_changes
@@ -556,6 +557,44 @@ def fk_orphans(spark, sf_dir):
     )
 
 
+def _source_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The five source tables as text: orders without the deleted ones, of the others all images of their logs."""
+    orders = apply_changes(_flat_orders(spark, sf_dir), ["order_id"], ["_cdc.ts"], ["_cdc.offset"], op="_cdc.op", deletes="remove")
+    positions = adapters.position_changes(spark, sf_dir).where(F.col("op") != "d")
+    return {
+        "orders": orders.select(*ORDERS.image_schema().names),
+        "trades": adapters.trade_changes(spark, sf_dir).select("after.*"),
+        "positions": positions.select("after.*"),
+        "accounts": adapters.account_changes(spark, sf_dir).select(*ACCOUNTS.columns),
+        "instruments": adapters.instrument_changes(spark, sf_dir).select("after.*"),
+    }
+
+
+def _quarantined(spark: SparkSession, sf_dir: str, **kinds: bool) -> DataFrame:
+    """The rows of all five tables that break a constraint, with the constraints they break."""
+    checked = constraints.check_constraints(_source_tables(spark, sf_dir), TABLE_CONTRACTS, **kinds)
+    rows = None
+    for entity in ENTITIES.values():
+        _, quarantine = checked[entity.name]
+        part = quarantine.select(
+            F.lit(entity.name).alias("table_name"),
+            F.col(entity.key).cast("bigint").alias("row_key"),
+            F.concat_ws("; ", "violations").alias("violations"),
+        )
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
+@query
+def contract_unique(spark, sf_dir):
+    return _quarantined(spark, sf_dir, references=False)
+
+
+@query
+def contract_references(spark, sf_dir):
+    return _quarantined(spark, sf_dir, unique=False)
+
+
 # -------------------------------------------------------------------------------- routing, messages
 
 TOPIC_OF_EVENT = {
