@@ -1,9 +1,11 @@
 """Operators on small inputs with the odd cases, against brute force."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -14,10 +16,11 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm import license_scan, quality, toxicity
+from tidemark.llm.common import folds
 from tidemark.llm.components import components
-from tidemark.llm.elias_fano import EliasFano, Trie
+from tidemark.llm.elias_fano import EliasFano, Trie, blend
 from tidemark.llm.exact_dedup import exact_dedup, keep_one
-from tidemark.llm.lm_score import lm_score
+from tidemark.llm.lm_score import DISCOUNTS, lm_score
 from tidemark.llm.nearest import search
 from tidemark.llm.packing import pack
 from tidemark.llm.sentencepiece_codec import Codec, encode_decode
@@ -165,10 +168,69 @@ def test_lm_base_score_and_counts(docs, empty):
 def test_trie_probabilities_add_up_to_one():
     rng = np.random.default_rng(0)
     x, u, w = rng.integers(0, 5, 4000), rng.integers(0, 7, 4000), (rng.random(4000) ** 2 * 40).astype(np.int64)
-    trie, words = Trie(x, u, w, 40), np.arange(40)
+    trie, words = Trie(x, u, w, 40, DISCOUNTS), np.arange(40)
     for context, before in ((0, 3), (4, 6), (9, 9)):
-        p, _ = trie.probability(np.full(40, context), np.full(40, before), words, np.full(40, 1 / 40))
-        assert p.sum() == pytest.approx(1, abs=0.002)
+        found = trie.locate(np.full(40, context), np.full(40, before), words)
+        assert blend(np.full(40, 1 / 40), *trie.codes(*found)).sum() == pytest.approx(1, abs=0.002)
+
+
+def test_trie_finds_its_own_trigrams_where_they_stand():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 50, 5000):
+        x, u, w = rng.integers(0, 300, n), rng.integers(0, 50, n), rng.integers(0, 400, n)
+        trie = Trie(x, u, w, 400, DISCOUNTS)
+        for own, found in zip(trie.own, trie.locate(x, u, w), strict=True):
+            assert own.tolist() == found.tolist()
+        assert {int(f[0]) for f in trie.locate(np.array([10**9]), np.array([0]), np.array([0]))} == {-1}
+
+
+def naive_trigrams(texts, held):
+    """log10 P of each text by dictionaries, with the quantised figures of the operator."""
+    tokens = [["<s>", "<s>", *lowered(t).split(), "\n"] for t in texts]
+    train = [t for t, h in zip(tokens, held, strict=True) if not h]
+    words = Counter(w for t in train for w in t[2:])
+    total, kinds = sum(words.values()), len(words)
+    levels = []
+    for size in (2, 3):
+        grams = Counter(tuple(t[k - size + 1 : k + 1]) for t in train for k in range(2, len(t)))
+        contexts, after = Counter(), Counter()
+        for gram, n in grams.items():
+            contexts[gram[:-1]] += n
+            after[gram[:-1]] += 1
+        levels.append((grams, contexts, after))
+
+    def quantised(p):
+        return 10 ** (-round(-4096 * math.log10(p)) / 4096) if p > 0 else 0.0
+
+    def probability(t, k):
+        p = (words[t[k]] + 1) / (total + kinds + 1)
+        for size, discount, (grams, contexts, after) in zip((2, 3), DISCOUNTS, levels, strict=True):
+            gram = tuple(t[k - size + 1 : k + 1])
+            n = contexts[gram[:-1]]
+            if n:
+                p = quantised(max(grams[gram] - discount, 0) / n) + quantised(discount * after[gram[:-1]] / n) * p
+        return p
+
+    return [sum(math.log10(probability(t, k)) for k in range(2, len(t))) for t in tokens]
+
+
+def test_lm_scores_equal_a_naive_model_and_do_not_depend_on_partitions(spark):
+    rng = random.Random(9)
+    vocabulary = [f"w{k}" for k in range(60)]
+    texts = [" ".join(rng.choices(vocabulary, [1 / (k + 1) ** 1.3 for k in range(60)], k=rng.randint(0, 80))) for _ in range(250)]
+    texts += ["of the " * 40 + "of w3 the"] * 12 + ["the of of of the unseen"] * 3
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    expected = naive_trigrams(texts, held)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for partitions in (1, 4, 16):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            rows = {r["doc_id"]: r for r in lm_score(df, folds("doc_id", 7, 2)).collect()}
+            assert [rows[i]["held_out"] for i in range(len(texts))] == held
+            assert [rows[i]["score"] for i in range(len(texts))] == pytest.approx(expected, rel=1e-9)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 def test_elias_fano_finds_what_it_holds():

@@ -8,6 +8,11 @@ import numpy as np
 
 #: Steps of a factor of ten in quantised probabilities.
 QUANTUM = 4096
+#: The codes of 0 and 1.
+NOTHING, ALL = 65_535, 0
+
+
+_POWERS = np.append(10.0 ** (-np.arange(65_535) / QUANTUM), 0.0)
 
 
 def quantise(p: np.ndarray) -> np.ndarray:
@@ -17,7 +22,7 @@ def quantise(p: np.ndarray) -> np.ndarray:
 
 
 def restore(q: np.ndarray) -> np.ndarray:
-    return np.where(q == 65_535, 0.0, 10.0 ** (-q.astype(float) / QUANTUM))
+    return _POWERS[q]
 
 
 class EliasFano:
@@ -29,7 +34,7 @@ class EliasFano:
 
     def __init__(self, values: np.ndarray, universe: int):
         values = values.astype(np.int64)
-        self.n = len(values)
+        self.n, self.universe = len(values), max(1, universe)
         self.width = max(0, int(max(1, universe) // max(1, self.n)).bit_length() - 1)
         low = values & ((1 << self.width) - 1)
         high = values >> self.width
@@ -85,37 +90,53 @@ class EliasFano:
         """Position of each value, -1 where it is absent: successor search inside the bucket of its high part."""
         if not self.n:
             return np.full(len(values), -1, np.int64)
+        inside = values < self.universe
+        values = np.where(inside, values, 0)
         high, low = values >> self.width, values & ((1 << self.width) - 1)
         lo, end = self._bucket(high), self._bucket(high + 1)
-        hi = end.copy()
-        while (open_ := lo < hi).any():
-            middle = (lo + hi) >> 1
-            less = open_ & (self._low(np.minimum(middle, self.n - 1)) < low)
-            lo, hi = np.where(less, middle + 1, lo), np.where(open_ & ~less, middle, hi)
-        there = (lo < end) & (self._low(np.minimum(lo, self.n - 1)) == low)
+        hi, open_ = end.copy(), np.flatnonzero(lo < end)
+        while len(open_):
+            middle = (lo[open_] + hi[open_]) >> 1
+            less = self._low(middle) < low[open_]
+            lo[open_[less]], hi[open_[~less]] = middle[less] + 1, middle[~less]
+            open_ = open_[lo[open_] < hi[open_]]
+        there = inside & (lo < end) & (self._low(np.minimum(lo, self.n - 1)) == low)
         return np.where(there, lo, -1)
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in ascending order, and each key's place among them."""
+    order = np.argsort(keys)
+    held = keys[order]
+    new = np.append(True, held[1:] != held[:-1])[: len(held)]
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return held[new], place
+
+
 class Trie:
     """Trigram trie: context words, their successors, wider contexts, and successors again.
 
     Levels: contexts x; pairs (x, w); wider contexts (x, u), where u comes before x; and triples ((x, u), w), in which w is
     written as its rank among the successors of x. Ranks are small, so the last level needs few bits. Each level's
     key is its parent's position times the width of the parent's range, which keeps the whole level growing; the pointers from
-    contexts to their first successors are a growing sequence, too. Probabilities are those of absolute discounting,
-    and every level's array stands in one anonymous memory map.
+    contexts to their first successors are a growing sequence, too. Probabilities are those of absolute discounting with given
+    discounts, quantised to 16 bits, and every level's array stands in one anonymous memory map.
     """
 
-    def __init__(self, x: np.ndarray, u: np.ndarray, w: np.ndarray, words: int):
+    def __init__(self, x: np.ndarray, u: np.ndarray, w: np.ndarray, words: int, discounts: tuple[float, float]):
         """x, u, w: one entry per trigram occurrence; words: all of u and w are below it."""
         self.words = words
-        contexts, i = np.unique(x, return_inverse=True)
-        pairs, p = np.unique(i * words + w, return_inverse=True)
+        pairs, p = distinct(x * words + w)
         owner = pairs // words
-        first = np.searchsorted(owner, np.arange(len(contexts) + 1))
-        wide, j = np.unique(i * words + u, return_inverse=True)
+        new = np.append(True, owner[1:] != owner[:-1])[: len(owner)]
+        contexts, rank_of_owner = owner[new], np.cumsum(new) - 1
+        first = np.append(np.flatnonzero(new), len(pairs))
+        i = rank_of_owner[p]
+        pairs = rank_of_owner * words + pairs % words
+        wide, j = distinct(i * words + u)
         self.ranks = int(np.diff(first).max(initial=0)) + 1
-        triples, q = np.unique(j * self.ranks + (p - first[i]), return_inverse=True)
+        triples, q = distinct(j * self.ranks + (p - first[i]))
         count_x, count_p = np.bincount(i, minlength=len(contexts)), np.bincount(p, minlength=len(pairs))
         count_j, count_q = np.bincount(j, minlength=len(wide)), np.bincount(q, minlength=len(triples))
         self.contexts = EliasFano(contexts, int(contexts[-1]) + 1 if len(contexts) else 1)
@@ -123,22 +144,21 @@ class Trie:
         self.pairs = EliasFano(pairs, max(1, len(contexts)) * words)
         self.wide = EliasFano(wide, max(1, len(contexts)) * words)
         self.triples = EliasFano(triples, max(1, len(wide)) * self.ranks)
-        self.total = count_x
-        self.pair_p, self.pair_rest = self._discount(count_p, owner, count_x)
-        self.triple_p, self.triple_rest = self._discount(count_q, triples // self.ranks, count_j)
+        self.pair_p, self.pair_rest = self._discount(count_p, rank_of_owner, count_x, discounts[0])
+        self.triple_p, self.triple_rest = self._discount(count_q, triples // self.ranks, count_j, discounts[1])
         self._map()
+        #: Where the occurrences that the trie is made of stand in its levels: what `locate` finds for them.
+        self.own = i, p, j, q
 
     @staticmethod
-    def _discount(counts: np.ndarray, owner: np.ndarray, totals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _discount(counts: np.ndarray, owner: np.ndarray, totals: np.ndarray, discount: float) -> tuple[np.ndarray, np.ndarray]:
         """Quantised discounted probabilities, and what each context leaves to the lower order."""
-        once, twice = int((counts == 1).sum()), int((counts == 2).sum())
-        discount = min(0.95, max(0.1, once / max(1, once + 2 * twice)))
         kinds = np.bincount(owner, minlength=len(totals))
-        return quantise((counts - discount) / totals[owner]), quantise(discount * kinds / totals)
+        return discounted(counts, totals[owner], discount), left_over(kinds, totals, discount)
 
     def _map(self) -> None:
         """Move all arrays into one anonymous memory map."""
-        parts = [(self, k) for k in ("total", "pair_p", "pair_rest", "triple_p", "triple_rest")]
+        parts = [(self, k) for k in ("pair_p", "pair_rest", "triple_p", "triple_rest")]
         parts += [(s, k) for s in (self.contexts, self.first, self.pairs, self.wide, self.triples) for k in s.arrays()]
         sizes = [-(-getattr(o, k).nbytes // 8) * 8 for o, k in parts]
         self.memory, at = mmap.mmap(-1, max(8, sum(sizes))), 0
@@ -149,22 +169,42 @@ class Trie:
             setattr(owner, key, held)
             at += size
 
-    def probability(self, x: np.ndarray, u: np.ndarray, w: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """P(w | u, x), interpolated with `lower`, the probability of w alone; and how often each x was seen."""
-        contexts, i = np.unique(x, return_inverse=True)
+    def locate(self, x: np.ndarray, u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Places of contexts, pairs, wider contexts and triples, -1 where one is absent: successor searches relative to the context."""
+        contexts, i = distinct(x)
         at = self.contexts.find(contexts)
-        known = at >= 0
-        seen = np.where(known, self.total[at] if len(self.total) else 0, 0)[i]
-        start = np.where(known, self.first.get(np.maximum(at, 0)), 0)[i] if len(at) else np.zeros(0, np.int64)
+        start = np.where(at >= 0, self.first.get(np.maximum(at, 0)), 0)[i] if len(at) else np.zeros(0, np.int64)
         at = at[i]
         pair = np.where(at >= 0, self.pairs.find(np.maximum(at, 0) * self.words + w), -1)
-        p = np.where(pair >= 0, restore(_take(self.pair_p, pair)), 0)
-        p = np.where(at >= 0, p + restore(_take(self.pair_rest, at)) * lower, lower)
         wide = np.where(at >= 0, self.wide.find(np.maximum(at, 0) * self.words + u), -1)
-        rank = np.maximum(wide, 0) * self.ranks + np.maximum(pair - start, 0)
-        triple = np.where((wide >= 0) & (pair >= 0), self.triples.find(rank), -1)
-        top = np.where(triple >= 0, restore(_take(self.triple_p, triple)), 0)
-        return np.where(wide >= 0, top + restore(_take(self.triple_rest, wide)) * p, p), seen
+        asked = np.flatnonzero((wide >= 0) & (pair >= 0))
+        triple = np.full(len(x), -1, np.int64)
+        triple[asked] = self.triples.find(wide[asked] * self.ranks + pair[asked] - start[asked])
+        return at, pair, wide, triple
+
+    def codes(self, at: np.ndarray, pair: np.ndarray, wide: np.ndarray, triple: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Quantised: P(w | x) and P(w | u, x) as far as they are seen, each followed by the share left to the lower order."""
+        return (
+            np.where(pair >= 0, _take(self.pair_p, pair), NOTHING),
+            np.where(at >= 0, _take(self.pair_rest, at), ALL),
+            np.where(triple >= 0, _take(self.triple_p, triple), NOTHING),
+            np.where(wide >= 0, _take(self.triple_rest, wide), ALL),
+        )
+
+
+def discounted(counts: np.ndarray, totals: np.ndarray, discount: float) -> np.ndarray:
+    """Quantised (count - discount) / total; nothing where the count is 0."""
+    return quantise(np.maximum(counts - discount, 0) / np.maximum(totals, 1))
+
+
+def left_over(kinds: np.ndarray, totals: np.ndarray, discount: float) -> np.ndarray:
+    """Quantised share that the discounts leave to the lower order: all of it where nothing was seen."""
+    return np.where(totals > 0, quantise(discount * kinds / np.maximum(totals, 1)), ALL).astype(np.uint16)
+
+
+def blend(lower: np.ndarray, pair: np.ndarray, pair_rest: np.ndarray, triple: np.ndarray, triple_rest: np.ndarray) -> np.ndarray:
+    """P(w | u, x) from codes, interpolated with `lower`, the probability of w alone."""
+    return restore(triple) + restore(triple_rest) * (restore(pair) + restore(pair_rest) * lower)
 
 
 def _take(array: np.ndarray, at: np.ndarray) -> np.ndarray:

@@ -4,12 +4,14 @@
    into vocabulary shards.
 2. Each vocabulary shard adds up the counts. Words get global numbers by falling count, so a word's count follows from
    its number by a step function with at most sqrt(2 N) steps for N tokens; that function is all that is sent around.
-3. Blocks turn their tokens into trigrams (u, v, w) and deal them by the middle word v. A word of more than a small share of
-   all tokens is split by buckets of w: P(w | u, v) = P(bucket of w | v) P(w | u, v, bucket), where both are local.
+3. Blocks turn their tokens into trigrams (u, v, w) and deal them by the middle word v.
 4. Each shard builds the trie of its training trigrams, looks up all of its trigrams, and sends sums per document back.
 
-Every token is shuffled once. Trigrams that share a context meet in one task, which holds a share of the tokens that
-falls with the number of shuffle partitions.
+The model is that of the whole corpus, however it is dealt: absolute discounting of global counts with fixed discounts. A word v
+of more than a shard's share of the tokens is *heavy* and not kept in one place. Its trigrams go to shards by (u, v) for the upper level and by (v, w)
+for the lower one. If the pair (u, v) is heavy itself, its upper level is dealt by (u, v, w). Contexts that are dealt by w are
+*split*: shards send back counts, and the block adds up their totals and numbers of kinds and blends both levels. All figures are
+quantised before they are blended, so scores do not depend on shards, but for the order of additions.
 """
 
 from __future__ import annotations
@@ -26,13 +28,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import partitions, text_slices, written
-from tidemark.llm.elias_fano import Trie
+from tidemark.llm.elias_fano import NOTHING, EliasFano, Trie, blend, discounted, distinct, left_over
 
 #: The token that ends a text; no word can be a line break.
 END = b"\n"
 BLOCK_CHARS = 8_000_000
 #: Shards are worked on one at a time, so that more of them per partition bound the memory of a task.
 SHARDS_PER_PARTITION = 4
+#: What is taken off the counts of pairs and of triples: most of both are seen once.
+DISCOUNTS = (0.75, 0.9)
 
 
 def pack(array: np.ndarray) -> bytes:
@@ -92,6 +96,7 @@ def _blocks(rows: DataFrame, shards: int) -> DataFrame:
                     "sizes": pa.array([pack(sizes)], pa.binary()),
                     "tokens": pa.array([pack(place[tokens])], pa.binary()),
                     "train_docs": pa.array([int((~held).sum())], pa.int64()),
+                    "train_tokens": pa.array([int(counts.sum())], pa.int64()),
                     "vocabulary": pa.array(
                         [vocabulary], pa.list_(pa.struct([("shard", pa.int32()), ("words", pa.binary()), ("counts", pa.binary())]))
                     ),
@@ -101,38 +106,47 @@ def _blocks(rows: DataFrame, shards: int) -> DataFrame:
 
     return rows.mapInArrow(
         run,
-        "block long, docs array<long>, held binary, sizes binary, tokens binary, train_docs long, "
+        "block long, docs array<long>, held binary, sizes binary, tokens binary, train_docs long, train_tokens long, "
         "vocabulary array<struct<shard:int,words:binary,counts:binary>>",
     )
 
 
-def _count_words(rows: pd.DataFrame) -> pd.DataFrame:
+HEAVY = "array<struct<word:binary,n:bigint,place:bigint>>"
+
+
+def _count_words(share: float):
     """Per block of a vocabulary shard: each word's count and its place among words of that count.
 
-    One more row, of the block null, has the distinct counts and how many words have each.
+    One more row, of the block null, has the distinct counts and how many words have each, and the words of more than `share` tokens.
     """
-    total: dict[bytes, int] = {}
-    lists = [zstandard.ZstdDecompressor().decompress(w).split(b" ") for w in rows["words"]]
-    for words, counts in zip(lists, rows["counts"], strict=True):
-        for word, n in zip(words, unpack(counts).tolist(), strict=True):
-            total[word] = total.get(word, 0) + n
-    names = sorted(total)
-    counts = np.array([total[w] for w in names])
-    order = np.argsort(-counts, kind="stable")
-    ranked = counts[order]
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order)) - np.searchsorted(-ranked, -ranked)
-    index = {w: k for k, w in enumerate(names)}
-    at = [np.fromiter(map(index.__getitem__, words), np.int64, len(words)) for words in lists]
-    values, sizes = np.unique(counts[counts > 0], return_counts=True)
-    return pd.DataFrame(
-        {
-            "shard": int(rows["shard"].iloc[0]),
-            "block": pd.array([*rows["block"], None], "Int64"),
-            "counts": [*(pack(counts[a]) for a in at), pack(values)],
-            "places": [*(pack(place[a]) for a in at), pack(sizes)],
-        }
-    )
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        total: dict[bytes, int] = {}
+        lists = [zstandard.ZstdDecompressor().decompress(w).split(b" ") for w in rows["words"]]
+        for words, counts in zip(lists, rows["counts"], strict=True):
+            for word, n in zip(words, unpack(counts).tolist(), strict=True):
+                total[word] = total.get(word, 0) + n
+        names = sorted(total)
+        counts = np.array([total[w] for w in names])
+        order = np.argsort(-counts, kind="stable")
+        ranked = counts[order]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order)) - np.searchsorted(-ranked, -ranked)
+        index = {w: k for k, w in enumerate(names)}
+        at = [np.fromiter(map(index.__getitem__, words), np.int64, len(words)) for words in lists]
+        values, sizes = np.unique(counts[counts > 0], return_counts=True)
+        heavy = [{"word": names[k], "n": int(counts[k]), "place": int(place[k])} for k in np.flatnonzero(counts > share).tolist()]
+        return pd.DataFrame(
+            {
+                "shard": int(rows["shard"].iloc[0]),
+                "block": pd.array([*rows["block"], None], "Int64"),
+                "counts": [*(pack(counts[a]) for a in at), pack(values)],
+                "places": [*(pack(place[a]) for a in at), pack(sizes)],
+                "heavy": [*([] for _ in at), heavy],
+            }
+        )
+
+    return run
 
 
 def _split_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -170,8 +184,24 @@ class Steps:
         self.counts, self.first = counts, np.append(0, np.cumsum(words))
         self.total, self.kinds = int((counts * words).sum()), int(words.sum())
         self.unknown, self.start = self.kinds, self.kinds + 1
+        self.words = self.start + 1
         self.train_docs, self.shards = train_docs, shards
-        self.hot = self.total / (4 * shards)
+        self.heavy_pairs, self.heavy_counts = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def set_heavy_pairs(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        """keys: u * words + v of pairs above a shard's share, at most one per shard."""
+        order = np.argsort(keys)
+        self.heavy_pairs, self.heavy_counts = keys[order], counts[order]
+
+    def parts(self, numbers: np.ndarray) -> np.ndarray:
+        """Among how many shards a word's trigrams are split; 1 for words of at most a shard's share of the tokens."""
+        return 1 + self.count(numbers) * self.shards // max(1, self.total + 1)
+
+    def pair_parts(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.heavy_pairs):
+            return np.ones(len(keys), np.int64)
+        at = np.minimum(np.searchsorted(self.heavy_pairs, keys), len(self.heavy_pairs) - 1)
+        return np.where(self.heavy_pairs[at] == keys, 1 + self.heavy_counts[at] * self.shards // max(1, self.total + 1), 1)
 
     def count(self, numbers: np.ndarray) -> np.ndarray:
         table = np.append(self.counts, [0, self.train_docs])
@@ -181,17 +211,80 @@ class Steps:
     def unigram(self, numbers: np.ndarray) -> np.ndarray:
         return (self.count(numbers) + 1) / (self.total + self.kinds + 1)
 
-    def bucket(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """0 for all successors of a context; for contexts above the limit the successor's bucket, from 1."""
-        return np.where(self.count(v) > self.hot, w % self.shards + 1, 0)
 
-    def mass(self, bucket: int) -> float:
-        """Unigram probability of all words of a bucket, the unknown word included."""
-        if bucket == 0:
-            return 1.0
-        below = (self.first + self.shards - bucket) // self.shards  # members of the bucket below each step's first number
-        known = ((self.counts + 1) * np.diff(below)).sum() + (self.unknown % self.shards == bucket - 1)
-        return float(known / (self.total + self.kinds + 1))
+def _mixed(*numbers: np.ndarray) -> np.ndarray:
+    """A hash of rows of numbers, the same everywhere."""
+    out = np.zeros(len(numbers[0]), np.uint64)
+    for n in numbers:
+        out = (out ^ n.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(32)
+    return out >> np.uint64(1)
+
+
+def _by_shard(shard: np.ndarray, shards: int) -> Iterator[tuple[int, int, int]]:
+    """(shard, begin, end) of the stretches of ascending shard numbers."""
+    bounds = np.searchsorted(shard, np.arange(shards + 1)).tolist()
+    return ((s, a, b) for s, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a)
+
+
+class Split:
+    """How a block's trigrams of split contexts are asked for, and what comes back.
+
+    code: the context of each; a context is asked for in all of its parts, whether the block has successors there or not, because their
+    totals add up to the context's.
+    """
+
+    def __init__(self, code: np.ndarray, w: np.ndarray, parts: np.ndarray, shards: int):
+        self.codes, at = distinct(code)
+        many = np.ones(len(self.codes), np.int64)
+        many[at] = parts
+        begin = np.cumsum(many) - many
+        self.context = np.repeat(np.arange(len(self.codes)), many)
+        self.part = np.arange(len(self.context)) - np.repeat(begin, many)
+        shard = (_mixed(self.codes[self.context], self.part) % np.uint64(shards)).astype(np.int64)
+        self.entries = np.argsort(shard, kind="stable")  # contexts' parts by shard
+        place = np.empty(len(shard), np.int64)
+        place[self.entries] = np.arange(len(shard))
+        self.at = at
+        entry = place[begin[at] + (_mixed(w) % many[at].astype(np.uint64)).astype(np.int64)]
+        self.order = np.argsort(entry, kind="stable")  # trigrams by shard
+        self.entry, self.shard = entry[self.order], shard[self.entries]
+        self.shards = shards
+
+    def requests(self, w: np.ndarray, held: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        w, held = w[self.order], held[self.order]
+        for s, a, b in _by_shard(self.shard, self.shards):
+            rows = slice(*np.searchsorted(self.entry, [a, b]))
+            asked = self.entries[a:b]
+            parts = (self.codes[self.context[asked]], self.part[asked], self.entry[rows] - a, w[rows], held[rows])
+            yield s, _join(*map(pack, parts))
+
+    def answers(self, found: dict[int, list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each trigram its count, and its context's total and number of kinds; found: (counts, totals, kinds) by shard."""
+        counts = np.zeros(len(self.order), np.int64)
+        sums = np.zeros((2, len(self.codes)), np.int64)
+        for s, a, b in _by_shard(self.shard, self.shards):
+            rows = slice(*np.searchsorted(self.entry, [a, b]))
+            counts[self.order[rows]] = found[s][0]
+            for k in (0, 1):
+                np.add.at(sums[k], self.context[self.entries[a:b]], found[s][1 + k])
+        return counts, sums[0][self.at], sums[1][self.at]
+
+
+class Heavy:
+    """A block's trigrams of heavy middle words: the lower level is split, the upper one split or dealt by (u, v)."""
+
+    def __init__(self, steps: Steps, u: np.ndarray, v: np.ndarray, w: np.ndarray):
+        key = u * steps.words + v
+        parts = steps.pair_parts(key)
+        self.split = parts > 1
+        # One numbering for both levels: middle words are below `words`, pairs are not.
+        code = np.append(v, steps.words + key[self.split])
+        self.asked = Split(code, np.append(w, w[self.split]), np.append(steps.parts(v), parts[self.split]), steps.shards)
+        self.wide = np.flatnonzero(~self.split)
+        shard = (_mixed(key[self.wide]) % np.uint64(steps.shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        self.wide, self.wide_shard = self.wide[order], shard[order]
 
 
 def _deal(steps: Steps):
@@ -214,16 +307,26 @@ def _deal(steps: Steps):
         u[begin] = steps.start
         second = begin[sizes > 1] + 1
         u[second] = steps.start
-        mixed = (v * (steps.shards + 1) + steps.bucket(v, w)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        shard = ((mixed >> np.uint64(33)) % np.uint64(steps.shards)).astype(np.int64)
+        heavy = steps.parts(v) > 1
+        hu, hv, hw, hdoc = u[heavy], v[heavy], w[heavy], doc[heavy]
+        own = _join(_floats(base), pack(n_known), row["held"], row["sizes"], pack(hu), pack(hv), pack(hw), pack(hdoc))
+        out = [(-1 - int(row["block"]) % steps.shards, "own", own)]
+        if len(hu):
+            dealt = Heavy(steps, hu, hv, hw)
+            both, hheld = np.append(hw, hw[dealt.split]), held[hdoc]
+            out += [(s, "split", p) for s, p in dealt.asked.requests(both, np.append(hheld, hheld[dealt.split]))]
+            for s, a, b in _by_shard(dealt.wide_shard, steps.shards):
+                at = dealt.wide[a:b]
+                out.append((s, "wide", _join(*(pack(x[at]) for x in (hu, hv, hw, hheld)))))
+        u, v, w, doc = u[~heavy], v[~heavy], w[~heavy], doc[~heavy]
+        shard = (_mixed(v) % np.uint64(steps.shards)).astype(np.int64)
         order = np.argsort((shard << 40) | v, kind="stable")
-        bounds = np.searchsorted(shard[order], np.arange(steps.shards + 1))
-        u, v, w, doc = u[order], v[order], w[order], (doc * 2 + held[doc])[order]
-        out = [(-1 - int(row["block"]) % steps.shards, _join(_floats(base), pack(n_known), row["held"], row["sizes"]))]
-        for s, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
-            if b > a:
-                out.append((s, _join(pack(u[a:b]), pack(np.diff(v[a:b], prepend=0)), pack(w[a:b]), pack(doc[a:b]))))
-        return pd.DataFrame({"shard": [s for s, _ in out], "block": row["block"], "payload": [p for _, p in out]})
+        u, v, w, doc, shard = u[order], v[order], w[order], (doc * 2 + held[doc])[order], shard[order]
+        for s, a, b in _by_shard(shard, steps.shards):
+            out.append((s, "light", _join(pack(u[a:b]), pack(np.diff(v[a:b], prepend=0)), pack(w[a:b]), pack(doc[a:b]))))
+        return pd.DataFrame(
+            {"shard": [s for s, _, _ in out], "block": row["block"], "kind": [k for _, k, _ in out], "payload": [p for _, _, p in out]}
+        )
 
     return run
 
@@ -243,45 +346,114 @@ def _cut(data: bytes) -> list[bytes]:
     return [data[e - s : e] for s, e in zip(sizes, ends, strict=True)]
 
 
+def _columns(payloads: pd.Series) -> tuple[list[np.ndarray], np.ndarray]:
+    """The columns of all payloads one after another, and the rows of each payload by its last column."""
+    parts = [[unpack(p) for p in _cut(x)] for x in payloads]
+    return [np.concatenate([p[k] for p in parts]) for k in range(len(parts[0]))], np.array([len(p[-1]) for p in parts])
+
+
+def _looked_up(words: int, u: np.ndarray, v: np.ndarray, w: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The codes of all trigrams from the trie of the training ones.
+
+    Trigrams that the trie is made of are read at the places that they were given in its levels; the others are searched for.
+    """
+    trie = Trie(v[train], u[train], w[train], words, DISCOUNTS)
+    found = [np.empty(len(v), np.int64) for _ in range(4)]
+    for places, own, other in zip(found, trie.own, trie.locate(v[~train], u[~train], w[~train]), strict=True):
+        places[train], places[~train] = own, other
+    return trie.codes(*found)
+
+
+def _score_light(steps: Steps, payloads: pd.Series) -> list[bytes]:
+    """Sums of log10 P per document of each payload."""
+    parts = [[unpack(p) for p in _cut(x)] for x in payloads]
+    u, w, doc = (np.concatenate([p[k] for p in parts]) for k in (0, 2, 3))
+    v = np.concatenate([np.cumsum(p[1]) for p in parts])
+    sizes = [len(p[0]) for p in parts]
+    del parts
+    logs = np.log10(blend(steps.unigram(w), *_looked_up(steps.words, u, v, w, doc % 2 == 0)))
+    out, begin = [], 0
+    for size in sizes:
+        docs, at = distinct(doc[begin : begin + size] // 2)
+        out.append(_join(pack(docs), _floats(np.bincount(at, logs[begin : begin + size]))))
+        begin += size
+    return out
+
+
+def _score_wide(steps: Steps, payloads: pd.Series) -> list[bytes]:
+    """The upper level's codes of each trigram."""
+    (u, v, w, held), sizes = _columns(payloads)
+    _, _, triple, rest = _looked_up(steps.words, u, v, w, held == 0)
+    ends = np.cumsum(sizes)
+    return [_join(pack(triple[e - s : e]), pack(rest[e - s : e])) for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
+
+
+def _score_split(steps: Steps, payloads: pd.Series) -> list[bytes]:
+    """Counts of each trigram in its context's part, and each part's total and number of kinds."""
+    parts = [[unpack(p) for p in _cut(x)] for x in payloads]
+    code, part = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    codes, at = distinct(code)
+    entries, at = distinct(at * (int(part.max()) + 1) + part)
+    begin = np.cumsum([0, *(len(p[0]) for p in parts)])
+    context = np.concatenate([at[b + p[2]] for b, p in zip(begin, parts, strict=False)])
+    w, held = (np.concatenate([p[k] for p in parts]) for k in (3, 4))
+    key, train = context * steps.words + w, held == 0
+    pairs, own = distinct(key[train])
+    seen, place = np.bincount(own, minlength=len(pairs)), np.empty(len(key), np.int64)
+    place[train] = own
+    place[~train] = EliasFano(pairs, len(entries) * steps.words).find(key[~train])
+    counts = np.where(place >= 0, seen[np.maximum(place, 0)], 0) if len(pairs) else np.zeros(len(key), np.int64)
+    totals = np.bincount(pairs // steps.words, seen, len(entries)).astype(np.int64)
+    kinds = np.bincount(pairs // steps.words, minlength=len(entries))
+    out, row = [], 0
+    for b, p in zip(begin, parts, strict=False):
+        asked = at[b : b + len(p[0])]
+        out.append(_join(pack(counts[row : row + len(p[2])]), pack(totals[asked]), pack(kinds[asked])))
+        row += len(p[2])
+    return out
+
+
 def _score(steps: Steps):
-    """Sums of log10 P per document of a shard's trigrams; rows of negative shards pass through."""
+    """What a shard answers to the payloads of each kind; rows of a block's own pass through."""
+    scorers = {"light": _score_light, "wide": _score_wide, "split": _score_split}
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        if rows["shard"].iloc[0] < 0:
-            return pd.DataFrame({"block": rows["block"], "own": True, "payload": rows["payload"]})
-        parts = [[unpack(p) for p in _cut(x)] for x in rows["payload"]]
-        u, w, doc = (np.concatenate([p[k] for p in parts]) for k in (0, 2, 3))
-        v = np.concatenate([np.cumsum(p[1]) for p in parts])
-        sizes = [len(p[0]) for p in parts]
-        del parts
-        bucket = steps.bucket(v, w)
-        x = v * (steps.shards + 1) + bucket
-        train = doc % 2 == 0
-        trie = Trie(x[train], u[train], w[train], steps.start + 1)
-        masses = {b: steps.mass(b) for b in np.unique(bucket).tolist()}
-        mass = np.array([masses.get(b, 1.0) for b in range(max(masses) + 1)])[bucket]
-        p, seen = trie.probability(x, u, w, steps.unigram(w) / mass)
-        of_bucket = np.where(bucket > 0, (seen + mass) / (steps.count(v) + 1), 1.0)
-        logs = np.log10(p * of_bucket)
-        out, begin = [], 0
-        for size in sizes:
-            docs, at = np.unique(doc[begin : begin + size] // 2, return_inverse=True)
-            out.append(_join(pack(docs), _floats(np.bincount(at, logs[begin : begin + size]))))
-            begin += size
-        return pd.DataFrame({"block": rows["block"], "own": False, "payload": out})
+        if rows["shard"].iloc[0] >= 0:
+            rows = rows.assign(payload=rows["payload"].astype(object))
+            for kind, part in rows.groupby("kind"):
+                rows.loc[part.index, "payload"] = pd.Series(scorers[kind](steps, part["payload"]), index=part.index, dtype=object)
+        return rows[["block", "shard", "kind", "payload"]]
 
     return run
 
 
+def _heavy_logs(steps: Steps, answers: pd.DataFrame, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """log10 P of a block's trigrams of heavy words from the shards' answers."""
+    dealt = Heavy(steps, u, v, w)
+    of = {kind: dict(zip(part["shard"], part["payload"], strict=True)) for kind, part in answers.groupby("kind")}
+    counts, totals, kinds = dealt.asked.answers({s: [unpack(x) for x in _cut(p)] for s, p in of["split"].items()})
+    n = len(v)
+    pair, pair_rest = discounted(counts[:n], totals[:n], DISCOUNTS[0]), left_over(kinds[:n], totals[:n], DISCOUNTS[0])
+    triple, rest = np.full(n, NOTHING), np.zeros(n, np.int64)
+    triple[dealt.split] = discounted(counts[n:], totals[n:], DISCOUNTS[1])
+    rest[dealt.split] = left_over(kinds[n:], totals[n:], DISCOUNTS[1])
+    for s, a, b in _by_shard(dealt.wide_shard, steps.shards):
+        triple[dealt.wide[a:b]], rest[dealt.wide[a:b]] = (unpack(x) for x in _cut(of["wide"][s]))
+    return np.log10(blend(steps.unigram(w), pair, pair_rest, triple, rest))
+
+
 def _combine(steps: Steps):
-    """One row per document of a block from its own figures and the shards' sums."""
+    """One row per document of a block from its own figures and the shards' answers."""
 
     def run(docs: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
-        base, n_known, held, sizes = _cut(sums.loc[sums["own"], "payload"].iloc[0])
+        base, n_known, held, sizes, *heavy = _cut(sums.loc[sums["kind"] == "own", "payload"].iloc[0])
         score = np.zeros(len(docs["docs"].iloc[0]))
-        for payload in sums.loc[~sums["own"]].sort_values("payload")["payload"]:  # the order of arrival must not matter
+        for payload in sums[sums["kind"] == "light"].sort_values("shard")["payload"]:  # the order of arrival must not matter
             at, part = _cut(payload)
             score[unpack(at)] += np.frombuffer(part, "<f8")
+        u, v, w, doc = map(unpack, heavy)
+        if len(v):
+            score += np.bincount(doc, _heavy_logs(steps, sums, u, v, w), minlength=len(score))
         return pd.DataFrame(
             {
                 "doc_id": pd.array([None if pd.isna(d) else int(d) for d in docs["docs"].iloc[0]], "Int64"),
@@ -297,25 +469,48 @@ def _combine(steps: Steps):
     return run
 
 
+def _heavy_pairs(blocks: DataFrame, heavy: dict[bytes, int], words: int):
+    """(pair, n): how often pairs of heavy words stand in training documents, summed per block. heavy: their numbers by word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                names = [w for part in row["vocabulary"] for w in zstandard.ZstdDecompressor().decompress(part["words"]).split(b" ")]
+                number = np.fromiter((heavy.get(w, -1) for w in names), np.int64, len(names))
+                tokens, sizes, held = number[unpack(row["tokens"])], unpack(row["sizes"]), unpack(row["held"])
+                usable = np.repeat(held == 0, sizes)
+                inner = np.ones(len(tokens), bool)
+                inner[np.cumsum(sizes) - sizes] = False  # the first word of a text has no word before it
+                at = np.flatnonzero(inner & usable & (tokens >= 0))
+                at = at[tokens[at - 1] >= 0]
+                pairs, place = distinct(tokens[at - 1] * words + tokens[at])
+                yield pa.RecordBatch.from_pydict({"pair": pa.array(pairs, pa.int64()), "n": pa.array(np.bincount(place, minlength=len(pairs)), pa.int64())})
+
+    columns = blocks.select("held", "sizes", "tokens", F.expr("transform(vocabulary, v -> struct(v.words as words))").alias("vocabulary"))
+    return columns.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+
+
 def lm_score(docs: DataFrame, held_out: Column, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     `held_out` is a condition on the column `doc_id`; what it holds for is scored, but not learned from. A-Z are lower-cased,
     words are what stands between the white space characters of ASCII, and every text ends with one end token, so null
-    and empty texts have one token. base_score adds one to all counts; score is log10 P of a trigram model with absolute
-    discounting. Null ids and repeated rows are documents like others. Other columns are not read. Without training
-    documents every word is unknown. An empty table gives no rows.
+    and empty texts have one token. base_score adds one to all counts; score is log10 P of a trigram model of the whole
+    corpus with absolute discounting, the first words of a text following marks of its start. Null ids and repeated rows are documents like others. Other columns are not read. Without training
+    documents every word is unknown. An empty table gives no rows. Scores do not depend on the number of partitions.
     """
     spark = docs.sparkSession
     shards = SHARDS_PER_PARTITION * partitions(spark)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     blocks = written(_blocks(rows.select("doc_id", "text", held_out.alias("held")), shards), "lm-blocks")
     shard = blocks.select("block", F.explode("vocabulary").alias("v")).select("block", "v.shard", "v.words", "v.counts")
-    counted = shard.groupBy("shard").applyInPandas(_count_words, "shard int, block long, counts binary, places binary")
+    train_docs, total = blocks.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("train_docs", "train_tokens"))).first()
+    counted = shard.groupBy("shard").applyInPandas(
+        _count_words(total / shards), f"shard int, block long, counts binary, places binary, heavy {HEAVY}"
+    )
     counted = written(counted, "lm-words")
     by_count = counted.filter("block is null").mapInPandas(_split_counts, "shard int, n long, words long")
     table = by_count.groupBy("n").agg(F.sum("words").alias("words")).orderBy(F.desc("n")).toPandas()  # at most sqrt(2 N) rows
-    train_docs = blocks.agg(F.coalesce(F.sum("train_docs"), F.lit(0))).first()[0]
     steps = Steps(table["n"].to_numpy(np.int64), table["words"].to_numpy(np.int64), int(train_docs), shards)
     firsts = spark.createDataFrame(
         pd.DataFrame({"n": steps.counts, "first": steps.first[:-1]}).astype("int64"), "n long, first long"
@@ -323,12 +518,18 @@ def lm_score(docs: DataFrame, held_out: Column, id_column: str = "doc_id", text_
     before = F.sum("words").over(Window.partitionBy("n").orderBy("shard")) - F.col("words")
     bases = by_count.withColumn("before", before).join(firsts, "n")
     bases = bases.select("shard", "n", (F.col("first") + F.col("before")).alias("base"))
+    heavy = counted.filter("block is null").select("shard", F.explode("heavy").alias("h")).select("shard", "h.word", "h.n", "h.place")
+    heavy = heavy.join(bases, ["shard", "n"]).select("word", (F.col("base") + F.col("place")).alias("number")).collect()  # at most `shards` rows
+    if heavy:
+        pairs = _heavy_pairs(blocks, {bytes(r["word"]): r["number"] for r in heavy}, steps.words)
+        pairs = pairs.filter(F.col("n") > total / shards).toPandas()  # at most `shards` rows, too
+        steps.set_heavy_pairs(pairs["pair"].to_numpy(np.int64), pairs["n"].to_numpy(np.int64))
     bases = bases.groupBy("shard").applyInPandas(_pack_bases, "shard int, ns binary, bases binary")
     numbered = counted.filter("block is not null").join(bases, "shard", "left")
     numbered = numbered.mapInPandas(_number, "block long, shard int, numbers binary")
     plain = blocks.select("block", "held", "sizes", "tokens")
-    dealt = plain.groupBy("block").cogroup(numbered.groupBy("block")).applyInPandas(_deal(steps), "shard int, block long, payload binary")
-    scored = dealt.groupBy("shard").applyInPandas(_score(steps), "block long, own boolean, payload binary")
+    dealt = plain.groupBy("block").cogroup(numbered.groupBy("block")).applyInPandas(_deal(steps), "shard int, block long, kind string, payload binary")
+    scored = dealt.groupBy("shard").applyInPandas(_score(steps), "block long, shard int, kind string, payload binary")
     return (
         blocks.select("block", "docs")
         .groupBy("block")
