@@ -45,14 +45,31 @@ def folds(spark_key: str, modulus: int, left_out: int) -> Column:
     return F.coalesce(F.crc32(F.col(spark_key).cast("string").cast("binary")) % modulus == left_out, F.lit(False))
 
 
+def fresh(name: str, df: DataFrame) -> str:
+    """The name, with as many underscores before it as make it none of the table's columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+#: Longer words are not remembered: texts without spaces are words of any length.
+LONG_WORD = 64
+
+
 class Memo(dict):
-    """A dictionary that computes missing values, and starts again when it holds `limit` of them."""
+    """A dictionary that computes missing values, and starts again when it holds `limit` of them.
+
+    Values of keys above LONG_WORD are not kept, so that the limit bounds bytes, too.
+    """
 
     def __init__(self, compute, limit: int = 400_000):
         super().__init__()
         self.compute, self.limit = compute, limit
 
     def __missing__(self, key):
+        if len(key) > LONG_WORD:
+            return self.compute(key)
         if len(self) >= self.limit:
             self.clear()
         value = self[key] = self.compute(key)

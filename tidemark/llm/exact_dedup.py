@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ascii_lower, written
+from tidemark.llm.common import ascii_lower, fresh, written
 
 
 def sha256(text: Column) -> Column:
@@ -84,14 +84,19 @@ def keep_one(
     digest: Callable[[Column], Column] = sha256,
     salts: int = 16,
 ) -> DataFrame:
-    """The whole rows of `docs` that stay, one for each class of equal texts; null ids as in `exact_dedup`."""
+    """The whole rows of `docs` that stay, one for each class of equal texts; null ids as in `exact_dedup`.
+
+    All columns are kept, whatever their names. Of a row that is repeated with its id, one repetition stays.
+    """
     found = exact_dedup(docs, id_column, text_column, normalise, digest, salts)
-    decided = written(found.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "keep_id", "kept"), "kept")
-    rows = docs.withColumn("_digest_of", digest(normalise(F.col(text_column))))
-    same = F.col(id_column).eqNullSafe(F.col("_id")) & (F.col("_digest_of") == F.col("_digest"))
+    own = fresh("digest_of_row", docs)
+    rows = docs.withColumn(own, digest(normalise(F.col(text_column))))
+    kept_id, kept_digest = fresh("kept_id", rows), fresh("kept_digest", rows)
+    decided = written(found.withColumnsRenamed({"doc_id": kept_id, "digest": kept_digest}), "kept")
+    same = rows[id_column].eqNullSafe(F.col(kept_id)) & (rows[own] == F.col(kept_digest))
     stay = rows.join(decided.filter("kept"), same, "left_semi")
-    repeated = decided.filter("not kept and _id <=> keep_id")
+    repeated = decided.filter(~F.col("kept") & F.col(kept_id).eqNullSafe(F.col("keep_id")))
     if not repeated.isEmpty():
-        several = stay.join(repeated, same, "left_semi").dropDuplicates([id_column, "_digest_of"])
+        several = stay.join(repeated, same, "left_semi").dropDuplicates([id_column, own])
         stay = stay.join(repeated, same, "left_anti").unionByName(several)
-    return stay.drop("_digest_of")
+    return stay.drop(own)

@@ -19,8 +19,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.llm.common import record_batch, text_slices, written
+from tidemark.llm.common import fresh, record_batch, text_slices, written
 from tidemark.llm.components import components
 
 BITS = 64
@@ -187,6 +188,21 @@ def _links(prints: DataFrame, budget: int, group_limit: int) -> DataFrame:
     return tasks.mapInPandas(join, "a long, b long")
 
 
+def _classes(prints: DataFrame, budget: int, group_limit: int) -> tuple[DataFrame, DataFrame]:
+    """(print, root) of all fingerprints, and of each component its root and the (doc_id, print) that stands for it.
+
+    The smallest id stands for a component, and of its fingerprints the smallest; null ids only if there is no other. The
+    components are a written table, so that the join by root has plain exchanges on both sides, of which a large component's is split.
+    """
+    classes = prints.groupBy("print").agg(F.min("doc_id").alias("first"))
+    linked = written(components(_links(classes.select("print"), budget, group_limit)), "components")
+    rooted = classes.join(linked.withColumnRenamed("node", "print"), "print", "left")
+    rooted = written(rooted.withColumn("root", F.coalesce("root", "print")), "rooted")
+    first = F.min(F.struct(F.col("first").isNull(), F.col("first").alias("doc_id"), "print")).alias("least")
+    named = rooted.groupBy("root").agg(first).select("root", F.col("least.doc_id").alias("component_id"), F.col("least.print").alias("kept_print"))
+    return rooted.select("print", "root"), written(named, "named")
+
+
 def simhash_classes(
     docs: DataFrame, budget: int = 4, group_limit: int = 1000, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
@@ -197,31 +213,45 @@ def simhash_classes(
     rows are returned as often as they occur. Other columns are not read. An empty table gives no rows.
     """
     prints = written(fingerprints(docs, id_column, text_column), "prints")
-    classes = prints.groupBy("print").agg(F.min("doc_id").alias("first"))
-    linked = written(components(_links(classes.select("print"), budget, group_limit)), "components")
-    rooted = classes.join(linked.withColumnRenamed("node", "print"), "print", "left")
-    rooted = rooted.withColumn("root", F.coalesce("root", "print"))
-    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return prints.join(rooted.select("print", "root").join(named, "root").drop("root"), "print").select(
-        "doc_id", "print", "component_id"
-    )
+    rooted, named = _classes(prints, budget, group_limit)
+    of_print = rooted.join(named, "root").select("print", "component_id")
+    return prints.join(of_print, "print").select("doc_id", "print", "component_id")
 
 
 def keep_one(
     docs: DataFrame, budget: int = 4, group_limit: int = 1000, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
-    """The whole rows of `docs` that stay: of each component the row of the smallest id, once if it is repeated.
+    """The whole rows of `docs` that stay: one of each component, that of the smallest id.
 
-    A component of null ids only keeps one row for each of its fingerprints.
+    If this id has several texts in the component, the one of the smallest fingerprint stays; if its row is repeated, one repetition.
+    A component of null ids only keeps the row of its smallest fingerprint. All columns are kept, whatever their names.
     """
-    found = simhash_classes(docs, budget, group_limit, id_column, text_column)
-    found = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    sizes = written(found.groupBy("doc_id", "print").agg(F.count(F.lit(1)).alias("times")), "near-kept")
-    kept = sizes.groupBy(F.col("doc_id").alias("_kept_id")).agg(F.sum("times").alias("times"))
-    same = docs[id_column].eqNullSafe(F.col("_kept_id"))
-    stay = docs.join(kept, same, "left_semi")
-    repeated = kept.filter("times > 1")
-    if repeated.isEmpty():
+    prints = written(fingerprints(docs, id_column, text_column), "prints")
+    _, named = _classes(prints, budget, group_limit)
+    kept_id, kept_print = fresh("kept_id", docs), fresh("kept_print", docs)
+    # An id that stands once is found by id alone. Rows of null and repeated ids are told apart by their fingerprints.
+    times = prints.groupBy("doc_id").agg(F.count(F.lit(1)).alias("times"))
+    kept = named.select(F.col("component_id").alias("doc_id"), F.col("kept_print").alias("print"))
+    kept = kept.join(times, kept["doc_id"].eqNullSafe(times["doc_id"])).select(kept["doc_id"].alias(kept_id), F.col("print").alias(kept_print), "times")
+    kept = written(kept, "near-kept")
+    alone = F.col(kept_id).isNotNull() & (F.col("times") == 1)
+    stay = docs.join(kept.filter(alone), docs[id_column].cast("long") == F.col(kept_id), "left_semi")
+    several = kept.filter(~alone)
+    if several.isEmpty():
         return stay
-    once = stay.join(repeated, same, "left_anti")
-    return once.unionByName(stay.join(repeated, same, "left_semi").dropDuplicates([id_column, text_column]))
+    own = fresh("print_of_row", docs)
+    rows = _with_print(docs.join(several, docs[id_column].cast("long").eqNullSafe(F.col(kept_id)), "left_semi"), own, text_column)
+    rows = rows.join(several, rows[id_column].cast("long").eqNullSafe(F.col(kept_id)) & (rows[own] == F.col(kept_print)), "left_semi")
+    return stay.unionByName(rows.dropDuplicates([id_column, own]).drop(own))
+
+
+def _with_print(docs: DataFrame, column: str, text_column: str) -> DataFrame:
+    """The rows with their fingerprints in a new column."""
+    schema = T.StructType([*docs.schema.fields, T.StructField(column, T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in text_slices(batches, text_column):
+            prints = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(prints)], names=[*part.schema.names, column])
+
+    return docs.mapInArrow(run, schema)
