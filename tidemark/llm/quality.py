@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 from tidemark.llm.common import text_slices
 from tidemark.llm.labelled import training_sample
 
-#: Bytes of a passage, and passages of a document at most: longer documents have longer passages.
-PASSAGE, PASSAGES = 600, 64
+#: Bytes of a passage; passages that are measured at a time; passages of a document that the driver fits on, at most.
+PASSAGE, STRETCH, FITTED = 600, 512, 64
 #: Character classes, by the bytes that belong to them; what is in none is the class after the last.
 CLASSES = (b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\n\r\v\f", b".,;:", b"!?", b"|", b"#$%&*", b"()[]{}<>", b"/\\_=+~^@", bytes(range(128, 256)))
 LAGS = (1, 2, 3, 4)
@@ -38,15 +38,36 @@ _LETTERS = np.random.default_rng(7).integers(1, 2**63, (16, 256), dtype=np.uint6
 
 
 def measure(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Features of all passages of the texts, and how many passages each text has; an empty text has one of zeros."""
-    raw = [t.encode() for t in texts]
+    """Features of all passages of the texts, and how many passages each text has; an empty text has one of zeros.
+
+    Every PASSAGE bytes are a passage, however long the text. A text is measured in stretches of STRETCH passages, which bounds the
+    memory; a word that two stretches share is a word in both.
+    """
+    size = PASSAGE * STRETCH
+    raw, owner = [], []
+    for k, text in enumerate(texts):
+        data = text.encode()
+        raw += [data[at : at + size] for at in range(0, len(data), size)] or [b""]
+        owner += [k] * (len(raw) - len(owner))
+    features, counts, begin = [], np.zeros(len(texts), np.int64), 0
+    while begin < len(raw):
+        end, held = begin, 0
+        while end < len(raw) and (end == begin or held + len(raw[end]) <= 2 * size):
+            held, end = held + len(raw[end]), end + 1
+        found, numbers = _measure(raw[begin:end])
+        features.append(found)
+        np.add.at(counts, owner[begin:end], numbers)
+        begin = end
+    return np.concatenate(features) if features else np.zeros((0, WIDTH)), counts
+
+
+def _measure(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.array([max(1, len(r)) for r in raw], np.int64)
     data = np.frombuffer(b"".join(r or b" " for r in raw), np.uint8)
-    step = np.maximum(PASSAGE, -(-sizes // PASSAGES))
-    counts = -(-sizes // step)
+    counts = -(-sizes // PASSAGE)
     doc_start = np.cumsum(sizes) - sizes
     inner = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    starts = np.repeat(doc_start, counts) + inner * np.repeat(step, counts)
+    starts = np.repeat(doc_start, counts) + inner * PASSAGE
     n, width = len(starts), len(CLASSES) + 1
     length = np.diff(np.append(starts, len(data)))
     kind = CLASS_OF[data]
@@ -131,7 +152,8 @@ class Attention:
 def fit(docs: DataFrame, labels: DataFrame, fold_out: tuple[int, int] = (5, 0), fit_rows: int = 6000) -> Attention:
     """Learn from at most `fit_rows` labelled documents outside the fold.
 
-    What comes to the driver are the features of their passages: at most PASSAGES rows of WIDTH numbers for each of them.
+    What comes to the driver are the features of their passages: at most FITTED rows of WIDTH numbers for each of them, taken evenly
+    from longer documents. Scoring takes all passages.
     With labels of one class only, or none, every score is that class's, or 0.5.
     """
     sample = training_sample(docs, labels, "quality", fold_out, fit_rows)
@@ -140,6 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, fold_out: tuple[int, int] = (5, 0),
         for part, texts in text_slices(batches):
             features, counts = measure(texts)
             rows = np.split(features.astype(np.float32), np.cumsum(counts)[:-1])
+            rows = [r if len(r) <= FITTED else r[np.linspace(0, len(r) - 1, FITTED).round().astype(int)] for r in rows]
             yield pa.RecordBatch.from_pydict(
                 {"bag": pa.array([r.tobytes() for r in rows], pa.binary()), "label": part.column(1).cast(pa.int32())}
             )
