@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -94,8 +96,13 @@ class Lexicon:
         """(is there a match, log of the matched weight per 1,000 words)."""
         folded = fold(text)
         hits = [(end - size + 1, end, weight) for end, (size, weight) in automaton.iter(folded)] if len(automaton) else []
-        safe = [(start, end) for start, end, weight in hits if weight is None]
-        total = sum(w for s, e, w in hits if w is not None and not any(a <= s and e <= b for a, b in safe))
+        safe = sorted((start, end) for start, end, weight in hits if weight is None)
+        starts, reach = [s for s, _ in safe], list(accumulate((e for _, e in safe), max))
+        total = 0.0
+        for start, end, weight in hits:
+            if weight is not None:
+                before = bisect_right(starts, start)  # exceptions that begin early enough; one has to reach the end
+                total += 0 if before and reach[before - 1] >= end else weight
         words = max(1, folded.count(" ") - 1)
         return float(total > 0), float(np.log1p(1000 * total / words))
 
