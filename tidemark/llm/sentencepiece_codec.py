@@ -20,7 +20,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import record_batch, text_slices
+from tidemark.llm.common import LONG_WORD, record_batch, text_slices
 
 SPACE = "▁"
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]*")
@@ -63,6 +63,7 @@ class Codec:
         plain = self.splits and not any(lib.is_unused(i) for i in range(size)) and len(self.bytes_of) == 256
         self.own = plain  # unused pieces are split again by the library; then only the library is asked
         self.memo: dict[str, bytes] = {}
+        self.long: list[str] = []  # words that are forgotten after a batch
         self.remember, self.compared, self.differing = remember, 0, 0
         self._pair_table()
         # By decreasing score, equal scores alike; the last entry is for no piece.
@@ -199,6 +200,8 @@ class Codec:
                 found[word] = answer
         for word, ids in found.items():
             self.memo[_key(word)] = array("I", ids).tobytes()
+            if len(word) > LONG_WORD:
+                self.long.append(_key(word))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, begin and end ids included, as little-endian unsigned 32-bit integers."""
@@ -215,7 +218,11 @@ class Codec:
         missing = new - self.memo.keys()
         if missing:
             self._new_words(list(missing if len(self.memo) + len(missing) <= self.remember else new))
-        return [begin + b"".join(map(self.memo.__getitem__, words)) + end for words in parts]
+        encoded = [begin + b"".join(map(self.memo.__getitem__, words)) + end for words in parts]
+        for word in self.long:
+            self.memo.pop(word, None)
+        self.long.clear()
+        return encoded
 
     def decode(self, ids: bytes) -> bytes:
         """The text of the ids in UTF-8, as the library decodes them."""
