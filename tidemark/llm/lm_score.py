@@ -11,7 +11,7 @@ The model is that of the whole corpus, however it is dealt: absolute discounting
 of more than a shard's share of the tokens is *heavy* and not kept in one place. Its trigrams go to shards by (u, v) for the upper level and by (v, w)
 for the lower one. If the pair (u, v) is heavy itself, its upper level is dealt by (u, v, w). Contexts that are dealt by w are
 *split*: shards send back counts, and the block adds up their totals and numbers of kinds and blends both levels. All figures are
-quantised before they are blended, so scores do not depend on shards, but for the order of additions.
+quantised before they are blended, and logarithms before they are added, so scores do not depend on shards at all.
 """
 
 from __future__ import annotations
@@ -34,7 +34,11 @@ from tidemark.llm.elias_fano import NOTHING, EliasFano, Trie, blend, discounted,
 END = b"\n"
 BLOCK_CHARS = 8_000_000
 #: Shards are worked on one at a time, so that more of them per partition bound the memory of a task.
-SHARDS_PER_PARTITION = 4
+SHARDS_PER_PARTITION = 3
+#: Shards' shares of the tokens from which on a word or pair is split.
+HEAVY_SHARES = 2
+#: Logarithms are added as whole numbers of this share of one, so that sums do not depend on their order.
+GRAIN = 2**-20
 #: What is taken off the counts of pairs and of triples: most of both are seen once.
 DISCOUNTS = (0.75, 0.9)
 
@@ -135,7 +139,7 @@ def _count_words(share: float):
         index = {w: k for k, w in enumerate(names)}
         at = [np.fromiter(map(index.__getitem__, words), np.int64, len(words)) for words in lists]
         values, sizes = np.unique(counts[counts > 0], return_counts=True)
-        heavy = [{"word": names[k], "n": int(counts[k]), "place": int(place[k])} for k in np.flatnonzero(counts > share).tolist()]
+        heavy = [{"word": names[k], "n": int(counts[k]), "place": int(place[k])} for k in np.flatnonzero(counts >= share).tolist()]
         return pd.DataFrame(
             {
                 "shard": int(rows["shard"].iloc[0]),
@@ -195,13 +199,13 @@ class Steps:
 
     def parts(self, numbers: np.ndarray) -> np.ndarray:
         """Among how many shards a word's trigrams are split; 1 for words of at most a shard's share of the tokens."""
-        return 1 + self.count(numbers) * self.shards // max(1, self.total + 1)
+        return 1 + self.count(numbers) * self.shards // (HEAVY_SHARES * (self.total + 1))
 
     def pair_parts(self, keys: np.ndarray) -> np.ndarray:
         if not len(self.heavy_pairs):
             return np.ones(len(keys), np.int64)
         at = np.minimum(np.searchsorted(self.heavy_pairs, keys), len(self.heavy_pairs) - 1)
-        return np.where(self.heavy_pairs[at] == keys, 1 + self.heavy_counts[at] * self.shards // max(1, self.total + 1), 1)
+        return np.where(self.heavy_pairs[at] == keys, 1 + self.heavy_counts[at] * self.shards // (HEAVY_SHARES * (self.total + 1)), 1)
 
     def count(self, numbers: np.ndarray) -> np.ndarray:
         table = np.append(self.counts, [0, self.train_docs])
@@ -323,7 +327,7 @@ def _deal(steps: Steps):
         order = np.argsort((shard << 40) | v, kind="stable")
         u, v, w, doc, shard = u[order], v[order], w[order], (doc * 2 + held[doc])[order], shard[order]
         for s, a, b in _by_shard(shard, steps.shards):
-            out.append((s, "light", _join(pack(u[a:b]), pack(np.diff(v[a:b], prepend=0)), pack(w[a:b]), pack(doc[a:b]))))
+            out.append((s, "light", _join(pack(u[a:b]), pack(np.diff(v[a:b], prepend=0)), pack(w[a:b]), pack(_steps_of(v[a:b], doc[a:b])))))
         return pd.DataFrame(
             {"shard": [s for s, _, _ in out], "block": row["block"], "kind": [k for _, k, _ in out], "payload": [p for _, _, p in out]}
         )
@@ -331,6 +335,23 @@ def _deal(steps: Steps):
     return run
 
 
+def _steps_of(v: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Documents by their distance to the one before of the same v, which is not larger; the first of each v as it is."""
+    same = np.append(False, v[1:] == v[:-1])
+    return np.where(same, doc - np.append(0, doc[:-1]), doc)
+
+
+def _from_steps(v: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    total = np.cumsum(steps)
+    first = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
+    return total - np.repeat(total[first] - steps[first], np.diff(np.append(first, len(v))))
+
+
+def _costs(p: np.ndarray) -> np.ndarray:
+    """-log10 of probabilities in whole GRAINs."""
+    return np.rint(-np.log10(p) / GRAIN)
+
+
 def _floats(array: np.ndarray) -> bytes:
     return array.astype("<f8").tobytes()
 
@@ -365,17 +386,19 @@ def _looked_up(words: int, u: np.ndarray, v: np.ndarray, w: np.ndarray, train: n
 
 
 def _score_light(steps: Steps, payloads: pd.Series) -> list[bytes]:
-    """Sums of log10 P per document of each payload."""
+    """Sums of costs per document of each payload."""
     parts = [[unpack(p) for p in _cut(x)] for x in payloads]
-    u, w, doc = (np.concatenate([p[k] for p in parts]) for k in (0, 2, 3))
-    v = np.concatenate([np.cumsum(p[1]) for p in parts])
-    sizes = [len(p[0]) for p in parts]
-    del parts
-    logs = np.log10(blend(steps.unigram(w), *_looked_up(steps.words, u, v, w, doc % 2 == 0)))
+    u, w = (np.concatenate([p[k] for p in parts]) for k in (0, 2))
+    middle = [np.cumsum(p[1]) for p in parts]
+    doc = np.concatenate([_from_steps(v, p[3]) for v, p in zip(middle, parts, strict=True)])
+    v, sizes = np.concatenate(middle), [len(p[0]) for p in parts]
+    del parts, middle
+    costs = _costs(blend(steps.unigram(w), *_looked_up(steps.words, u, v, w, doc % 2 == 0)))
     out, begin = [], 0
     for size in sizes:
         docs, at = distinct(doc[begin : begin + size] // 2)
-        out.append(_join(pack(docs), _floats(np.bincount(at, logs[begin : begin + size]))))
+        sums = np.bincount(at, costs[begin : begin + size]).astype(np.int64)  # exact: whole numbers below 2^53
+        out.append(_join(pack(np.diff(docs, prepend=0)), pack(sums)))
         begin += size
     return out
 
@@ -427,8 +450,8 @@ def _score(steps: Steps):
     return run
 
 
-def _heavy_logs(steps: Steps, answers: pd.DataFrame, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """log10 P of a block's trigrams of heavy words from the shards' answers."""
+def _heavy_costs(steps: Steps, answers: pd.DataFrame, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Costs of a block's trigrams of heavy words from the shards' answers."""
     dealt = Heavy(steps, u, v, w)
     of = {kind: dict(zip(part["shard"], part["payload"], strict=True)) for kind, part in answers.groupby("kind")}
     counts, totals, kinds = dealt.asked.answers({s: [unpack(x) for x in _cut(p)] for s, p in of["split"].items()})
@@ -439,7 +462,7 @@ def _heavy_logs(steps: Steps, answers: pd.DataFrame, u: np.ndarray, v: np.ndarra
     rest[dealt.split] = left_over(kinds[n:], totals[n:], DISCOUNTS[1])
     for s, a, b in _by_shard(dealt.wide_shard, steps.shards):
         triple[dealt.wide[a:b]], rest[dealt.wide[a:b]] = (unpack(x) for x in _cut(of["wide"][s]))
-    return np.log10(blend(steps.unigram(w), pair, pair_rest, triple, rest))
+    return _costs(blend(steps.unigram(w), pair, pair_rest, triple, rest))
 
 
 def _combine(steps: Steps):
@@ -447,13 +470,13 @@ def _combine(steps: Steps):
 
     def run(docs: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
         base, n_known, held, sizes, *heavy = _cut(sums.loc[sums["kind"] == "own", "payload"].iloc[0])
-        score = np.zeros(len(docs["docs"].iloc[0]))
-        for payload in sums[sums["kind"] == "light"].sort_values("shard")["payload"]:  # the order of arrival must not matter
+        cost = np.zeros(len(docs["docs"].iloc[0]), np.int64)
+        for payload in sums[sums["kind"] == "light"]["payload"]:
             at, part = _cut(payload)
-            score[unpack(at)] += np.frombuffer(part, "<f8")
+            cost[np.cumsum(unpack(at))] += unpack(part)
         u, v, w, doc = map(unpack, heavy)
         if len(v):
-            score += np.bincount(doc, _heavy_logs(steps, sums, u, v, w), minlength=len(score))
+            cost += np.bincount(doc, _heavy_costs(steps, sums, u, v, w), minlength=len(cost)).astype(np.int64)
         return pd.DataFrame(
             {
                 "doc_id": pd.array([None if pd.isna(d) else int(d) for d in docs["docs"].iloc[0]], "Int64"),
@@ -462,15 +485,17 @@ def _combine(steps: Steps):
                 "n_known": unpack(n_known),
                 "train_tokens": steps.total,
                 "base_score": np.frombuffer(base, "<f8"),
-                "score": score,
+                "score": -cost * GRAIN,
             }
         )
 
     return run
 
 
-def _heavy_pairs(blocks: DataFrame, heavy: dict[bytes, int], words: int):
+def _heavy_pairs(blocks: DataFrame, heavy: dict[bytes, int], steps: Steps) -> DataFrame:
     """(pair, n): how often pairs of heavy words stand in training documents, summed per block. heavy: their numbers by word."""
+    words = steps.words
+    start = steps.start if steps.parts(np.array([steps.start]))[0] > 1 else -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -479,11 +504,11 @@ def _heavy_pairs(blocks: DataFrame, heavy: dict[bytes, int], words: int):
                 number = np.fromiter((heavy.get(w, -1) for w in names), np.int64, len(names))
                 tokens, sizes, held = number[unpack(row["tokens"])], unpack(row["sizes"]), unpack(row["held"])
                 usable = np.repeat(held == 0, sizes)
-                inner = np.ones(len(tokens), bool)
-                inner[np.cumsum(sizes) - sizes] = False  # the first word of a text has no word before it
-                at = np.flatnonzero(inner & usable & (tokens >= 0))
-                at = at[tokens[at - 1] >= 0]
-                pairs, place = distinct(tokens[at - 1] * words + tokens[at])
+                before = np.append(-1, tokens[:-1])
+                before[np.cumsum(sizes) - sizes] = start
+                at = np.flatnonzero(usable & (tokens >= 0) & (before >= 0))
+                twice = np.full(int((held == 0).sum()) if start >= 0 else 0, start * words + start)
+                pairs, place = distinct(np.append(before[at] * words + tokens[at], twice))
                 yield pa.RecordBatch.from_pydict({"pair": pa.array(pairs, pa.int64()), "n": pa.array(np.bincount(place, minlength=len(pairs)), pa.int64())})
 
     columns = blocks.select("held", "sizes", "tokens", F.expr("transform(vocabulary, v -> struct(v.words as words))").alias("vocabulary"))
@@ -506,7 +531,7 @@ def lm_score(docs: DataFrame, held_out: Column, id_column: str = "doc_id", text_
     shard = blocks.select("block", F.explode("vocabulary").alias("v")).select("block", "v.shard", "v.words", "v.counts")
     train_docs, total = blocks.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("train_docs", "train_tokens"))).first()
     counted = shard.groupBy("shard").applyInPandas(
-        _count_words(total / shards), f"shard int, block long, counts binary, places binary, heavy {HEAVY}"
+        _count_words(HEAVY_SHARES * (total + 1) / shards), f"shard int, block long, counts binary, places binary, heavy {HEAVY}"
     )
     counted = written(counted, "lm-words")
     by_count = counted.filter("block is null").mapInPandas(_split_counts, "shard int, n long, words long")
@@ -520,9 +545,9 @@ def lm_score(docs: DataFrame, held_out: Column, id_column: str = "doc_id", text_
     bases = bases.select("shard", "n", (F.col("first") + F.col("before")).alias("base"))
     heavy = counted.filter("block is null").select("shard", F.explode("heavy").alias("h")).select("shard", "h.word", "h.n", "h.place")
     heavy = heavy.join(bases, ["shard", "n"]).select("word", (F.col("base") + F.col("place")).alias("number")).collect()  # at most `shards` rows
-    if heavy:
-        pairs = _heavy_pairs(blocks, {bytes(r["word"]): r["number"] for r in heavy}, steps.words)
-        pairs = pairs.filter(F.col("n") > total / shards).toPandas()  # at most `shards` rows, too
+    if heavy or steps.parts(np.array([steps.start]))[0] > 1:
+        pairs = _heavy_pairs(blocks, {bytes(r["word"]): r["number"] for r in heavy}, steps)
+        pairs = pairs.filter(F.col("n") >= HEAVY_SHARES * (total + 1) / shards).toPandas()  # at most `shards` rows, too
         steps.set_heavy_pairs(pairs["pair"].to_numpy(np.int64), pairs["n"].to_numpy(np.int64))
     bases = bases.groupBy("shard").applyInPandas(_pack_bases, "shard int, ns binary, bases binary")
     numbered = counted.filter("block is not null").join(bases, "shard", "left")
