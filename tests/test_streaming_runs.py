@@ -8,8 +8,19 @@ from tidemark.operators.quality import QualityError
 from tidemark.operators.summaries import market_summary
 from tidemark.plans.curated import curate_market_ticks, typed_ticks
 from tidemark.plans.medallion import MedallionTables, run_medallion
+from tidemark.sources.hourly import HourlyRows
 from tidemark.sources.versioned import VersionedTable
-from tidemark.streaming.curate import BAR_KEYS, curate_stream, dedup_stream, ohlc_stream
+from tidemark.streaming import curate
+from tidemark.streaming.curate import (
+    bar_table,
+    current_bars,
+    curate_stream,
+    dedup_stream,
+    not_stored,
+    ohlc_live_stream,
+    ohlc_store_stream,
+    repaired_bars,
+)
 from tidemark.streaming.ingest import ingest_stream
 
 RAW = (
@@ -55,49 +66,87 @@ def test_curate_stream_folds_late_and_duplicate_rows(spark, path):
     assert len(target.commits()) == commits
 
 
-def test_ohlc_stream_over_batches_equals_batch_result(spark, path):
+def ohlc(spark, path, source, name, delay="2 hours"):
+    ticks = typed_ticks(stream(spark, source))
+    store = HourlyRows(spark, f"{path}/ticks", ticks.schema, "tick_timestamp")
+    bars = bar_table(spark, f"{path}/bars")
+    ohlc_store_stream(ticks, store, bars, f"{path}/{name}-store", delay=delay, writer=name, available_now=True).awaitTermination()
+    ohlc_live_stream(store, bars, f"{path}/live", delay=delay, available_now=True).awaitTermination()
+    return store, bars
+
+
+def test_ohlc_streams_over_batches_equal_the_batch_result(spark, path):
     batches = [
         [tick(1, 10, "5.00"), tick(2, 20, "7.00")],
-        [tick(3, 5, "4.00"), tick(4, 70, "3.00")],
-        [tick(5, 65, "8.00")],
+        [tick(3, 5, "4.00"), tick(4, 70, "3.00"), tick(1, 10, "5.00")],  # one tick is delivered again
+        [tick(5, 65, "8.00"), tick(6, 600, "1.00")],
     ]
     files(spark, path, *batches)
-    store = VersionedTable(spark, f"{path}/ticks")
-    bars = VersionedTable(spark, f"{path}/bars", bucket_keys=BAR_KEYS, buckets=4)
-
-    def run(writer, checkpoint):
-        ticks = typed_ticks(stream(spark, path))
-        ohlc_stream(ticks, store, bars, f"{path}/{checkpoint}", writer=writer, available_now=True).awaitTermination()
-
-    run("first", "checkpoint")
-    found = bars.read()
+    store, bars = ohlc(spark, path, path, "first")
+    found = current_bars(bars)
     assert rows(found, "bar_start", "open_price", "high_price", "low_price", "close_price", "tick_count") == [
         (START, 4.0, 7.0, 4.0, 7.0, 3),
         (START + timedelta(hours=1), 8.0, 8.0, 3.0, 3.0, 2),
+        (START + timedelta(hours=10), 1.0, 1.0, 1.0, 1.0, 1),
     ]
     whole = spark.createDataFrame([t for b in batches for t in b], RAW)
     batch = market_summary(curate_market_ticks(whole))
     assert rows(batch, "open_price", "close_price") == rows(found, "open_price", "close_price")
     before = rows(found)
-    run("second", "other-checkpoint")  # all files again under another name: nothing is counted twice
-    assert rows(bars.read()) == before
-    files(spark, f"{path}/late", [tick(6, 1, "2.00")])  # hours behind what has been seen
-    late = typed_ticks(stream(spark, f"{path}/late"))
-    ohlc_stream(late, store, bars, f"{path}/late-checkpoint", writer="third", available_now=True).awaitTermination()
-    assert rows(bars.read(), "bar_start", "open_price", "tick_count")[0] == (START, 2.0, 4)
+    ohlc(spark, path, path, "second")  # all files again under another name: nothing is counted twice
+    assert rows(current_bars(bars)) == before
+
+
+def test_late_ticks_repair_their_hours_and_read_nothing_else(spark, path):
+    files(spark, path, [tick(1, 10, "5.00"), tick(2, 3000, "7.00")])
+    store, bars = ohlc(spark, path, path, "first")
+    late = [tick(3, 1, "2.00"), tick(4, 2990, "6.00")]  # one hour is closed, the other one live
+    files(spark, f"{path}/late", late)
+    ohlc(spark, path, f"{path}/late", "late")
+    assert rows(current_bars(bars), "bar_start", "open_price", "tick_count") == [
+        (START, 2.0, 2),
+        (START + timedelta(hours=49), 6.0, 1),
+        (START + timedelta(hours=50), 7.0, 1),
+    ]
+    plan = repaired_bars(store, ["2026-03-02-10"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(event_part" in plan or "PartitionFilters: [(event_part" in plan
+    scanned = repaired_bars(store, ["2026-03-02-10"]).inputFiles()
+    assert scanned and len(store.read(["2026-03-02-10"]).inputFiles()) <= len(store.read().inputFiles())
+    written = bars.read(with_batch=True).where("written_by = 'late'")
+    assert [r["bar_start"] for r in written.collect()] == [START]  # only the closed hour was computed anew
 
 
-def test_dedup_stream_across_batches(spark, path):
+def test_dedup_stream_in_two_tiers(spark, path):
     schema = "id bigint, ts timestamp"
-    files(spark, path, [(1, START), (1, START)], [(1, START), (2, START)], schema=schema)
-    table = VersionedTable(spark, f"{path}/out")
-    dedup_stream(stream(spark, path, schema), table, ["id"], f"{path}/checkpoint", available_now=True).awaitTermination()
-    assert rows(table.read(), "id") == [(1,), (2,)]
+    now = datetime.now().replace(microsecond=0)
+    files(spark, path, [(1, START), (1, START), (9, now)], [(1, START), (2, START), (9, now)], schema=schema)
+    source = stream(spark, path, schema)
+    store = HourlyRows(spark, f"{path}/out", source.schema, "ts", "day")
+    dedup_stream(source, store, ["id"], f"{path}/checkpoint", available_now=True).awaitTermination()
+    assert rows(store.read(), "id") == [(1,), (2,), (9,)]
     ancient = START - timedelta(days=400)
-    files(spark, f"{path}/late", [(3, ancient), (1, START)], [(3, ancient), (None, START), (None, START)], schema=schema)
+    again = [(3, ancient), (1, START), (2, START), (4, None)]
+    files(spark, f"{path}/late", again, [(3, ancient), (None, START), (None, START), (4, None)], schema=schema)
     late = stream(spark, f"{path}/late", schema)
-    dedup_stream(late, table, ["id"], f"{path}/late-checkpoint", writer="late", available_now=True).awaitTermination()
-    assert rows(table.read(), "id") == [(1,), (2,), (3,), (None,)]
+    dedup_stream(late, store, ["id"], f"{path}/late-checkpoint", writer="late", available_now=True).awaitTermination()
+    assert rows(store.read(), "id") == [(1,), (2,), (3,), (4,), (9,), (None,)]
+    dedup_stream(late, store, ["id"], f"{path}/other-checkpoint", writer="other", available_now=True).awaitTermination()
+    assert store.read().count() == 6
+
+
+def test_recent_events_are_not_looked_up_and_old_ones_only_in_their_hours(spark, path, monkeypatch):
+    schema = "id bigint, ts timestamp"
+    looked_up = []
+    monkeypatch.setattr(curate, "not_stored", lambda rows_, store_, hours, *rest: looked_up.append(hours) or not_stored(rows_, store_, hours, *rest))
+    now = datetime.now().replace(microsecond=0)
+    files(spark, path, [(1, now), (2, START)], [(3, now), (4, START + timedelta(hours=3))], schema=schema)
+    source = stream(spark, path, schema)
+    store = HourlyRows(spark, f"{path}/out", source.schema, "ts")
+    dedup_stream(source, store, ["id"], f"{path}/checkpoint", available_now=True).awaitTermination()
+    assert looked_up == [["2026-03-02-10"], ["2026-03-02-13"]]
+    everything, one = store.read().inputFiles(), store.read(["2026-03-02-10"])
+    assert len(everything) > 1 and one.count() == 1
+    assert "PartitionFilters: [isnotnull(event_part" in one._jdf.queryExecution().executedPlan().toString()
 
 
 def test_ingest_routes_and_decodes(spark, path):

@@ -40,9 +40,10 @@ from tidemark.plans.medallion import MedallionTables, run_medallion
 from tidemark.session import tune, work_dir
 from tidemark.sources import feed
 from tidemark.sources.audit import parse_audit
+from tidemark.sources.hourly import HourlyRows
 from tidemark.sources.messages import parse_messages
 from tidemark.sources.versioned import VersionedTable
-from tidemark.streaming.curate import BAR_KEYS, curate_stream, dedup_stream, ohlc_stream
+from tidemark.streaming.curate import bar_table, current_bars, curate_stream, dedup_stream, ohlc_live_stream, ohlc_store_stream
 from tidemark.streaming.ingest import ingest_stream
 from tidemark.testdata import adapters
 
@@ -757,20 +758,21 @@ def stream_curated_ticks(spark, sf_dir):
 
 @query
 def stream_ohlc(spark, sf_dir):
+    """Ticks stored by hour, late hours repaired from their partitions, live ones kept as state."""
     root = work_dir(spark, "ohlc")
-    store = VersionedTable(spark, f"{root}/ticks")
-    bars = VersionedTable(spark, f"{root}/bars", bucket_keys=BAR_KEYS, buckets=16)
-    raw = adapters.ticks_from_events(_event_stream(spark, sf_dir))
-    _finish(ohlc_stream(typed_ticks(raw), store, bars, f"{root}/checkpoint", available_now=True))
-    return bars.read()
+    ticks = typed_ticks(adapters.ticks_from_events(_event_stream(spark, sf_dir)))
+    store, bars = HourlyRows(spark, f"{root}/ticks", ticks.schema, "tick_timestamp", "day"), bar_table(spark, f"{root}/bars")
+    _finish(ohlc_store_stream(ticks, store, bars, f"{root}/store-checkpoint", available_now=True))
+    _finish(ohlc_live_stream(store, bars, f"{root}/live-checkpoint", available_now=True))
+    return current_bars(bars)
 
 
 @query
 def stream_dedup(spark, sf_dir):
     """Every event delivered twice, stored once."""
     root = work_dir(spark, "dedup")
-    target = VersionedTable(spark, f"{root}/events")
     twice = _event_stream(spark, sf_dir).unionByName(_event_stream(spark, sf_dir))
+    target = HourlyRows(spark, f"{root}/events", twice.schema, "ts", "day")
     _finish(dedup_stream(twice, target, ["event_id"], f"{root}/checkpoint", available_now=True))
     return target.read().select("event_id", "ts", "event_type", "value")
 
