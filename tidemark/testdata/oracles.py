@@ -569,3 +569,5 @@ found AS (
     CASE WHEN instrument_id NOT IN (SELECT p_partkey FROM part) THEN 'instrument_id: not in instruments' END)
   FROM position_log)
 SELECT * FROM found WHERE violations <> ''"""
+ORACLES["market_summary_deltas"] = ORACLES["market_summary_hourly"]
+ORACLES["order_summary_deltas"] = ORACLES["order_summary_hourly"]

@@ -26,6 +26,7 @@ from tidemark.operators import access, constraints, contracts, quality, routing,
 from tidemark.operators.cdc import unwrap_cdc
 from tidemark.operators.dedup import apply_changes
 from tidemark.operators.history import compare_counts, row_changes
+from tidemark.operators.upsert import union_upsert
 from tidemark.plans.curated import (
     curate_entity,
     curate_market_ticks,
@@ -36,8 +37,9 @@ from tidemark.plans.curated import (
     typed_ticks,
 )
 from tidemark.plans.incremental import run_entity, run_incremental
+from tidemark.plans.summary_deltas import SummaryDeltas, changed_images, market_hours, order_hours
 from tidemark.plans.medallion import MedallionTables, run_medallion
-from tidemark.session import tune, work_dir
+from tidemark.session import staged, tune, work_dir
 from tidemark.sources import feed
 from tidemark.sources.audit import parse_audit
 from tidemark.sources.hourly import HourlyRows
@@ -402,6 +404,39 @@ def incremental_entity_merge(spark, sf_dir):
     return target.read().select(*ORDERS.output_columns)
 
 
+def _folded_summary(spark, raw, curate, order_by, ties, keys, spec, unit) -> DataFrame:
+    """The measures of a summary kept through four batches of changes with corrections of earlier rows."""
+    root, kept = work_dir(spark, "summary"), tie_names(ties)
+    state, summary = None, None
+    for batch in range(1, 5):
+        increment = staged(curate(raw.where(F.col("batch") == batch)), "increment")
+        if summary is None:
+            state, summary = increment.limit(0), SummaryDeltas(spark, root, spec, increment.schema, unit)
+        summary.apply(changed_images(state, increment, keys, order_by, kept), batch)
+        state = staged(union_upsert(state, increment, keys, order_by, kept), "state")
+    return summary.current()
+
+
+@query
+def market_summary_deltas(spark, sf_dir):
+    """The hourly market summary from changed ticks; the oracle computes it as a whole."""
+    raw = adapters.raw_ticks(spark, sf_dir)
+    measures = _folded_summary(
+        spark, raw, lambda rows: curate_market_ticks(rows, TIES, keep_ties=True), ["tick_timestamp"], TIES, ["tick_id"], market_hours(), "day"
+    )
+    return summaries.finish_market(measures, ["ticker", "tick_hour"])
+
+
+@query
+def order_summary_deltas(spark, sf_dir):
+    """The hourly order summary from changed orders; the oracle computes it as a whole."""
+    raw, ties = _flat_orders(spark, sf_dir), ("_cdc.offset",)
+    measures = _folded_summary(
+        spark, raw, lambda rows: curate_order_events(rows, ties, keep_ties=True), ["updated_at"], ties, ["order_id"], order_hours(), "year"
+    )
+    return summaries.finish_orders(measures, ["instrument_id", "order_hour"])
+
+
 def _late(spark: SparkSession, changes: DataFrame, entity: Entity, ties: tuple[str, ...]) -> DataFrame:
     """The stored entity after its batches have arrived in reverse, one run each, without insert-only times."""
     raw = VersionedTable(spark, work_dir(spark, f"late-{entity.name}"))
