@@ -1,7 +1,9 @@
-"""Catalog tables: existence probe, create-as-select, and the watermark kept as a table property."""
+"""Catalog tables: existence probe, create-as-select, bucketed tables, and the watermark kept as a table property."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 
 WATERMARK_PROPERTY = "last_processed_snapshot_id"
@@ -25,3 +27,14 @@ def set_watermark(spark: SparkSession, table: str, snapshot_id: int) -> None:
 def create_table_as(df: DataFrame, table: str, location: str) -> None:
     """Write a result as Parquet files at `location` and register it; an existing table is an error."""
     df.write.format("parquet").option("path", location).saveAsTable(table)
+
+
+def create_bucketed(df: DataFrame, table: str, location: str, keys: Sequence[str], buckets: int) -> DataFrame:
+    """Write rows as a catalog table of `buckets` buckets by the keys, each one sorted file, and return it.
+
+    Tables of equal keys and numbers of buckets are joined bucket by bucket, without a shuffle. Choose `buckets` so that one of the larger
+    table is a few hundred MB.
+    """
+    dealt = df.repartition(buckets, *keys)  # one file a bucket: the hash is the one that bucketing takes
+    dealt.write.format("parquet").option("path", location).bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
+    return df.sparkSession.table(table)

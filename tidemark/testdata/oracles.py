@@ -571,3 +571,16 @@ found AS (
 SELECT * FROM found WHERE violations <> ''"""
 ORACLES["market_summary_deltas"] = ORACLES["market_summary_hourly"]
 ORACLES["order_summary_deltas"] = ORACLES["order_summary_hourly"]
+ORACLES["executions_bucketed"] = ORACLES["executions_enriched"]
+AS_OF = """
+moments AS (SELECT unnest([TIMESTAMP '1994-12-31 23:00:00', TIMESTAMP '1995-12-31 23:00:00', TIMESTAMP '1996-12-31 23:00:00',
+  TIMESTAMP '1997-12-31 23:00:00', TIMESTAMP '1998-12-31 23:00:00']) AS as_of)"""
+ORACLES["orders_as_of_moments"] = f"""WITH {ORDER_LOG}, {AS_OF},
+state AS (SELECT as_of, order_id, op, status FROM order_log JOIN moments ON updated_at <= as_of
+  QUALIFY row_number() OVER (PARTITION BY as_of, order_id ORDER BY updated_at DESC, seq DESC) = 1)
+SELECT as_of, status, count(*) AS orders FROM state WHERE op <> 'd' GROUP BY 1, 2"""
+ORACLES["orders_as_of_many"] = f"""WITH {ORDER_LOG}, {TRADES},
+found AS (SELECT trade_id, order_id, executed_at, status, op, updated_at AS valid_from
+  FROM trades t JOIN order_log l USING (order_id) WHERE l.updated_at <= t.executed_at
+  QUALIFY row_number() OVER (PARTITION BY trade_id ORDER BY l.updated_at DESC, l.seq DESC) = 1)
+SELECT * EXCLUDE (op) FROM found WHERE op <> 'd'"""

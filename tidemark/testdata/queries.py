@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from datetime import datetime, timezone
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +27,7 @@ from tidemark.model import (
 from tidemark.operators import access, constraints, contracts, quality, routing, summaries, trading
 from tidemark.operators.cdc import unwrap_cdc
 from tidemark.operators.dedup import apply_changes
-from tidemark.operators.history import compare_counts, row_changes
+from tidemark.operators.history import as_of_lookup, compare_counts, row_changes, state_at, validity
 from tidemark.operators.upsert import union_upsert
 from tidemark.plans.curated import (
     curate_entity,
@@ -42,6 +44,7 @@ from tidemark.plans.medallion import MedallionTables, run_medallion
 from tidemark.session import staged, tune, work_dir
 from tidemark.sources import feed
 from tidemark.sources.audit import parse_audit
+from tidemark.sources.catalog import create_bucketed
 from tidemark.sources.hourly import HourlyRows
 from tidemark.sources.messages import parse_messages
 from tidemark.sources.versioned import VersionedTable
@@ -279,6 +282,17 @@ def executions_enriched(spark, sf_dir):
     return rows.select("trade_id", "order_id", "account_id", "side", "quantity", "price", "settlement_date", due)
 
 
+@query
+def executions_bucketed(spark, sf_dir):
+    """Enriched executions from trades and orders that are stored by order: joined bucket by bucket."""
+    root, name = work_dir(spark, "bucketed"), f"tidemark_{uuid.uuid4().hex}"
+    sides = {"trades": _trades(spark, sf_dir), "orders": _orders(spark, sf_dir)}
+    trades, orders = (create_bucketed(df, f"{name}_{k}", f"{root}/{k}", ["order_id"], 8) for k, df in sides.items())
+    rows = trading.enrich_executions(trades, orders)
+    due = settlement_date(F.to_date("executed_at")).alias("settlement_due")
+    return rows.select("trade_id", "order_id", "account_id", "side", "quantity", "price", "settlement_date", due)
+
+
 def _positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trading.build_positions(_trades(spark, sf_dir), _orders(spark, sf_dir))
 
@@ -374,6 +388,29 @@ def curated_as_of_version(spark, sf_dir):
     return curate_market_ticks(_tick_table(spark, sf_dir).read_as_of(2), TIES)
 
 
+def _order_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When each image of an order was the current one; a delete ends it."""
+    log = _flat_orders(spark, sf_dir).withColumn("changed_at", F.col("_cdc.ts").cast("timestamp"))
+    images = validity(log, ["order_id"], "changed_at", [F.col("_cdc.offset")], deleted=F.col("_cdc.op") == "d")
+    return images.select(F.col("order_id").cast("bigint").alias("order_id"), "status", "quantity", "valid_from", "valid_to")
+
+
+@query
+def orders_as_of_many(spark, sf_dir):
+    """Every execution with the status that its order had at that moment."""
+    trades = _trades(spark, sf_dir).select("trade_id", "order_id", "executed_at")
+    found = as_of_lookup(trades, _order_intervals(spark, sf_dir), ["order_id"], "executed_at")
+    return found.select("trade_id", "order_id", "executed_at", "status", "valid_from")
+
+
+@query
+def orders_as_of_moments(spark, sf_dir):
+    """Orders by status at the ends of five years, from one pass over the log."""
+    ends = [datetime(year, 12, 31, 23, tzinfo=timezone.utc) for year in range(1994, 1999)]
+    states = state_at(_order_intervals(spark, sf_dir), ends)
+    return states.groupBy("as_of", "status").agg(F.count(F.lit(1)).alias("orders"))
+
+
 @query
 def incremental_equals_full(spark, sf_dir):
     """Four incremental runs; the oracle is one full refresh."""
