@@ -50,6 +50,15 @@ def route(df: DataFrame, routes: Iterable[Route] = TOPIC_ROUTES, topic_col: str
     return exploded.select(*df.columns, "__route.table", "__route.zone")
 
 
+def every_route(df: DataFrame, routes: Iterable[Route] = TOPIC_ROUTES, topic_col: str = "_topic") -> DataFrame:
+    """Add `table` and `zone` to every row: those of its rules, or ('unrouted', 'none'), or ('rejected', 'none') without a topic."""
+    matched = F.array_compact(F.array(*_matches(F.col(topic_col), routes)))
+    name = F.when(F.col(topic_col).isNull(), "rejected").otherwise("unrouted")
+    rest = F.array(F.struct(name.alias("table"), F.lit("none").alias("zone")))
+    chosen = df.withColumn("__route", F.explode(F.when(F.size(matched) > 0, matched).otherwise(rest)))
+    return chosen.select(*df.columns, "__route.table", "__route.zone")
+
+
 def unrouted(df: DataFrame, routes: Iterable[Route] = TOPIC_ROUTES, topic_col: str = "_topic") -> DataFrame:
     """Rows no rule matches, for monitoring."""
     return df.where(F.coalesce(*_matches(F.col(topic_col), routes)).isNull())

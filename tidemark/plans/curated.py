@@ -117,25 +117,30 @@ def curate_order_stream(raw: DataFrame, tie_breakers: Sequence[str] = ()) -> Dat
     )
 
 
-def curate_entity(
-    raw: DataFrame, entity: Entity, tie_breakers: Sequence[str] = (), *, keep_order: bool = False
-) -> DataFrame:
-    """Newest non-deleted row per key of any source table, typed.
-
-    Reads both raw shapes: the envelope (`op`, `after`, `source_timestamp`) and the flat row with a
-    `_cdc` struct. `keep_order` adds the columns of `event_order`, for tables that increments are merged into.
-    """
+def typed_entity(raw: DataFrame, entity: Entity, tie_breakers: Sequence[str] = ()) -> DataFrame:
+    """The images of a source table's log, typed, with `__op` and the columns of `event_order`; a narrow step."""
     if "after" in raw.columns:
         prefix, op, at = "after.", "op", F.timestamp_millis("source_timestamp")
     else:
         prefix, op, at = "", "_cdc.op", F.col("_cdc.ts")
-    stamped = {*entity.event_time_on_insert, *entity.event_time}
-    typed = raw.select(
+    return raw.select(
         *[to_typed(F.col(prefix + name), kind).alias(name) for name, kind in entity.columns.items()],
         F.col(op).alias("__op"),
         at.alias(EVENT_AT),
         *_ties(tie_breakers),
     ).where(F.col(entity.key).isNotNull())
+
+
+def curate_entity(
+    raw: DataFrame, entity: Entity, tie_breakers: Sequence[str] = (), *, keep_order: bool = False
+) -> DataFrame:
+    """Newest non-deleted row per key of any source table, typed.
+
+    Reads both raw shapes: the envelope (`op`, `after`, `source_timestamp`) and the flat row with a
+    `_cdc` struct. `keep_order` adds the columns of `event_order`, for tables that increments are merged into.
+    """
+    stamped = {*entity.event_time_on_insert, *entity.event_time}
+    typed = typed_entity(raw, entity, tie_breakers)
     newest = apply_changes(typed, [entity.key], [EVENT_AT], tie_names(tie_breakers), op="__op")
     return newest.select(
         *[F.col(EVENT_AT).alias(name) if name in stamped else F.col(name) for name in entity.output_columns],

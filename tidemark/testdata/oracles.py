@@ -584,3 +584,9 @@ found AS (SELECT trade_id, order_id, executed_at, status, op, updated_at AS vali
   FROM trades t JOIN order_log l USING (order_id) WHERE l.updated_at <= t.executed_at
   QUALIFY row_number() OVER (PARTITION BY trade_id ORDER BY l.updated_at DESC, l.seq DESC) = 1)
 SELECT * EXCLUDE (op) FROM found WHERE op <> 'd'"""
+ORACLES["stream_positions"] = ORACLES["position_build"]
+ORACLES["ingest_in_one_write"] = f"""WITH {TOPICS},
+named AS (SELECT CASE WHEN event_id % 23 = 0 THEN 'rejected' ELSE coalesce(tbl, 'unrouted') END AS "table" FROM routed)
+SELECT "table", CASE WHEN "table" LIKE 'raw\\_mnpi%' ESCAPE '\\' THEN 'mnpi' WHEN "table" LIKE 'raw%' THEN 'nonmnpi' ELSE 'none' END AS zone,
+  count(*) AS row_count, count(*) AS counted
+FROM named GROUP BY 1, 2"""

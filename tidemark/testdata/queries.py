@@ -34,8 +34,10 @@ from tidemark.plans.curated import (
     curate_market_ticks,
     curate_order_events,
     curate_order_stream,
+    event_order,
     merge_entity,
     tie_names,
+    typed_entity,
     typed_ticks,
 )
 from tidemark.plans.incremental import run_entity, run_incremental
@@ -49,7 +51,8 @@ from tidemark.sources.hourly import HourlyRows
 from tidemark.sources.messages import parse_messages
 from tidemark.sources.versioned import VersionedTable
 from tidemark.streaming.curate import bar_table, current_bars, curate_stream, dedup_stream, ohlc_live_stream, ohlc_store_stream
-from tidemark.streaming.ingest import ingest_stream
+from tidemark.streaming.ingest import ingest_stream, route_stream, routed_rows
+from tidemark.streaming.positions import current_positions, position_deltas, position_stream
 from tidemark.testdata import adapters
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -798,6 +801,23 @@ def stream_ingest_routed(spark, sf_dir):
     return stored
 
 
+@query
+def ingest_in_one_write(spark, sf_dir):
+    """How many messages went to each table, as counted while they were written, and as they stand there; some have no topic."""
+    root, counts = work_dir(spark, "routed"), {}
+    topic = F.when(F.col("event_id") % 23 != 0, F.col("_topic"))
+    messages = _with_topic(_event_stream(spark, sf_dir)).withColumn("_topic", topic)
+
+    def add(batch: int, seen: dict[str, int]) -> None:
+        counts[batch] = seen
+
+    _finish(route_stream(messages, f"{root}/rows", f"{root}/checkpoint", counted=add, available_now=True))
+    stored = routed_rows(spark, f"{root}/rows", messages.schema)
+    noted = [(name, n) for seen in counts.values() for name, n in seen.items() if n]
+    written = spark.createDataFrame(noted, "table string, n long").groupBy("table").agg(F.sum("n").alias("counted"))
+    return stored.groupBy("zone", "table").agg(F.count(F.lit(1)).alias("row_count")).join(written, "table")
+
+
 @query
 def ingest_unrouted(spark, sf_dir):
     """Messages of topics without a rule, kept in the dead-letter table."""
@@ -839,6 +859,26 @@ def stream_ohlc(spark, sf_dir):
     return current_bars(bars)
 
 
+@query
+def stream_positions(spark, sf_dir):
+    """Positions from executions in four shuffled batches, all of them delivered twice."""
+    root, ties = work_dir(spark, "positions"), ("log_position",)
+    changes, folder = adapters.trade_changes(spark, sf_dir).drop("batch"), f"{root}/log"
+    twice = changes.withColumn("delivery", F.explode(F.array(F.lit(1), F.lit(2))))
+    twice.repartition(4, F.xxhash64("log_position", "delivery")).drop("delivery").write.parquet(folder)
+    owners = staged(_orders(spark, sf_dir).select("order_id", "account_id", "side"), "owners")
+
+    def executions(log: DataFrame) -> DataFrame:
+        rows = typed_entity(log, TRADES, ties).select("trade_id", "order_id", "instrument_id", "quantity", "price", "executed_at", *event_order(ties))
+        return rows.join(owners, "order_id").withColumn("position_date", F.to_date("executed_at"))
+
+    log = executions(spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 1).parquet(folder))
+    state = VersionedTable(spark, f"{root}/state", bucket_keys=["trade_id"], buckets=16)
+    positions = position_deltas(spark, f"{root}/positions", log, "year")
+    _finish(position_stream(log, state, positions, f"{root}/checkpoint", event_order(ties)[:1], event_order(ties)[1:], available_now=True))
+    return current_positions(positions)
+
+
 @query
 def stream_dedup(spark, sf_dir):
     """Every event delivered twice, stored once."""
