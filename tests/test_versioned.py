@@ -5,7 +5,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from tidemark.operators.history import compare_counts, row_changes
-from tidemark.operators.quality import QualityError, no_nulls, quality_gate
+from tidemark.operators.quality import ObservedGate, QualityError, no_nulls, not_empty
 from tidemark.operators.upsert import MergeSpec
 from tidemark.plans.incremental import Full, Range, Skip, plan_run, run_incremental
 from tidemark.sources import catalog
@@ -74,9 +74,7 @@ def test_replace_reads_its_own_old_version(spark, path):
 
 
 def test_failing_gate_leaves_the_table_as_it_was(spark, path):
-    def gate(written):
-        quality_gate(written, "t", no_nulls("k"))
-
+    gate = ObservedGate("t", no_nulls("k"))
     table = VersionedTable(spark, path, bucket_keys=["k"], buckets=4)
     table.replace(df(spark, ("a", 1, "x")), watermark=1, gate=gate)
     with pytest.raises(QualityError):
@@ -87,6 +85,32 @@ def test_failing_gate_leaves_the_table_as_it_was(spark, path):
     assert table.watermark() == 1
 
 
+def test_gates_start_no_job_of_their_own(spark, path):
+    data, context = df(spark, *[(f"k{i}", 1, "x") for i in range(20)]), spark.sparkContext
+
+    def jobs(name, work):
+        context.setJobGroup(name, name)
+        work()
+        context.setLocalProperty("spark.jobGroup.id", None)
+        return len(context.statusTracker().getJobIdsForGroup(name))
+
+    counts = {}
+    for gated in (False, True):
+        gate = ObservedGate("t", {**no_nulls("k"), **not_empty()}) if gated else None
+        table = VersionedTable(spark, f"{path}/{gated}", bucket_keys=["k"], buckets=4)
+        counts[gated] = [jobs(f"replace {gated}", lambda: table.replace(data, gate=gate)), jobs(f"upsert {gated}", lambda: table.upsert(data, ["t"], gate=gate))]
+        assert gate is None or gate.metrics["row_count"] == 20
+    assert counts[True] == counts[False]
+
+
+def test_a_gate_on_no_rows(spark, path):
+    table = VersionedTable(spark, path)
+    for empty in (df(spark, ("a", 1, "x")).limit(0), spark.createDataFrame([], "k string, t int, v string")):
+        with pytest.raises(QualityError, match="row_count=0"):
+            table.replace(empty, gate=ObservedGate("t", not_empty()))
+    assert not table.exists()
+
+
 def test_upsert_rewrites_only_touched_buckets(spark, path):
     table = VersionedTable(spark, path, bucket_keys=["k"], buckets=8)
     table.replace(df(spark, *[(f"k{i}", 1, "old") for i in range(64)]), watermark=1)

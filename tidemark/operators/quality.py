@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -29,6 +29,26 @@ def quality_gate(df: DataFrame, table: str, checks: Mapping[str, Column]) -> dic
     return metrics
 
 
+class ObservedGate:
+    """Checks that are evaluated while rows are written: no second scan, and nothing is published before they hold."""
+
+    def __init__(self, table: str, checks: Mapping[str, Column]):
+        self.table, self.checks, self.metrics = table, dict(checks), {}
+
+    def watch(self, rows: DataFrame) -> DataFrame:
+        """The rows; the job that writes them also computes the metrics."""
+        self._seen = Observation()
+        return rows.observe(self._seen, F.count(F.lit(1)).alias("row_count"), *[c.alias(n) for n, c in self.checks.items()])
+
+    def check(self) -> dict:
+        """After the write: the metrics, or an error for the first check that does not hold."""
+        self.metrics = dict(self._seen.get)
+        for name in self.checks:
+            if not self.metrics[name]:
+                raise QualityError(f"{self.table}: {name} (row_count={self.metrics['row_count']})")
+        return self.metrics
+
+
 def no_nulls(column: str) -> dict[str, Column]:
     return {f"no null {column}": F.count_if(F.col(column).isNull()) == 0}
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 
 from tidemark.model import Entity
-from tidemark.operators.quality import no_nulls, quality_gate
+from tidemark.operators.quality import ObservedGate, no_nulls
 from tidemark.plans.curated import curate_entity, event_order, merge_spec
 from tidemark.sources.versioned import VersionedTable
 
@@ -78,11 +78,7 @@ def _run(
     plan = plan_run(source, target, full_refresh, max_snapshots)
     if isinstance(plan, Skip):
         return RunResult(name, "skip", target.current(), target.watermark(), 0)
-    counted: dict = {}
-
-    def gate(rows: DataFrame) -> None:
-        counted.update(quality_gate(rows, name, checks))
-
+    gate = ObservedGate(name, checks)
     if isinstance(plan, Full):
         rows = transform(source.read_as_of(plan.end, with_snapshot=with_snapshot))
         snapshot = target.replace(rows, watermark=plan.end, gate=gate)
@@ -91,7 +87,7 @@ def _run(
         rows = transform(source.read_between(plan.start, plan.end, with_snapshot=with_snapshot))
         snapshot = write_increment(rows, watermark=plan.end, gate=gate)
         mode = "incremental"
-    return RunResult(name, mode, snapshot, plan.end, counted["row_count"])
+    return RunResult(name, mode, snapshot, plan.end, gate.metrics["row_count"])
 
 
 def run_incremental(

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.operators.quality import no_nulls, not_empty, quality_gate
+from tidemark.operators.quality import ObservedGate, no_nulls, not_empty
 from tidemark.operators.summaries import market_summary, order_summary
 from tidemark.plans.curated import curate_market_ticks, curate_order_events, tie_names
 from tidemark.plans.incremental import RunResult, run_incremental
@@ -59,13 +59,9 @@ def _analytics(
     version = source.current()
     if not full_refresh and target.watermark() == version:
         return RunResult(name, "skip", target.current(), version, 0)
-    counted: dict = {}
-
-    def gate(written: DataFrame) -> None:
-        counted.update(quality_gate(written, name, not_empty()))
-
+    gate = ObservedGate(name, not_empty())
     snapshot = target.replace(summarise(source.read_as_of(version)), watermark=version, gate=gate)
-    return RunResult(name, "full", snapshot, version, counted["row_count"])
+    return RunResult(name, "full", snapshot, version, gate.metrics["row_count"])
 
 
 def run_medallion(

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.operators.quality import ObservedGate
 from tidemark.operators.upsert import MergeSpec, merge_union, newest_of_union, union_rows
 from tidemark.session import work_dir
 
@@ -34,7 +35,6 @@ LEDGER_SCHEMA = (
 LEDGER_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 DATA_OPERATIONS = ("append", "replace", "upsert")
 
-Gate = Callable[[DataFrame], object]
 
 
 class ConcurrentWriteError(RuntimeError):
@@ -246,15 +246,16 @@ class VersionedTable:
         df: DataFrame,
         *,
         watermark: int | None = None,
-        gate: Gate | None = None,
+        gate: ObservedGate | None = None,
         committed_at: datetime | None = None,
     ) -> int:
-        """Create or replace the whole content. `gate` sees the written rows before they are
+        """Create or replace the whole content. `gate` watches the rows as they are written, before they are
         published; when it raises, readers keep the old version.
         """
         commits = self.commits()
         snapshot = _next_snapshot(commits)
         target = f"{self.path}/data/{_folder(snapshot)}"
+        df = gate.watch(df) if gate is not None else df
         if self.bucket_keys:
             self._write_buckets(self._with_bucket(df).hint("rebalance", BUCKET), target)
             staged = self.spark.read.schema(_plus_bucket(df.schema)).parquet(target)
@@ -265,7 +266,7 @@ class VersionedTable:
             staged = self.spark.read.schema(df.schema).parquet(target)
             added, buckets = staged.count(), None
         if gate is not None:
-            gate(staged.drop(BUCKET) if self.bucket_keys else staged)
+            gate.check()
         summary = _summary(added, added) | self._bucket_note()
         self._commit(commits, snapshot, "replace", buckets, watermark, summary, df.schema, committed_at)
         return snapshot
@@ -300,14 +301,14 @@ class VersionedTable:
         combine: Callable[[DataFrame, T.StructType], DataFrame],
         *,
         watermark: int | None = None,
-        gate: Gate | None = None,
+        gate: ObservedGate | None = None,
         writer: str | None = None,
         batch_id: int | None = None,
         committed_at: datetime | None = None,
     ) -> int | None:
         """Combine the stored rows of the touched buckets with the increment into new bucket folders.
 
-        The increment is computed once: it is staged in the shared folder and checked by `gate` there.
+        The increment is computed once: it is staged in the shared folder, and checked by `gate` on the way.
         Without rows nothing is written, but the watermark still moves.
         """
         if not self.bucket_keys:
@@ -318,10 +319,10 @@ class VersionedTable:
             return None
         staging = work_dir(self.spark, "staged")
         try:
-            self._with_bucket(increment).write.parquet(staging)
+            self._with_bucket(gate.watch(increment) if gate is not None else increment).write.parquet(staging)
             staged = self.spark.read.schema(_plus_bucket(increment.schema)).parquet(staging)
             if gate is not None:
-                gate(staged.drop(BUCKET))
+                gate.check()
             incoming = {r[BUCKET]: r["n"] for r in staged.groupBy(BUCKET).agg(F.count(F.lit(1)).alias("n")).collect()}
             if not incoming:
                 self._commit_mark(commits, watermark, writer, batch_id, committed_at)
