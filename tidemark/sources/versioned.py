@@ -170,10 +170,14 @@ class VersionedTable:
                 raise ValueError(f"{self.path} has no snapshot at or before {timestamp}")
         commits = self._data_commits()
         if version is not None:
+            self._known_schema(commits)
             if version not in {c.snapshot_id for c in commits}:
                 raise ValueError(f"{self.path} has no snapshot {version}")
             commits = [c for c in commits if c.snapshot_id <= version]
-        return self._load(commits, _live_folders(commits), with_snapshot)
+        if self.bucket_keys:
+            return self._load(commits, _live_folders(commits), with_snapshot)
+        replaced = [c.snapshot_id for c in commits if c.operation == "replace"]
+        return self._snapshots(commits, max(replaced, default=0), max((c.snapshot_id for c in commits), default=0), with_snapshot)
 
     def read_between(self, start: int | None, end: int, *, with_snapshot: bool = False) -> DataFrame:
         """Rows appended after snapshot `start` up to and including `end`."""
@@ -181,7 +185,23 @@ class VersionedTable:
         wanted = [c for c in commits if start is None or c.snapshot_id > start]
         if any(c.operation != "append" for c in wanted):
             raise ValueError("a range read needs append-only snapshots; read the whole table instead")
-        return self._load(commits, [_folder(c.snapshot_id) for c in wanted], with_snapshot)
+        return self._snapshots(commits, 0 if start is None else start + 1, end, with_snapshot)
+
+    def _snapshots(self, commits: list[Commit], first: int, last: int, with_snapshot: bool) -> DataFrame:
+        """The rows of snapshots `first` to `last`: the data is a plain table partitioned by snapshot, and this a filter on partitions.
+
+        What a failed write has left behind has a later number than any commit.
+        """
+        schema = self._known_schema(commits)
+        full = T.StructType([*schema.fields, T.StructField(SNAPSHOT, T.LongType())])
+        rows = self.spark.read.schema(full).parquet(f"{self.path}/data").where(F.col(SNAPSHOT).between(first, last))
+        return rows if with_snapshot else rows.drop(SNAPSHOT)
+
+    def _known_schema(self, commits: list[Commit]) -> T.StructType:
+        schema = self._schema(commits)
+        if schema is None:
+            raise ValueError(f"{self.path} does not exist")
+        return schema
 
     # ------------------------------------------------------------------ writes
 
@@ -397,17 +417,15 @@ class VersionedTable:
         return reader.parquet(*[f"{self.path}/data/{folder}" for folder in folders])
 
     def _load(self, commits: list[Commit], folders: list[str], with_snapshot: bool) -> DataFrame:
-        """Read exactly the committed folders. The schema comes from the ledger, so no file footer is
+        """Read exactly the committed folders of buckets. The schema comes from the ledger, so no file footer is
         opened for planning and columns added later read as NULL in older files."""
-        schema = self._schema(commits)
-        if schema is None:
-            raise ValueError(f"{self.path} does not exist")
+        schema = self._known_schema(commits)
         snapshot = [T.StructField(SNAPSHOT, T.LongType())] if with_snapshot else []
         wanted = [f.name for f in [*schema.fields, *snapshot]]
         full = T.StructType([*schema.fields, T.StructField(SNAPSHOT, T.LongType())])
         if not folders:
             return self.spark.createDataFrame([], full).select(*wanted)
-        return self._parquet(folders, _plus_bucket(full) if self.bucket_keys else full).select(*wanted)
+        return self._parquet(folders, _plus_bucket(full)).select(*wanted)
 
     def _commit(self, commits, snapshot, operation, buckets, watermark, summary, schema, committed_at) -> None:
         known = self._schema(commits)
