@@ -145,24 +145,24 @@ def test_trades(spark, symbols):
 
 
 ORDER = {
-    "order_id": "o1",
-    "instrument_id": "i1",
-    "account_id": "a1",
-    "side": "BUY",
-    "order_type": "MARKET",
-    "quantity": 100.0,
-    "price": None,
-    "status": "NEW",
-    "timestamp_ms": 1,
+    "order_id": "mx-77",
+    "instrument_id": "bond-9",
+    "account_id": "fund-3",
+    "side": "SELL",
+    "order_type": "STOP",
+    "quantity": 12.75,
+    "price": 88.125,
+    "status": "PARTIALLY_FILLED",
+    "timestamp_ms": 1767225600000,
 }
 TICK = {
-    "instrument_id": "i1",
-    "symbol": "AAPL",
-    "bid_price": 1.5,
-    "ask_price": 2,
-    "last_price": 1.75,
-    "volume": -10,
-    "timestamp_ms": 1,
+    "instrument_id": "etf-4",
+    "symbol": "ZZQ",
+    "bid_price": 31,
+    "ask_price": 31.5,
+    "last_price": 31.25,
+    "volume": 640,
+    "timestamp_ms": 1767225600000,
 }
 
 
@@ -170,17 +170,17 @@ TICK = {
     ("contract", "record", "expected"),
     [
         ("order-events", ORDER, []),
-        ("order-events", {**ORDER, "order_type": "LIMIT", "price": 99.5}, []),
-        ("order-events", {**ORDER, "side": "HOLD"}, ["side: not allowed"]),
-        ("order-events", {k: v for k, v in ORDER.items() if k != "quantity"}, ["quantity: missing"]),
-        ("order-events", {**ORDER, "quantity": "not-a-number"}, ["quantity: not a double"]),
-        ("order-events", {**ORDER, "quantity": "100"}, ["quantity: not a double"]),
-        ("order-events", {**ORDER, "order_id": 5}, ["order_id: not a string"]),
-        ("order-events", {**ORDER, "status": "PENDING"}, ["status: not allowed"]),
-        ("order-events", {**ORDER, "extra": 1}, []),
+        ("order-events", {k: v for k, v in ORDER.items() if k != "price"}, []),
+        ("order-events", {**ORDER, "order_type": "ICEBERG"}, ["order_type: not allowed"]),
+        ("order-events", {k: v for k, v in ORDER.items() if k not in ("account_id", "status")}, ["account_id: missing", "status: missing"]),
+        ("order-events", {**ORDER, "price": "cheap"}, ["price: not a double"]),
+        ("order-events", {**ORDER, "timestamp_ms": "1767225600000"}, ["timestamp_ms: not a bigint"]),
+        ("order-events", {**ORDER, "instrument_id": 5}, ["instrument_id: not a string"]),
+        ("order-events", {**ORDER, "side": None}, ["side: missing"]),
+        ("order-events", {**ORDER, "desk": {"floor": 2}}, []),
         ("market-data", TICK, []),
-        ("market-data", {k: v for k, v in TICK.items() if k != "symbol"}, ["symbol: missing"]),
-        ("market-data", {**TICK, "volume": 1.5}, ["volume: not a bigint"]),
+        ("market-data", {**TICK, "ask_price": None, "last_price": True}, ["ask_price: missing", "last_price: not a double"]),
+        ("market-data", {**TICK, "timestamp_ms": 0.5}, ["timestamp_ms: not a bigint"]),
         ("market-data", [TICK], ["record: malformed"]),
     ],
 )

@@ -590,3 +590,17 @@ named AS (SELECT CASE WHEN event_id % 23 = 0 THEN 'rejected' ELSE coalesce(tbl,
 SELECT "table", CASE WHEN "table" LIKE 'raw\\_mnpi%' ESCAPE '\\' THEN 'mnpi' WHEN "table" LIKE 'raw%' THEN 'nonmnpi' ELSE 'none' END AS zone,
   count(*) AS row_count, count(*) AS counted
 FROM named GROUP BY 1, 2"""
+ORACLES["full_refresh_after_increments"] = f"SELECT *, 'full' AS mode, cast(4 AS bigint) AS watermark FROM ({CURATED_TICKS})"
+ORACLES["empty_increment"] = f"""WITH {TICKS}, n AS (SELECT count(*) AS c FROM ticks)
+SELECT run, mode, watermark, CASE WHEN run = 0 THEN c ELSE 0 END AS row_count, stored_watermark, c AS stored_rows
+FROM n, (VALUES (cast(0 AS bigint), 'full', cast(4 AS bigint), cast(5 AS bigint)), (1, 'incremental', 5, 5), (2, 'skip', 5, 5))
+  AS r(run, mode, watermark, stored_watermark)"""
+ORACLES["market_data_contract"] = """SELECT * FROM (SELECT event_id, concat_ws('; ',
+    CASE WHEN event_id % 13 = 0 THEN 'symbol: missing' END,
+    CASE WHEN event_id % 17 = 0 OR event_id % 19 = 0 THEN 'volume: not a bigint' END) AS violations FROM events)
+WHERE violations <> ''"""
+ORACLES["audit_file_report"] = ORACLES["audit_access_report"]
+ORACLES["report_as_table"] = f"""SELECT *, false AS existed, true AS exists, cast(3 AS bigint) AS watermark
+FROM ({ORACLES["order_summary_hourly"]})"""
+ORACLES["orders_by_change_day"] = f"""WITH {ORDER_LOG}
+SELECT cast(cast(updated_at AS date) AS varchar) AS day, op, count(*) AS changes FROM order_log GROUP BY 1, 2"""

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import settlement_date
+from tidemark.functions.casts import epoch_ms_to_date
 from tidemark.model import (
     ACCOUNTS,
     ENTITIES,
@@ -45,8 +46,8 @@ from tidemark.plans.summary_deltas import SummaryDeltas, changed_images, market_
 from tidemark.plans.medallion import MedallionTables, run_medallion
 from tidemark.session import staged, tune, work_dir
 from tidemark.sources import feed
-from tidemark.sources.audit import parse_audit
-from tidemark.sources.catalog import create_bucketed
+from tidemark.sources.audit import parse_audit, read_audit_log
+from tidemark.sources.catalog import create_bucketed, create_table_as, get_watermark, set_watermark, table_exists
 from tidemark.sources.hourly import HourlyRows
 from tidemark.sources.messages import parse_messages
 from tidemark.sources.versioned import VersionedTable
@@ -278,6 +279,24 @@ def trade_summary_daily(spark, sf_dir):
     return report.orderBy(F.desc("trade_date"), F.desc("total_notional"))
 
 
+@query
+def report_as_table(spark, sf_dir):
+    """The order summary as a catalog table that did not exist before, read back with the watermark kept at it."""
+    name = f"tidemark_{uuid.uuid4().hex}"
+    before = table_exists(spark, name)
+    create_table_as(summaries.order_summary(_order_events(spark, sf_dir)), name, work_dir(spark, "report"))
+    set_watermark(spark, name, 3)
+    noted = {"existed": F.lit(before), "exists": F.lit(table_exists(spark, name)), "watermark": F.lit(get_watermark(spark, name)).cast("bigint")}
+    return spark.table(name).withColumns(noted)
+
+
+@query
+def orders_by_change_day(spark, sf_dir):
+    """Changes of orders by the day of the log's milliseconds."""
+    changes = adapters.order_changes(spark, sf_dir)
+    return changes.groupBy(epoch_ms_to_date("source_timestamp").alias("day"), "op").agg(F.count(F.lit(1)).alias("changes"))
+
+
 @query
 def executions_enriched(spark, sf_dir):
     rows = trading.enrich_executions(_trades(spark, sf_dir), _orders(spark, sf_dir))
@@ -433,6 +452,34 @@ def incremental_equals_full(spark, sf_dir):
     return target.read().drop(*ties)
 
 
+@query
+def full_refresh_after_increments(spark, sf_dir):
+    """Two increments, then a full refresh by its flag, which takes in what is left; the oracle is the whole table."""
+    raw = _tick_table(spark, sf_dir)
+    target = VersionedTable(spark, work_dir(spark, "ticks"), bucket_keys=["tick_id"], buckets=16)
+    given = (lambda rows: curate_market_ticks(rows, TIES, keep_ties=True), ["tick_timestamp"], quality.no_nulls("ticker"))
+    target.replace(given[0](raw.read_as_of(1)), watermark=1)
+    run_incremental("ticks", raw, target, *given, tie_breakers=tie_names(TIES), max_snapshots=2)
+    result = run_incremental("ticks", raw, target, *given, tie_breakers=tie_names(TIES), full_refresh=True)
+    return target.read().drop(*tie_names(TIES)).withColumns({"mode": F.lit(result.mode), "watermark": F.lit(result.watermark).cast("bigint")})
+
+
+@query
+def empty_increment(spark, sf_dir):
+    """A snapshot without usable rows: nothing is written, but the watermark moves, and the next run has nothing to do."""
+    raw, ticks = _tick_table(spark, sf_dir), adapters.raw_ticks(spark, sf_dir)
+    target = VersionedTable(spark, work_dir(spark, "ticks"), bucket_keys=["tick_id"], buckets=16)
+    given = (lambda rows: curate_market_ticks(rows, TIES), ["tick_timestamp"], {})
+    results = [run_incremental("ticks", raw, target, *given)]
+    raw.append(ticks.where(F.col("ticker") == "").select(*raw.read().columns))
+    results += [run_incremental("ticks", raw, target, *given) for _ in range(2)]
+    stored = target.read().count()
+    rows = [(k, r.mode, r.watermark, r.row_count, target.watermark(), stored) for k, r in enumerate(results)]
+    return spark.createDataFrame(
+        rows, "run long, mode string, watermark long, row_count long, stored_watermark long, stored_rows long"
+    )
+
+
 @query
 def incremental_entity_merge(spark, sf_dir):
     """Orders merged batch by batch into a stored table, rewriting touched buckets only."""
@@ -565,7 +612,7 @@ def _suspect_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _flat_orders(spark, sf_dir)
     number = F.col("order_id").cast("bigint")
     return (
-        rows.withColumn("side", F.when(number % 11 == 0, "HOLD").otherwise(F.col("side")))
+        rows.withColumn("side", F.when(number % 11 == 0, "SWAP").otherwise(F.col("side")))
         .withColumn("quantity", F.when(number % 13 == 0, "n/a").otherwise(F.col("quantity")))
         .withColumn("status", F.when(number % 17 != 0, F.col("status")))
     )
@@ -601,7 +648,7 @@ def message_validation(spark, sf_dir):
         number.cast("string").alias("order_id"),
         F.lit("7").alias("instrument_id"),
         F.col("o_custkey").cast("string").alias("account_id"),
-        F.when(number % 11 == 0, "HOLD").otherwise("BUY").alias("side"),
+        F.when(number % 11 == 0, "SWAP").otherwise("BUY").alias("side"),
         F.lit("LIMIT").alias("order_type"),
         F.when(number % 13 != 0, F.col("o_totalprice")).alias("quantity"),
         F.lit("NEW").alias("status"),
@@ -618,6 +665,30 @@ def message_validation(spark, sf_dir):
     return tagged.select("order_id", F.concat_ws("; ", "violations").alias("violations"))
 
 
+@query
+def market_data_contract(spark, sf_dir):
+    """Tick messages against the contract of market data: some lack a symbol, some have a fractional or a textual volume."""
+    events = adapters.table(spark, sf_dir, "events")
+    number, price = F.col("event_id"), F.col("value").cast("decimal(18,2)").cast("double")
+    record = F.struct(
+        F.col("user_id").cast("string").alias("instrument_id"),
+        F.when(number % 13 != 0, F.upper("event_type")).alias("symbol"),
+        (price - 0.25).alias("bid_price"),
+        (price + 0.25).alias("ask_price"),
+        price.alias("last_price"),
+        F.get_json_object("props", "$.k").cast("bigint").alias("volume"),
+        number.alias("timestamp_ms"),
+    )
+    text = F.to_json(record)
+    broken = (
+        F.when(number % 17 == 0, F.regexp_replace(text, '"volume":([0-9]+)', '"volume":$1.5'))
+        .when(number % 19 == 0, F.regexp_replace(text, '"volume":([0-9]+)', '"volume":"$1"'))
+        .otherwise(text)
+    )
+    tagged = contracts.tag_message_violations(events.select("event_id", broken.alias("value")), MESSAGE_CONTRACTS["market-data"])
+    return tagged.where(F.size("violations") > 0).select("event_id", F.concat_ws("; ", "violations").alias("violations"))
+
+
 @query
 def unique_violations(spark, sf_dir):
     return contracts.find_duplicates(adapters.raw_ticks(spark, sf_dir), ["tick_id"])
@@ -771,6 +842,14 @@ def audit_access_report(spark, sf_dir):
     return access.audit_report(records, access.access_matrix(access.standard_databases(spark)))
 
 
+@query
+def audit_file_report(spark, sf_dir):
+    """The access report from audit files of JSON lines."""
+    folder = work_dir(spark, "audit")
+    adapters.audit_records(spark, sf_dir).select("value").write.text(folder)
+    return access.audit_report(read_audit_log(spark, folder), access.access_matrix(access.standard_databases(spark)))
+
+
 # --------------------------------------------------------------------------------------- streaming
 
 
