@@ -252,12 +252,12 @@ def _json_object(fields: dict[str, Column]) -> Column:
 
 
 def feed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feed messages: a quote and a trade per array, every fourth a single quote object."""
+    """Feed messages: a quote and a trade per array, every fourth a single quote object; every ninth has an unknown symbol."""
     events = table(spark, sf_dir, "events")
     number = F.col("event_id")
     price = F.col("value").cast("decimal(18,2)")
     size = F.get_json_object("props", "$.k").cast("bigint")
-    symbol = F.concat(F.lit('"T'), F.col("user_id"), F.lit('"'))
+    symbol = F.concat(F.when(number % 9 == 0, '"U').otherwise('"T'), F.col("user_id"), F.lit('"'))
     time = F.date_format("ts", "'\"'yyyy-MM-dd'T'HH:mm:ss.SSS'Z\"'")
     quote = _json_object(
         {
@@ -278,9 +278,8 @@ def feed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feed_instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The instruments the feed knows; the rest of the symbols is unknown to it."""
-    parts = table(spark, sf_dir, "part").where(F.col("p_size") > 10)
-    return parts.select(
+    """The instruments the feed knows."""
+    return table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("instrument_id"), F.concat(F.lit("T"), F.col("p_partkey")).alias("ticker")
     )
 

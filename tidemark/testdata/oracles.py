@@ -193,7 +193,7 @@ feed AS (
     cast(json_extract_string(props, '$.k') AS bigint) AS size,
     strftime(date_trunc('milliseconds', ts), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS time_text,
     date_trunc('milliseconds', ts) AS time, p_partkey AS instrument_id
-  FROM events JOIN part ON p_partkey = user_id AND p_size > 10)"""
+  FROM events JOIN part ON p_partkey = user_id WHERE event_id % 9 <> 0)"""
 
 AUDIT = """
 audit AS (
@@ -440,7 +440,7 @@ FROM orders""",
     "unique_violations": f"""WITH {RAW_TICKS}
 SELECT tick_id, count(*) AS copies FROM raw_ticks GROUP BY tick_id HAVING count(*) > 1""",
     "fk_orphans": """SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem
-WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')""",
+WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 97 <> 0)""",
     "topic_routing_counts": f"""WITH {TOPICS}
 SELECT coalesce(tbl, 'unrouted') AS "table",
   CASE WHEN tbl IS NULL THEN 'none' WHEN tbl LIKE 'raw\\_mnpi%' ESCAPE '\\' THEN 'mnpi' ELSE 'nonmnpi' END AS zone,

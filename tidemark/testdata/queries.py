@@ -696,10 +696,10 @@ def unique_violations(spark, sf_dir):
 
 @query
 def fk_orphans(spark, sf_dir):
-    """Trades whose order is missing; orders still in progress count as missing here."""
-    known = adapters.table(spark, sf_dir, "orders").where(F.col("o_orderstatus") != "P")
+    """Trades whose order has been deleted."""
+    known = _current_orders(spark, sf_dir, "remove").select(F.col("order_id").cast("bigint").alias("order_id"))
     lines = adapters.table(spark, sf_dir, "lineitem")
-    return contracts.find_orphans(lines, "l_orderkey", known, "o_orderkey").select(
+    return contracts.find_orphans(lines, "l_orderkey", known, "order_id").select(
         "l_orderkey", "l_linenumber", "l_extendedprice"
     )
 
