@@ -193,6 +193,15 @@ def test_packing_of_equal_and_empty_rows_needs_no_more_than_best_fit(spark):
     assert -(-sum(sizes) // 1024) <= len(used) <= best_fit_decreasing(sizes, 1024)
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    docs = table(spark, SF, "documents").limit(40).selectExpr("*", "1 as quality_score", "2 as toxicity_score", "3 as _quality", "4 as label", "5 as times")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, SF)
+        assert kept.columns == docs.columns and set(kept.select("quality_score", "toxicity_score", "times").distinct().collect()) == {(1, 2, 5)}
+        assert stage(spark, docs.limit(0), SF).count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), SF).count() == 0
+
+
 def test_every_stage_of_the_pipeline(spark):
     docs = table(spark, SF, "documents")
     rows = {"in": [tuple(r) for r in docs.select("doc_id", "text").collect()]}
