@@ -3,7 +3,8 @@
 from conftest import rows
 
 from tidemark.model import Contract, FieldRule
-from tidemark.operators.constraints import check_constraints, duplicate_keys
+from tidemark.operators.constraints import check_constraints, duplicate_keys, orphan_keys
+from tidemark.operators.contracts import find_orphans
 
 PARENTS = Contract("parents", (FieldRule("id", "bigint"), FieldRule("code")), unique=(("id",), ("code",)))
 CHILDREN = Contract(
@@ -60,3 +61,15 @@ def test_all_constraints_share_one_partial_aggregate_and_hot_keys_are_one_row_a_
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Range (0, 300000") == 1 and plan.count("partial_count") == 1
     assert rows(found) == [("code: not unique", ["same"], 300_000), ("id: not unique", ["7"], 100_001)]
+
+
+def test_parents_are_never_broadcast(spark):
+    """However small Spark takes a derived parent table to be: the driver would hold all its keys."""
+    parents = spark.range(1, 3).selectExpr("cast(id as string) as id", "'c' as code")
+    given = {**tables(spark), "parents": parents}
+    orphans = find_orphans(given["children"], "parent", parents, "id")
+    broken = orphan_keys(given, "children", CONTRACTS)
+    for found in (orphans, broken):
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert rows(orphans, "n") == [("2",), ("4",)]
+    assert rows(broken, "violation", "key", "copies") == [("parent: not in parents", ["9"], 1)]

@@ -51,7 +51,7 @@ def duplicate_keys(df: DataFrame, contract: Contract) -> DataFrame | None:
 def orphan_keys(tables: Mapping[str, DataFrame], name: str, contracts: Mapping[str, Contract]) -> DataFrame | None:
     """(violation, key, copies) of references without a parent row. A NULL reference is no orphan.
 
-    References are reduced to their distinct keys before they meet the parents.
+    References are reduced to their distinct keys before they meet the parents, which are merged with them and never broadcast.
     """
     contract, df = contracts[name], tables[name]
     references = _references(contract)
@@ -63,7 +63,7 @@ def orphan_keys(tables: Mapping[str, DataFrame], name: str, contracts: Mapping[s
         parent = tables[table]
         rows = parent.select(F.lit(violation).alias("violation"), _key(contracts[table], [column], parent).alias("key"))
         parents = rows if parents is None else parents.unionByName(rows)
-    return children.join(parents, ["violation", "key"], "left_anti")
+    return children.join(parents.hint("merge"), ["violation", "key"], "left_anti")
 
 
 def tag_broken(df: DataFrame, contract: Contract, broken: DataFrame) -> DataFrame:

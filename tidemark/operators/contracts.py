@@ -97,7 +97,11 @@ def find_duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def find_orphans(df: DataFrame, column: str, parent: DataFrame, parent_column: str) -> DataFrame:
-    """Rows whose reference has no parent row; a NULL reference is no orphan."""
-    parents = parent.select(F.col(parent_column).alias("__parent"))
+    """Rows whose reference has no parent row; a NULL reference is no orphan.
+
+    Parents are merged, not broadcast: they are as many as the parent table's rows, and Spark takes the keys of a derived table for much
+    smaller than they are.
+    """
+    parents = parent.select(F.col(parent_column).alias("__parent")).hint("merge")
     referencing = df.where(F.col(column).isNotNull())
     return referencing.join(parents, F.col(column) == F.col("__parent"), "left_anti")
