@@ -88,3 +88,25 @@ def test_only_touched_hours_are_read(spark, path):
     assert found(summary) == whole(state)
     plan = summary.rows_of([hour])._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(event_part" in plan
+
+
+def test_rows_delivered_again_change_nothing_and_no_hour_is_named_one_by_one(spark, path):
+    data = [(k, "AB"[k % 2], 1.0 + k, 3, 60 * k) for k in range(30)]  # thirty hours of two days
+    first = ticks(spark, data)
+    summary = SummaryDeltas(spark, path, market_hours(), first.schema, "day")
+    state = apply(spark, summary, first.limit(0), first, 1)
+    assert changed_images(state, first, ["tick_id"], ["tick_timestamp"]).count() == 0
+    moved, inner = [], type(summary.images).read
+
+    def read(self, hours=None, *, with_batch=False):
+        if hours is not None:
+            moved.append(list(hours))
+        return inner(self, hours, with_batch=with_batch)
+
+    type(summary.images).read = read
+    try:
+        state = apply(spark, summary, state, ticks(spark, [(k, name, p + 1, v, m) for k, name, p, v, m in data]), 2)
+    finally:
+        type(summary.images).read = inner
+    assert moved and all(set(hours) <= {"2026-03-02", "2026-03-03"} for hours in moved)
+    assert found(summary) == whole(state)
