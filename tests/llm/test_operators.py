@@ -1,6 +1,7 @@
 """Operators on small inputs with the odd cases, against brute force."""
 
 import hashlib
+import inspect
 import math
 import random
 import re
@@ -22,7 +23,7 @@ from tidemark.llm.elias_fano import EliasFano, Trie, blend
 from tidemark.llm.exact_dedup import exact_dedup, keep_one
 from tidemark.llm.lm_score import DISCOUNTS, lm_score
 from tidemark.llm.nearest import search
-from tidemark.llm.packing import pack
+from tidemark.llm.packing import evolve, pack
 from tidemark.llm.sentencepiece_codec import Codec, encode_decode
 from tidemark.llm.simhash_dedup import fingerprint, simhash_classes, spanning, trie_links
 from tidemark.llm.token_counts import LongestMatch, token_counts, vocabulary
@@ -436,3 +437,20 @@ def test_nearest_neighbours_of_few_rows_are_ten(spark, number):
     for rows in (vectors, vectors + repeated):
         got = collected(search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.lit(True)))
         assert [sum(r["query_id"] == q for r in got) for q in range(number)] == [10] * number
+
+
+def test_packing_searches_by_default():
+    """Sizes that fit in threes, where best fit alone wastes a fifth: the defaults, which the query and the pipeline use, must search."""
+    given = {name: p.default for name, p in inspect.signature(pack).parameters.items()}
+    bins = 0
+    for seed in range(20):
+        rng, sizes = random.Random(seed), []
+        for _ in range(20):
+            a = rng.randint(380, 490)
+            b = rng.randint(250, (1000 - a) // 2)
+            sizes += [a, b, 1000 - a - b]
+        rng.shuffle(sizes)
+        best = evolve(sizes, 1000, seed, None, given["population"], given["generations"])
+        assert sorted(i for members in best.bins for i in members) == list(range(60))
+        bins += len(best.bins)
+    assert bins <= 460

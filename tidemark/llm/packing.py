@@ -127,6 +127,13 @@ def evolve(sizes: list[int], capacity: int, seed: int, elite: list[list[int]] |
     """The best packing after some generations; `elite` is a packing that has come from another island."""
     rng = random.Random(seed)
     lowest = -(-sum(sizes) // capacity)
+    ranks: dict[int, tuple[int, float]] = {}
+
+    def rank(packing: Packing) -> tuple[int, float]:
+        if id(packing) not in ranks:
+            ranks[id(packing)] = len(packing.bins), -packing.fitness()
+        return ranks[id(packing)]
+
     herd = []
     if elite is not None:
         guest = Packing(sizes, capacity)
@@ -138,14 +145,16 @@ def evolve(sizes: list[int], capacity: int, seed: int, elite: list[list[int]] |
         start.best_fit(decreasing(sizes, list(range(len(sizes))), rng, 0.1 * len(herd)))
         herd.append(start)
     for _ in range(generations):
-        herd.sort(key=lambda p: (len(p.bins), -p.fitness()))
+        herd.sort(key=rank)
         if len(herd[0].bins) <= lowest:
             break
         mother, father = herd[0], rng.choice(herd[1:])
         if rng.random() < 0.5:
             mother, father = father, mother
+        for gone in herd[population - 1 :]:
+            ranks.pop(id(gone), None)
         herd = [*herd[: population - 1], cross(mother, father, rng)]
-    return min(herd, key=lambda p: (len(p.bins), -p.fitness()))
+    return min(herd, key=rank)
 
 
 def _epoch(items: DataFrame, capacity: int, epoch: int, population: int, generations: int) -> DataFrame:
@@ -192,8 +201,8 @@ def pack(
     shard_size: int = 4000,
     islands: int = 2,
     epochs: int = 2,
-    population: int = 2,
-    generations: int = 3,
+    population: int = 8,
+    generations: int = 16,
     slack: float = 0.01,
     rounds: int = 2,
     id_column: str = "doc_id",
@@ -204,7 +213,8 @@ def pack(
     `tokenizer` is a file of the tokenizers library. Null and empty texts consist of the end id alone. Only documents
     longer than `length` are cut. A repeated row, or a null id, is packed like any other row. Ties between equal sizes
     go by row. In each of the `rounds` after the first, bins with more than `slack` of their space free are opened and
-    repacked in shards of their own. Other columns are not read. An empty table gives no rows.
+    repacked in shards of their own. Each island breeds `generations` children from a `population`, unless it reaches the
+    lower bound of sequences before. Other columns are not read. An empty table gives no rows.
     """
     made = written(pieces(docs, tokenizer, length, end_id, id_column, text_column), "pieces")
     rest = made.filter(F.col("length") < length).select("uid", "length")
