@@ -97,6 +97,18 @@ def test_ohlc_streams_over_batches_equal_the_batch_result(spark, path):
     assert rows(current_bars(bars)) == before
 
 
+def test_live_state_takes_no_ticks_of_hours_that_the_store_has_repaired(spark, path):
+    """One live batch that catches up on all stored ticks: only those of hours still open may enter its state."""
+    files(spark, path, [tick(1, 10), tick(2, 70), tick(3, 600)], [tick(4, 590), tick(5, 20), tick(5, 20)])
+    store, bars = ohlc(spark, path, path, "first")
+    live = bars.read(with_batch=True).where("written_by = 'live'")
+    assert rows(live, "bar_start", "tick_count") == [(START + timedelta(hours=9), 1), (START + timedelta(hours=10), 1)]
+    assert rows(current_bars(bars), "bar_start", "tick_count") == [(START + timedelta(hours=h), n) for h, n in ((0, 2), (1, 1), (9, 1), (10, 1))]
+    assert store.read().count() == 6
+    with pytest.raises(ValueError, match="must not end"):
+        ohlc_store_stream(stream(spark, path), store, bars, f"{path}/other", writer="x:closed")
+
+
 def test_late_ticks_repair_their_hours_and_read_nothing_else(spark, path):
     files(spark, path, [tick(1, 10, "5.00"), tick(2, 3000, "7.00")])
     store, bars = ohlc(spark, path, path, "first")
