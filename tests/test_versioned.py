@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.history import compare_counts, row_changes
 from tidemark.operators.quality import ObservedGate, QualityError, no_nulls, not_empty
-from tidemark.operators.upsert import MergeSpec
+from tidemark.operators.upsert import MergeSpec, union_rows
 from tidemark.plans.incremental import Full, Range, Skip, plan_run, run_incremental
 from tidemark.sources import catalog
 from tidemark.sources.versioned import ConcurrentWriteError, VersionedTable
@@ -255,6 +255,36 @@ def test_load_history(spark, path):
         table.load_history(data, "b")
 
 
+def test_history_of_few_batches_is_written_without_a_shuffle_of_its_rows(spark, path):
+    data = spark.range(0, 40_000, 1, 4).select("id", F.sha2(F.col("id").cast("string"), 256).alias("text"), (F.col("id") % 3 + 1).alias("b"))
+    few, many = VersionedTable(spark, f"{path}/few"), VersionedTable(spark, f"{path}/many")
+    setting = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters", "0")
+    few.load_history(data, "b")
+    files = few.read().inputFiles()
+    assert len(files) == 12  # a task and batch each: nothing was brought together
+    many.load_history(data.withColumn("b", F.col("id") % 10 + 1), "b")
+    assert len(many.read().inputFiles()) < 40
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters", "0") == setting
+    for table in (few, many):
+        assert rows(table.read().agg(F.count("text"), F.sum("id"))) == [(40_000, 799_980_000)]
+    assert [c.snapshot_id for c in few.commits()] == [1, 2, 3] and few.read_between(1, 2).count() == 13_333
+
+
+def test_a_rewritten_bucket_is_shared_by_tasks(spark, path):
+    table = VersionedTable(spark, path, bucket_keys=["k"], buckets=2)
+    first = spark.range(20_000).selectExpr("cast(id as string) as k", "1 as t", "'old' as v")
+    table.replace(first)
+    both = table._clustered(union_rows(table.read().withColumn("bucket", F.lit(0)), first.withColumn("bucket", F.lit(0))), 2)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as with rows enough for several tasks
+    try:
+        assert both.select(F.spark_partition_id()).distinct().count() > 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    table.upsert(first.where("cast(k as int) % 2 = 0").selectExpr("k", "2 as t", "'new' as v"), ["t"])
+    assert rows(table.read().groupBy("v").count()) == [("new", 10_000), ("old", 10_000)]
+    assert table.read().columns == ["k", "t", "v"]
+
+
 def test_entity_runs_merge_by_column_rules(spark, path):
     from tidemark.model import ORDERS
     from tidemark.plans.incremental import run_entity
