@@ -1,6 +1,7 @@
 """Uniqueness and references of contracts."""
 
 from conftest import rows
+from pyspark.sql import functions as F
 
 from tidemark.model import Contract, FieldRule
 from tidemark.operators.constraints import check_constraints, duplicate_keys, orphan_keys
@@ -63,6 +64,27 @@ def test_all_constraints_share_one_partial_aggregate_and_hot_keys_are_one_row_a_
     assert rows(found) == [("code: not unique", ["same"], 300_000), ("id: not unique", ["7"], 100_001)]
 
 
+def test_rows_meet_broken_keys_by_a_long_and_only_where_there_are_any(spark):
+    rule = {"parents": PARENTS}
+    sound = spark.range(1000).selectExpr("cast(id as string) as id", "cast(id as string) as code")
+    valid, broken = check_constraints({"parents": sound}, rule)["parents"]
+    plan = broken._jdf.queryExecution().executedPlan().toString()
+    assert "Range" not in plan and "Join" not in plan  # no row is read again to find that none is broken
+    assert (valid.count(), broken.count(), broken.columns) == (1000, 0, ["id", "code", "violations"])
+    twice = sound.unionByName(sound.where("id % 2 = 0").withColumn("code", F.concat("id", F.lit("x"))))
+    twice = twice.unionByName(spark.createDataFrame([(None, "n"), ("x", "o")], "id string, code string"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        valid, broken = check_constraints({"parents": twice}, rule)["parents"]
+        sorts = [line for line in broken._jdf.queryExecution().executedPlan().toString().splitlines() if "Sort [" in line]
+        assert sorts and all("xxhash64" in line or "Sort [__digest" in line for line in sorts) and len(sorts) == 2
+        assert (valid.count(), broken.count()) == (502, 1000)
+        assert rows(broken.selectExpr("explode(violations) as v").groupBy("v").count()) == [("id: not unique", 1000)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_parents_are_never_broadcast(spark):
     """However small Spark takes a derived parent table to be: the driver would hold all its keys."""
     parents = spark.range(1, 3).selectExpr("cast(id as string) as id", "'c' as code")

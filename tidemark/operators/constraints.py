@@ -27,6 +27,11 @@ def _key(contract: Contract, columns: Sequence[str], of: DataFrame) -> Column:
     return F.when(reduce(and_, (p.isNotNull() for p in parts)), F.array(*parts))
 
 
+def _digest(key: Column) -> Column:
+    """A long to sort and join keys by, before they are compared themselves: Spark sorts rows by arrays several times slower."""
+    return F.when(key.isNotNull(), F.xxhash64(key))
+
+
 def _unique(contract: Contract) -> dict[str, tuple[str, ...]]:
     return {f"{', '.join(columns)}: not unique": columns for columns in contract.unique}
 
@@ -67,13 +72,20 @@ def orphan_keys(tables: Mapping[str, DataFrame], name: str, contracts: Mapping[s
 
 
 def tag_broken(df: DataFrame, contract: Contract, broken: DataFrame) -> DataFrame:
-    """Add `violations`: the constraints that a row's keys break, by (violation, key) of `broken`, unique by both."""
+    """Add `violations`: the constraints that a row's keys break, by (violation, key) of `broken`, unique by both.
+
+    Which constraints are broken at all is looked up first: the others need no join, and without any the quarantine is empty by plan.
+    """
+    found = {row["violation"] for row in broken.select("violation").distinct().collect()}
     constraints = {**_unique(contract), **{v: (column,) for v, (column, _, _) in _references(contract).items()}}
+    constraints = {violation: columns for violation, columns in constraints.items() if violation in found}
     tagged, flags = df, []
     for number, (violation, columns) in enumerate(constraints.items()):
-        name = f"__broken_{number}"
-        keys = broken.where(F.col("violation") == violation).select(F.col("key").alias(name))
-        tagged = tagged.join(keys, _key(contract, columns, df) == F.col(name), "left")
+        name, digest = f"__broken_{number}", f"__digest_{number}"
+        keys = broken.where(F.col("violation") == violation)
+        keys = keys.select(F.col("key").alias(name), _digest(F.col("key")).alias(digest))
+        key = _key(contract, columns, df)
+        tagged = tagged.join(keys, (_digest(key) == F.col(digest)) & (key == F.col(name)), "left")
         flags.append(F.when(F.col(name).isNotNull(), F.lit(violation)))
     codes = F.array_compact(F.array(*flags)) if flags else F.array().cast("array<string>")
     return tagged.select(*[df[c] for c in df.columns], codes.alias(VIOLATIONS))
